@@ -3,9 +3,11 @@
 Per-subset tables (few-shot headers, dev keys, first-failure positions) are
 small, but their size is not fixed by the code: it grows with the number of
 subsets and with the length of the texts. So we never broadcast them on
-faith. ``attach_small`` materialises the small side once (a reliable
-checkpoint in the shared folder, which also cuts its lineage), measures it,
-and then either broadcasts it or, past the bound, joins by a salted shuffle.
+faith. ``attach_small`` materialises the small side once (cached on the
+executors by the same job that measures it, so it is computed only once; a
+lost block is simply recomputed from its lineage), checks it against a row
+and a byte bound, and then either broadcasts it or, past the bound, joins by
+a salted shuffle.
 
 The salted shuffle is there for skew: a subset can hold a third of all rows,
 and a plain shuffle join on ``subset`` would send all of them to one task.
@@ -16,6 +18,7 @@ side is replicated once per salt.
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +27,10 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_ROWS = 100_000
 DEFAULT_MAX_BYTES = 64 * 1024 * 1024
 DEFAULT_SALTS = 64
+# small sides stay cached while recent; older ones are released (a plan that
+# still refers to one just recomputes it)
+_CACHED: deque[DataFrame] = deque()
+MAX_CACHED = 64
 
 
 @dataclass(frozen=True)
@@ -42,7 +49,10 @@ def measure_small(
 ) -> SmallSide:
     """Materialise ``small`` and check it against a row and byte bound."""
     if materialise:
-        small = small.checkpoint(eager=True)
+        small = small.cache()
+        _CACHED.append(small)
+        while len(_CACHED) > MAX_CACHED:
+            _CACHED.popleft().unpersist()
     # Bounded probe: at most max_rows + 1 rows are counted.
     probe = small.limit(max_rows + 1)
     size_expr = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in small.columns]))))
