@@ -87,3 +87,29 @@ def continuation(context_tokens, whole_tokens) -> Column:
     ctx, whole = _c(context_tokens), _c(whole_tokens)
     n = F.greatest(F.size(whole) - F.size(ctx), F.lit(0))
     return F.slice(whole, F.size(ctx) + 1, n)
+
+
+def loglik_requests(prompts: DataFrame, prefill: str = "") -> DataFrame:
+    """What a model must score: one row per option present (take-while over
+    ``A``..``F``), with the context (prompt + prefill) and the continuation
+    (the option letter). ``prompts`` must carry the option columns."""
+    from ..functions.templates import option_array, take_present, with_prefill
+
+    opts = prompts.select(
+        "subset",
+        "id",
+        with_prefill(F.col("prompt"), prefill).alias("context"),
+        F.posexplode(take_present(option_array())).alias("pos", "option_text"),
+    )
+    return opts.select(
+        "subset", "id", F.char(F.col("pos") + 65).alias("choice"), "context",
+        F.char(F.col("pos") + 65).alias("continuation"),
+    )
+
+
+def loglik_responses(logits_table: DataFrame) -> DataFrame:
+    """``subset, id, full_response``: the chosen label ``X)`` as the response
+    of the probability path, to be logged and scored like generated text."""
+    return choose(choice_loglik(logits_table)).select(
+        "subset", "id", F.col("prediction").alias("full_response")
+    )

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
+
 RESPONSE_SCHEMA = T.StructType(
     [
         T.StructField("subset", T.StringType()),
@@ -49,6 +51,15 @@ def _call_with_retries(fn: Callable[[str], str], prompt: str, max_tries: int):
     return None, f"{type(last).__name__}: {last}", max(max_tries, 1)
 
 
+def _in_request_order(outputs) -> list:
+    """Batch engines may hand back ``(request_id, text)`` pairs in completion
+    order; put them back in request order (numeric ids, not lexical)."""
+    outputs = list(outputs)
+    if outputs and isinstance(outputs[0], tuple):
+        outputs = [text for _rid, text in sorted(outputs, key=lambda o: int(o[0]))]
+    return outputs
+
+
 def respond(
     df: DataFrame,
     factory: Callable[..., object],
@@ -61,6 +72,7 @@ def respond(
 ) -> DataFrame:
     """``subset, id, full_response, error, attempts`` (+ ``carry`` columns,
     passed through untouched) for every input row."""
+    ship_package(df.sparkSession)
     payload = df.select(*keys, F.col(input_col).alias("__input"), *carry)
     out_schema = T.StructType(RESPONSE_SCHEMA.fields + [df.schema[c] for c in carry])
     if partitions:
@@ -77,7 +89,7 @@ def respond(
                 for attempt in range(1, max(max_tries, 1) + 1):
                     tries = attempt
                     try:
-                        texts = list(batch_fn(prompts))
+                        texts = _in_request_order(batch_fn(prompts))
                         errors = [None] * len(prompts)
                         break
                     except Exception as e:  # noqa: BLE001

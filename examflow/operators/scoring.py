@@ -41,7 +41,8 @@ def report_for(scored: DataFrame, requested: DataFrame, order: bool = True) -> D
     """As ``report``, but every requested subset appears; an empty one has n = 0
     and a null mean (the division by zero is not raised)."""
     agg = report(scored, order=False)
-    out = F.broadcast(requested.select("subset").distinct()).join(agg, "subset", "left")
+    # both sides hold one row per subset; the planner (and AQE) pick the join
+    out = requested.select("subset").distinct().join(agg, "subset", "left")
     out = out.select(
         "subset",
         F.coalesce("n", F.lit(0)).alias("n"),

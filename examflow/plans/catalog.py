@@ -54,8 +54,8 @@ def _items(spark, sf):
 
 
 def _prompts(spark, sf, k, style, cot):
-    items = _items(spark, sf)
-    return build_prompts(td.test_items(items), td.dev_items(items), k, style, cot)
+    sets = td.exam_item_sets(spark, sf)
+    return build_prompts(sets.test, sets.dev, k, style, cot)
 
 
 # --- scoring ------------------------------------------------------------------
@@ -144,10 +144,10 @@ def _prompt_query(k, style, cot):
 
 
 def prompt_budget(spark, sf):
-    items = _items(spark, sf)
+    sets = td.exam_item_sets(spark, sf)
     return build_prompts_budget(
-        td.test_items(items),
-        td.dev_items(items),
+        sets.test,
+        sets.dev,
         5,
         BUDGET_MAX_LENGTH,
         template_text=DIRECT_PREFILL,
@@ -293,6 +293,19 @@ def choice_argmax(spark, sf):
     )
 
 
+def loglik_requests_q(spark, sf):
+    items = _items(spark, sf)
+    p = build_prompts(td.test_items(items), None, 0, "bare", False, keep=tuple("ABCDEF"))
+    return LL.loglik_requests(p, DIRECT_PREFILL)
+
+
+def loglik_report(spark, sf):
+    """Probability path end to end: arg-max labels scored like text."""
+    resp = LL.loglik_responses(td.exam_logits(spark, sf))
+    gold = F.char(F.pmod(F.col("id").cast("long"), 4) + 65)
+    return report(score(resp.withColumn("gold_answer", gold), "direct"))
+
+
 def left_truncate_q(spark, sf):
     p = _prompts(spark, sf, 0, "bare", False)
     ctx = F.split(with_prefill(F.col("prompt"), DIRECT_PREFILL), " ", -1)
@@ -312,7 +325,7 @@ def left_truncate_q(spark, sf):
 
 
 def _suffix_prompts(spark, sf, items):
-    return build_prompts(td.test_items(items), td.dev_items(items), 0, "suffix", False)
+    return build_prompts(td.test_items(items), None, 0, "suffix", False)
 
 
 def respond_stub(spark, sf):
@@ -341,12 +354,12 @@ def evaluate_resume(spark, sf):
     responder, append, then the report from the log as it now stands."""
     from .evaluate import evaluate
 
-    items = _items(spark, sf)
+    sets = td.exam_item_sets(spark, sf)
     path = scratch_path(spark, "run")
-    append_log(td.log_rows_of(items), path, run_id="past")
+    append_log(td.log_rows_of(sets.all), path, run_id="past")
     result = evaluate(
         spark,
-        items,
+        sets,
         LetterResponder,
         path,
         mode="direct",
@@ -357,6 +370,27 @@ def evaluate_resume(spark, sf):
     return result.report
 
 
+def evaluate_budget_chat(spark, sf):
+    """A fresh run of a local-engine backend: chat template, prefill and a
+    few-shot token budget, every item answered, report per subset."""
+    from .evaluate import evaluate
+
+    sets = td.exam_item_sets(spark, sf)
+    result = evaluate(
+        spark,
+        sets,
+        LetterResponder,
+        scratch_path(spark, "run"),
+        mode="direct",
+        k=5,
+        backend="vllm",
+        chat_template=True,
+        max_length=BUDGET_MAX_LENGTH,
+        run_id="budget",
+    )
+    return result.report
+
+
 def stream_report(spark, sf):
     path = scratch_path(spark, "stream-log")
     append_log(td.exam_log(spark, sf), path, run_id="r1")
@@ -405,9 +439,12 @@ QUERIES: dict[str, Query] = {
     "choice_loglik": choice_loglik,
     "choice_argmax": choice_argmax,
     "left_truncate": left_truncate_q,
+    "loglik_requests": loglik_requests_q,
+    "loglik_report": loglik_report,
     "respond_stub": respond_stub,
     "respond_retry": respond_retry,
     "evaluate_resume": evaluate_resume,
+    "evaluate_budget_chat": evaluate_budget_chat,
     "stream_report": stream_report,
 }
 

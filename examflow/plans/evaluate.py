@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from ..functions.constants import BACKEND_PREFILL, BACKEND_STYLE, TOPIC_LINE
 from ..functions.templates import chat_wrap, flat_prefill, template_text, with_prefill
 from ..operators.prompts import build_prompts, build_prompts_budget, check_k
-from ..operators.respond import reconcile, respond
+from ..operators.respond import prefix_commit, reconcile, respond
 from ..operators.scoring import report_for, rescore
 from ..session import scratch_path
 from ..sources.items import catalog_of, requested_table, select_subsets, validate_subsets
 from ..sources.runlog import append_log, overwrite_log, pending, read_log
-from ..sources.testdata import dev_items, test_items
+from ..sources.testdata import ExamItems, dev_items, test_items
 
 
 @dataclass
@@ -66,7 +66,7 @@ def model_input(
 
 def evaluate(
     spark: SparkSession,
-    items: DataFrame,
+    items: DataFrame | ExamItems,
     factory: Callable[..., object],
     log_path: str,
     mode: str = "direct",
@@ -82,19 +82,31 @@ def evaluate(
     partitions: int | None = None,
     run_id: str | None = None,
     topic: str = TOPIC_LINE,
+    strict: bool = False,
     **options,
 ) -> EvalResult:
+    """Run (or resume) an evaluation and report accuracy per subset.
+
+    ``strict`` reproduces stop-at-first-failure: per subset, only responses
+    before the first failed call (in item order) are logged, and the run
+    then raises. By default every success is logged and failures are
+    returned in ``EvalResult.failures`` (a resume retries them).
+    """
     check_k(k)
     cot = mode == "cot"
     if style is None:
         style = BACKEND_STYLE.get(backend or "openai", "suffix")
     to_input = model_input(backend, cot, chat_template)
 
-    catalog = catalog_of(items)
+    if isinstance(items, ExamItems):
+        everything, dev_all = items.all, items.dev
+    else:
+        everything, dev_all = items, dev_items(items)
+    catalog = catalog_of(everything)
     names = validate_subsets(spark, subsets, catalog)
     requested = requested_table(spark, subsets, catalog)
-    test = select_subsets(test_items(items), names)
-    dev = select_subsets(dev_items(items), names)
+    test = select_subsets(test_items(everything), names)
+    dev = select_subsets(dev_all, names)
 
     if max_length is None:
         prompts = build_prompts(test, dev, k, style, cot, topic)
@@ -113,7 +125,7 @@ def evaluate(
         input_col="model_input",
         max_tries=max_tries,
         partitions=partitions,
-        carry=("prompt", "gold_answer"),
+        carry=("seq", "prompt", "gold_answer"),
         **options,
     )
     staged_path = scratch_path(spark, "responses")
@@ -121,11 +133,19 @@ def evaluate(
     staged = spark.read.parquet(staged_path)
 
     ok = staged.where(F.col("error").isNull())
+    if strict:
+        ok = prefix_commit(staged.withColumn("failed", F.col("error").isNotNull()), "failed", "seq")
     if overwrite:
         overwrite_log(spark, ok, log_path, names or [r["subset"] for r in requested.collect()], run_id)
     else:
         append_log(ok, log_path, run_id)
 
+    if strict:
+        failed = [r["subset"] for r in staged.where(F.col("error").isNotNull())
+                  .select("subset").distinct().limit(50).collect()]
+        if failed:
+            raise RuntimeError(f"calls failed in subsets {sorted(failed)}; only earlier items were logged")
+
     log = read_log(spark, log_path, names)
     result = report_for(rescore(log, None, mode), requested)
     failures = staged.where(F.col("error").isNotNull())

@@ -265,9 +265,10 @@ def _prompt_sql(k: int, style: str, cot: bool) -> str:
     return _with(ctes, _prompt_select(k, style, cot))
 
 
-def _budget_fold_sql(k: int, max_length: int, template: str) -> str:
-    item = render_item("bare", False, False, "t.")
-    shot = f"{render_item('bare', False, True)} || {NL} || {NL}"
+def _budget_parts(k: int, max_length: int, template: str, style: str = "bare", cot: bool = False):
+    """CTEs (after the items CTE) and the SELECT of budgeted few-shot prompts."""
+    item = render_item(style, cot, False, "t.")
+    shot = f"{render_item(style, cot, True)} || {NL} || {NL}"
     start = f"({max_length} - length({TOPIC}) - length({item}) - length({lit(template)}))"
     q = (
         f"SELECT t.subset, t.seq, t.id, t.answer, {item} AS item_prompt, "
@@ -275,6 +276,8 @@ def _budget_fold_sql(k: int, max_length: int, template: str) -> str:
         + ", ".join(f"h.text{i}, h.n{i}" for i in range(1, k + 1))
         + " FROM exam_items t LEFT JOIN bank_ h USING (subset) WHERE t.split = 'test'"
     )
+    # the greedy fold, unrolled: keep shot i while the budget left after it
+    # stays strictly positive, else skip it and try the next
     for i in range(1, k + 1):
         keep = f"(text{i} IS NOT NULL AND left_{i-1} - n{i} > 0)"
         q = (
@@ -285,9 +288,7 @@ def _budget_fold_sql(k: int, max_length: int, template: str) -> str:
         f"SELECT subset, seq, id, {TOPIC} || acc_{k} || item_prompt AS prompt, "
         f"left_{k} AS budget_left, answer AS gold_answer FROM ({q})"
     )
-    return _with(
-        ITEMS_CTE
-        + f""",
+    ctes = f""",
 dev_ AS (
   SELECT subset, {shot} AS text,
          row_number() OVER (PARTITION BY subset ORDER BY seq) AS rank_
@@ -298,9 +299,13 @@ bank_ AS (
          {", ".join(f"max(CASE WHEN rank_ = {i} THEN text END) AS text{i}" for i in range(1, k + 1))},
          {", ".join(f"max(CASE WHEN rank_ = {i} THEN length(text) END) AS n{i}" for i in range(1, k + 1))}
   FROM dev_ WHERE rank_ <= {k} GROUP BY subset
-)""",
-        body,
-    )
+)"""
+    return ctes, body
+
+
+def _budget_fold_sql(k: int, max_length: int, template: str) -> str:
+    ctes, body = _budget_parts(k, max_length, template)
+    return _with(ITEMS_CTE + ctes, body)
 
 
 def _report_sql(src: str, mode: str) -> str:
@@ -492,6 +497,38 @@ new_ AS (
             "direct",
         ),
     )
+    q["loglik_requests"] = _with(
+        ITEMS_CTE,
+        f"SELECT subset, id, chr(CAST(64 + pos_ AS INTEGER)) AS choice, "
+        f"{_k0_bare(False)} || {lit(C.DIRECT_PREFILL)} AS context, "
+        f"chr(CAST(64 + pos_ AS INTEGER)) AS continuation FROM ("
+        f"SELECT *, unnest(generate_series(1, len({present()}))) AS pos_ "
+        f"FROM exam_items WHERE split = 'test')",
+    )
+    q["loglik_report"] = _with(
+        LOGITS_CTE,
+        _report_sql(
+            "(SELECT subset, choice || ')' AS full_response, "
+            "chr(CAST(65 + CAST(id AS BIGINT) % 4 AS INTEGER)) AS gold_answer FROM ("
+            "SELECT *, row_number() OVER (PARTITION BY subset, id ORDER BY loglik DESC, choice) AS r_ "
+            "FROM ll_) WHERE r_ = 1)",
+            "direct",
+        ),
+    )
+    before, after = DEFAULT_CHAT_TEMPLATE
+    wrapper = before + after + C.DIRECT_PREFILL
+    ctes, body = _budget_parts(5, C.BUDGET_MAX_LENGTH, wrapper)
+    q["evaluate_budget_chat"] = _with(
+        ITEMS_CTE + ctes + f""",
+prompts_ AS ({body}),
+new_ AS (
+  SELECT subset, gold_answer,
+         chr(CAST(65 + length({lit(before)} || prompt || {lit(after + C.DIRECT_PREFILL)}) % 4 AS INTEGER))
+           || ')' AS full_response
+  FROM prompts_
+)""",
+        _report_sql("new_", "direct"),
+    )
     q["stream_report"] = _with(
         LOG_CTE,
         _report_sql("(SELECT subset, full_response, gold_answer FROM exam_log)", "direct"),

@@ -9,12 +9,14 @@ lazy and grows with the input tables.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import ANSWER_OPEN, ANSWER_TAG, NOT_CORRECT_ANSWER, QUESTION_TAG
 from ..functions.templates import option_array, render_item, take_present, topic_block
-from ..operators.joins import attach_small
+from ..operators.joins import SmallSide, attach_small, measure_small
 from ..operators.topk import first_k
 from ..session import table_path
 
@@ -28,38 +30,70 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def exam_items(spark: SparkSession, sf_dir: str, n_dev: int = N_DEV) -> DataFrame:
-    """Items from documents with at least three lines; first ``n_dev`` per language are dev."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    lines = F.split("text", "\n", -1)
-    base = docs.where(F.size(lines) >= 3)
-    dev_keys = (
-        first_k(base.select("lang", "doc_id"), ["lang"], ["doc_id"], n_dev)
-        .select("lang", "doc_id", F.lit("dev").alias("split"))
-    )
+@dataclass
+class ExamItems:
+    """Items of every split, plus the dev split as a measured small side.
+
+    The dev rows come straight out of the map-side top-k (each task keeps at
+    most ``n_dev`` rows per language before the shuffle), so building the
+    few-shot header needs no further scan of the documents.
+    """
+
+    all: DataFrame
+    dev: DataFrame
+
+    @property
+    def test(self) -> DataFrame:
+        return test_items(self.all)
+
+
+def _item_columns(lines: Column) -> list[Column]:
     n_opt = F.least(F.size(lines) - 1, F.lit(6))
-    items = base.select(
-        "lang",
-        "doc_id",
+    return [
         F.concat("lang", F.lit("-"), F.col("doc_id").cast("string")).alias("id"),
         F.get(lines, 0).alias("question"),
         *[F.get(lines, i).alias(letter) for i, letter in enumerate("ABCDEF", start=1)],
         F.char(F.pmod("doc_id", n_opt) + 65).alias("answer"),
         F.element_at(lines, -1).alias("explanation"),
+    ]
+
+
+_ITEM_OUT = ["id", "question", *"ABCDEF", "answer", "explanation"]
+
+
+def exam_item_sets(spark: SparkSession, sf_dir: str, n_dev: int = N_DEV) -> ExamItems:
+    """Items from documents with at least three lines; first ``n_dev`` per language are dev."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    lines = F.split("text", "\n", -1)
+    base = docs.where(F.size(lines) >= 3).select("lang", "doc_id", *_item_columns(lines))
+    dev_rows = first_k(base, ["lang"], ["doc_id"], n_dev).drop("rank")
+    dev_side = measure_small(dev_rows)
+    keys = SmallSide(
+        dev_side.df.select("lang", "doc_id", F.lit("dev").alias("split")),
+        dev_side.rows,
+        dev_side.approx_bytes,
+        dev_side.broadcastable,
     )
-    labelled = attach_small(items, dev_keys, ["lang", "doc_id"], "left", salt_by=F.col("id"))
-    return labelled.select(
-        F.col("lang").alias("subset"),
-        F.coalesce("split", F.lit("test")).alias("split"),
-        F.col("doc_id").alias("seq"),
-        "id",
-        "question",
-        *list("ABCDEF"),
-        "answer",
-        "explanation",
+    labelled = attach_small(base, keys, ["lang", "doc_id"], "left", salt_by=F.col("id"))
+
+    def shape(df: DataFrame, split: Column) -> DataFrame:
+        return df.select(
+            F.col("lang").alias("subset"),
+            split.alias("split"),
+            F.col("doc_id").alias("seq"),
+            *_ITEM_OUT,
+        )
+
+    return ExamItems(
+        all=shape(labelled, F.coalesce("split", F.lit("test"))),
+        dev=shape(dev_side.df, F.lit("dev")),
     )
 
 
+def exam_items(spark: SparkSession, sf_dir: str, n_dev: int = N_DEV) -> DataFrame:
+    return exam_item_sets(spark, sf_dir, n_dev).all
+
+
 def test_items(items: DataFrame) -> DataFrame:
     return items.where(F.col("split") == "test")
 

@@ -1,0 +1,107 @@
+"""End-to-end runs: resume idempotence, strict prefix mode, overwrite,
+probability-path requests, tokenizer counters, engine output order."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from examflow.functions.tokens import char_len, token_len_udf, whitespace_len
+from examflow.operators import loglik as LL
+from examflow.operators.respond import LetterResponder, _in_request_order
+from examflow.plans.evaluate import evaluate
+from examflow.sources import testdata as td
+from examflow.sources.runlog import read_log
+
+
+def _report(df):
+    return {r.subset: (r.n, r.n_correct) for r in df.collect()}
+
+
+def test_resume_is_idempotent(spark, sf_small, scratch):
+    sets = td.exam_item_sets(spark, sf_small)
+    path = scratch("run")
+    first = evaluate(spark, sets, LetterResponder, path, k=2, run_id="a")
+    rep1 = _report(first.report)
+    n_logged = read_log(spark, path).count()
+    assert n_logged == sets.test.count()
+    second = evaluate(spark, sets, LetterResponder, path, k=2, run_id="b")
+    assert spark.read.parquet(second.staged_path).count() == 0  # nothing left to answer
+    assert _report(second.report) == rep1
+    assert read_log(spark, path).count() == n_logged
+
+
+def test_subset_selection_and_unknown(spark, sf_small, scratch):
+    sets = td.exam_item_sets(spark, sf_small)
+    res = evaluate(spark, sets, LetterResponder, scratch("run"), k=0, subsets="fr, de")
+    assert set(_report(res.report)) == {"de", "fr"}
+    with pytest.raises(ValueError, match="not an available subset"):
+        evaluate(spark, sets, LetterResponder, scratch("run"), k=0, subsets="fr,")
+
+
+def test_strict_prefix_mode(spark, sf_small, scratch):
+    class FailOnSeq:
+        def __init__(self, **_):
+            pass
+
+        def __call__(self, prompt):
+            if "問題：" in prompt and len(prompt) % 5 == 0:
+                raise ConnectionError("down")
+            return "A)"
+
+    sets = td.exam_item_sets(spark, sf_small)
+    path = scratch("run")
+    with pytest.raises(RuntimeError, match="calls failed"):
+        evaluate(spark, sets, FailOnSeq, path, k=0, strict=True)
+    logged = read_log(spark, path).select("subset", "id")
+    prompts = td.test_items(sets.all)
+    from examflow.operators.prompts import build_prompts
+
+    p = build_prompts(prompts, None, 0, "suffix").withColumn("bad", F.length("prompt") % 5 == 0)
+    first_bad = {r.subset: r.m for r in p.where("bad").groupBy("subset").agg(F.min("seq").alias("m")).collect()}
+    expect = {
+        (r.subset, r.id)
+        for r in p.collect()
+        if r.subset not in first_bad or r.seq < first_bad[r.subset]
+    }
+    assert {(r.subset, r.id) for r in logged.collect()} == expect
+
+
+def test_overwrite_replaces_requested_subsets(spark, sf_small, scratch):
+    sets = td.exam_item_sets(spark, sf_small)
+    path = scratch("run")
+    evaluate(spark, sets, LetterResponder, path, k=0, run_id="a")
+    evaluate(spark, sets, LetterResponder, path, k=0, subsets="fr", overwrite=True, run_id="b")
+    runs = {(r.subset, r.run_id) for r in read_log(spark, path).select("subset", "run_id").distinct().collect()}
+    assert ("fr", "b") in runs and ("fr", "a") not in runs and ("en", "a") in runs
+
+
+def test_probability_backend_rejects_cot(spark, sf_small, scratch):
+    sets = td.exam_item_sets(spark, sf_small)
+    with pytest.raises(ValueError, match="chain-of-thought"):
+        evaluate(spark, sets, LetterResponder, scratch("run"), mode="cot", backend="hf")
+
+
+def test_loglik_requests_only_present_options(spark):
+    df = spark.createDataFrame(
+        [("s", "1", "P", "a", "b", None, "d", None, None)],
+        "subset string, id string, prompt string, A string, B string, C string, D string, E string, F string",
+    )
+    rows = LL.loglik_requests(df, "\n正確答案：(").collect()
+    assert [(r.choice, r.context, r.continuation) for r in rows] == [
+        ("A", "P\n正確答案：(", "A"),
+        ("B", "P\n正確答案：(", "B"),
+    ]
+
+
+def test_token_counters(spark):
+    df = spark.createDataFrame([("a bc  d",), ("",), (None,)], "t string")
+    r = df.select(
+        char_len("t").alias("c"),
+        whitespace_len("t").alias("w"),
+        token_len_udf(lambda: (lambda s: s.split()))(F.col("t")).alias("u"),
+    ).collect()
+    assert [(x.c, x.w, x.u) for x in r] == [(7, 3, 3), (0, 0, 0), (None, None, None)]
+
+
+def test_engine_outputs_sorted_by_numeric_request_id():
+    assert _in_request_order([("10", "c"), ("2", "b"), ("1", "a")]) == ["a", "b", "c"]
+    assert _in_request_order(["x", "y"]) == ["x", "y"]
