@@ -8,7 +8,7 @@ choice log-likelihood = sum over its positions of log_softmax(logits)[token_id]
 prediction            = the option with the highest log-likelihood; ties go
                         to the earliest letter, NaN counts as the highest.
 
-Everything is array arithmetic on columns, except one shuffle on the item key.
+Everything is array arithmetic on columns; the only shuffle is on the item key.
 """
 
 from __future__ import annotations
@@ -41,24 +41,29 @@ def token_logprob(logits, token_id) -> Column:
     return F.get(arr, _c(token_id)) - m - lse
 
 
-def choice_loglik(logits_table: DataFrame) -> DataFrame:
-    """``subset, id, choice, loglik``.
-
-    The table is hash-partitioned on the item key once; both this sum and the
-    arg-max in ``choose`` then run without a further exchange.
-    """
-    lp = logits_table.select(
+def _token_rows(logits_table: DataFrame) -> DataFrame:
+    return logits_table.select(
         "subset", "id", "choice", token_logprob("logits", "token_id").alias("lp")
     )
+
+
+def choice_loglik(logits_table: DataFrame) -> DataFrame:
+    """``subset, id, choice, loglik`` (partial sums before one shuffle)."""
     return (
-        lp.repartition("subset", "id")
+        _token_rows(logits_table)
         .groupBy("subset", "id", "choice")
         .agg(F.sum("lp").alias("loglik"))
     )
 
 
+def _best(pairs: Column) -> Column:
+    """Arg-max over ``array<struct<loglik, neg>>``: highest log-likelihood,
+    then the earliest letter (largest ``neg``); NaN sorts above numbers."""
+    return F.array_max(pairs)
+
+
 def choose(loglik: DataFrame) -> DataFrame:
-    """``subset, id, prediction ('X)'), loglik`` — arg-max per item."""
+    """``subset, id, prediction ('X)'), loglik`` from per-choice sums."""
     best = F.max(F.struct(F.col("loglik"), (-F.ascii("choice")).alias("neg")))
     return (
         loglik.groupBy("subset", "id")
@@ -72,6 +77,38 @@ def choose(loglik: DataFrame) -> DataFrame:
     )
 
 
+def choose_from_logits(logits_table: DataFrame) -> DataFrame:
+    """``subset, id, prediction, loglik`` straight from the logits table with a
+    single shuffle on the item key.
+
+    An item's rows (options x scored positions, a handful) are gathered per
+    item, summed per option and reduced to the arg-max with array
+    functions. Items are never hot keys, so the gathered groups stay small.
+    """
+    per_item = _token_rows(logits_table).groupBy("subset", "id").agg(
+        F.collect_list(F.struct("choice", "lp")).alias("rows")
+    )
+    choices = F.array_sort(F.array_distinct(F.transform("rows", lambda r: r["choice"])))
+    sums = F.transform(
+        choices,
+        lambda c: F.struct(
+            F.aggregate(
+                F.filter("rows", lambda r: r["choice"] == c),
+                F.lit(0.0).cast("double"),
+                lambda acc, r: acc + r["lp"],
+            ).alias("loglik"),
+            (-F.ascii(c)).alias("neg"),
+        ),
+    )
+    best = _best(sums)
+    return per_item.select(
+        "subset",
+        "id",
+        F.concat(F.char(-best["neg"]), F.lit(")")).alias("prediction"),
+        best["loglik"].alias("loglik"),
+    )
+
+
 def left_truncate(tokens, n) -> Column:
     """Python's ``tokens[-n:]``: the last n when n > 0, all when n == 0, and
     everything after the first |n| when n < 0."""
@@ -110,6 +147,6 @@ def loglik_requests(prompts: DataFrame, prefill: str = "") -> DataFrame:
 def loglik_responses(logits_table: DataFrame) -> DataFrame:
     """``subset, id, full_response``: the chosen label ``X)`` as the response
     of the probability path, to be logged and scored like generated text."""
-    return choose(choice_loglik(logits_table)).select(
+    return choose_from_logits(logits_table).select(
         "subset", "id", F.col("prediction").alias("full_response")
     )

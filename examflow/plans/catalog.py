@@ -288,7 +288,7 @@ def choice_loglik(spark, sf):
 
 
 def choice_argmax(spark, sf):
-    return LL.choose(LL.choice_loglik(td.exam_logits(spark, sf))).select(
+    return LL.choose_from_logits(td.exam_logits(spark, sf)).select(
         "subset", "id", "prediction", F.round("loglik", 6).alias("loglik")
     )
 

@@ -27,7 +27,14 @@ def test_out_of_range_token_is_null(spark):
 
 def _choose(spark, rows):
     df = spark.createDataFrame(rows, "subset string, id string, choice string, loglik double")
-    return {r.id: r.prediction for r in LL.choose(df).collect()}
+    via_sums = {r.id: r.prediction for r in LL.choose(df).collect()}
+    # the same decision straight from a logits table: logits [x, 0] with
+    # token 0 give log-prob x - log(1 + e^x), monotone in x (NaN stays NaN)
+    lg = df.select("subset", "id", "choice", F.lit(0).alias("pos"), F.lit(0).alias("token_id"),
+                   F.array(F.col("loglik"), F.lit(0.0)).alias("logits"))
+    direct = {r.id: r.prediction for r in LL.choose_from_logits(lg).collect()}
+    assert via_sums == direct
+    return via_sums
 
 
 def test_argmax_ties_and_nan(spark):
