@@ -14,11 +14,14 @@ partition). The rows are keyed by ``(subset, id)``, never by position.
 
 ``partitions`` fixes how many tasks call the service concurrently; rows are
 spread by a hash of the key, so a large subset does not serialise its calls.
+``threads`` > 1 additionally keeps that many calls in flight per task (the
+responder must then be thread-safe); outputs keep the input order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -68,6 +71,7 @@ def respond(
     partitions: int | None = None,
     keys: tuple[str, str] = ("subset", "id"),
     carry: tuple[str, ...] = (),
+    threads: int = 1,
     **options,
 ) -> DataFrame:
     """``subset, id, full_response, error, attempts`` (+ ``carry`` columns,
@@ -100,6 +104,11 @@ def respond(
                     )
                 texts = texts if texts is not None else [None] * len(prompts)
                 attempts = [tries] * len(prompts)
+            elif threads > 1:
+                with ThreadPoolExecutor(max_workers=threads) as pool:
+                    results = list(
+                        pool.map(lambda p: _call_with_retries(responder, p, max_tries), prompts)
+                    )
             else:
                 results = [_call_with_retries(responder, p, max_tries) for p in prompts]
                 texts = [r[0] for r in results]

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import BACKEND_PREFILL, BACKEND_STYLE, TOPIC_LINE
-from ..functions.templates import chat_wrap, flat_prefill, template_text, with_prefill
+from ..functions.templates import chat_wrap, flat_prefill, messages, template_text, with_prefill
 from ..operators.prompts import build_prompts, build_prompts_budget, check_k
 from ..operators.respond import prefix_commit, reconcile, respond
 from ..operators.scoring import report_for, rescore
@@ -59,9 +59,12 @@ def model_input(
         if chat_template:
             return lambda p: chat_wrap(p, prefill)
         return lambda p: with_prefill(p, prefill)
-    # API backends get the prompt with the stripped prefill (as the opening
-    # of the assistant turn, or glued on for single-string APIs)
-    return lambda p: flat_prefill(p, prefill)
+    if backend == "google":
+        # single-string API: the stripped prefill is glued to the prompt
+        return lambda p: flat_prefill(p, prefill)
+    # chat APIs: [user: prompt, assistant: stripped prefill]; the responder
+    # receives a list of {"role", "content"} records
+    return lambda p: messages(p, prefill)
 
 
 def evaluate(
@@ -83,6 +86,7 @@ def evaluate(
     run_id: str | None = None,
     topic: str = TOPIC_LINE,
     strict: bool = False,
+    log_format: str = "json",
     **options,
 ) -> EvalResult:
     """Run (or resume) an evaluation and report accuracy per subset.
@@ -91,6 +95,7 @@ def evaluate(
     before the first failed call (in item order) are logged, and the run
     then raises. By default every success is logged and failures are
     returned in ``EvalResult.failures`` (a resume retries them).
+    ``log_format="parquet"`` keeps a columnar log (JSON lines by default).
     """
     check_k(k)
     cot = mode == "cot"
@@ -116,7 +121,7 @@ def evaluate(
             test, dev, k, max_length, wrapper, style, cot, topic, token_len
         ).drop("budget_left")
 
-    todo = prompts if overwrite else pending(prompts, read_log(spark, log_path, names))
+    todo = prompts if overwrite else pending(prompts, read_log(spark, log_path, names, log_format))
     todo = todo.withColumn("model_input", to_input(F.col("prompt")))
 
     responses = respond(
@@ -136,9 +141,10 @@ def evaluate(
     if strict:
         ok = prefix_commit(staged.withColumn("failed", F.col("error").isNotNull()), "failed", "seq")
     if overwrite:
-        overwrite_log(spark, ok, log_path, names or [r["subset"] for r in requested.collect()], run_id)
+        targets = names or [r["subset"] for r in requested.collect()]
+        overwrite_log(spark, ok, log_path, targets, run_id, log_format)
     else:
-        append_log(ok, log_path, run_id)
+        append_log(ok, log_path, run_id, log_format)
 
     if strict:
         failed = [r["subset"] for r in staged.where(F.col("error").isNotNull())
@@ -146,7 +152,7 @@ def evaluate(
         if failed:
             raise RuntimeError(f"calls failed in subsets {sorted(failed)}; only earlier items were logged")
 
-    log = read_log(spark, log_path, names)
+    log = read_log(spark, log_path, names, log_format)
     result = report_for(rescore(log, None, mode), requested)
     failures = staged.where(F.col("error").isNotNull())
     counts = reconcile(staged.select("subset"), staged)

@@ -34,19 +34,21 @@ def empty_log(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], LOG_SCHEMA)
 
 
-def read_log(spark: SparkSession, path: str, subsets: list[str] | None = None) -> DataFrame:
+def read_log(
+    spark: SparkSession, path: str, subsets: list[str] | None = None, fmt: str = "json"
+) -> DataFrame:
     """Read a log folder; a missing folder is an empty log.
 
-    A malformed line fails the read (FAILFAST) instead of turning into a row
-    of nulls.
+    A malformed JSON line fails the read (FAILFAST) instead of turning into
+    a row of nulls. ``fmt="parquet"`` reads a columnar log, where scoring
+    never touches the (large) prompt column.
     """
     try:
-        df = (
-            spark.read.schema(LOG_SCHEMA)
-            .option("mode", "FAILFAST")
-            .option("basePath", path)
-            .json(path)
-        )
+        reader = spark.read.schema(LOG_SCHEMA).option("basePath", path)
+        if fmt == "json":
+            df = reader.option("mode", "FAILFAST").json(path)
+        else:
+            df = reader.format(fmt).load(path)
         # resolve eagerly so that a missing path is caught here
         df.schema  # noqa: B018
     except AnalysisException as e:
@@ -63,15 +65,16 @@ def _log_rows(df: DataFrame, run_id: str | None) -> DataFrame:
     return df.select(*LOG_FIELDS, run.alias("run_id"), "subset")
 
 
-def append_log(df: DataFrame, path: str, run_id: str | None = None) -> None:
+def _writer(df: DataFrame, mode: str, fmt: str):
+    w = df.write.mode(mode).partitionBy("subset")
+    if fmt == "json":
+        return w.option("ignoreNullFields", "false").format("json")
+    return w.format(fmt)
+
+
+def append_log(df: DataFrame, path: str, run_id: str | None = None, fmt: str = "json") -> None:
     """Append lines (UTF-8, unescaped, null fields written as null)."""
-    (
-        _log_rows(df, run_id)
-        .write.mode("append")
-        .partitionBy("subset")
-        .option("ignoreNullFields", "false")
-        .json(path)
-    )
+    _writer(_log_rows(df, run_id), "append", fmt).save(path)
 
 
 def overwrite_log(
@@ -80,32 +83,47 @@ def overwrite_log(
     path: str,
     subsets: list[str],
     run_id: str | None = None,
+    fmt: str = "json",
 ) -> None:
     """Replace the log of exactly the given subsets; other subsets are untouched.
 
     Dynamic partition overwrite only replaces partitions that receive rows,
-    so a requested subset that gets no rows is emptied explicitly.
+    so a requested subset that gets no rows is emptied explicitly. ``df``
+    should be materialised (``evaluate`` passes its staged responses): the
+    subsets it holds are read from it once more, on the ``subset`` column
+    alone.
     """
     rows = _log_rows(df, run_id).where(F.col("subset").isin(subsets))
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("subset")
-        .option("ignoreNullFields", "false")
-        .json(path)
-    )
-    present = {r["subset"] for r in read_log(spark, path).select("subset").distinct().collect()}
+    _writer(rows, "overwrite", fmt).option("partitionOverwriteMode", "dynamic").save(path)
     written = {r["subset"] for r in rows.select("subset").distinct().collect()}
-    for name in set(subsets) - written:
-        if name in present:
-            _delete_partition(spark, path, name)
+    present = set(list_subsets(spark, path))
+    for name in (set(subsets) - written) & present:
+        _delete_partition(spark, path, name)
 
 
-def _delete_partition(spark: SparkSession, path: str, subset: str) -> None:
+def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    part = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/subset={subset}")
-    part.getFileSystem(conf).delete(part, True)
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
+
+
+def list_subsets(spark: SparkSession, path: str) -> list[str]:
+    """Subsets present in a log folder, from a directory listing (no data read)."""
+    fs, Path = _fs(spark, path)
+    statuses = fs.globStatus(Path(f"{path.rstrip('/')}/subset=*"))
+    if statuses is None:
+        return []
+    names = []
+    for st in statuses:
+        if st.isDirectory():
+            names.append(st.getPath().getName().split("=", 1)[1])
+    return names
+
+
+def _delete_partition(spark: SparkSession, path: str, subset: str) -> None:
+    fs, Path = _fs(spark, path)
+    fs.delete(Path(f"{path.rstrip('/')}/subset={subset}"), True)
 
 
 def logged_ids(log: DataFrame) -> DataFrame:

@@ -24,11 +24,15 @@ def scored_stream(
     mode: str | bool = "direct",
     dedupe: bool = False,
     max_files_per_trigger: int | None = None,
+    fmt: str = "json",
 ) -> DataFrame:
-    reader = spark.readStream.schema(LOG_SCHEMA).option("mode", "FAILFAST")
+    reader = spark.readStream.schema(LOG_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    rows = reader.json(log_path)
+    if fmt == "json":
+        rows = reader.option("mode", "FAILFAST").json(log_path)
+    else:
+        rows = reader.format(fmt).load(log_path)
     if dedupe:
         # keeps the first line seen per item; unlike the batch report,
         # where a repeated line counts again
@@ -53,9 +57,10 @@ def score_stream(
     dedupe: bool = False,
     available_now: bool = True,
     processing_time: str | None = None,
+    fmt: str = "json",
 ):
     """Start the streaming report; returns the ``StreamingQuery``."""
-    agg = running_report(scored_stream(spark, log_path, mode, dedupe))
+    agg = running_report(scored_stream(spark, log_path, mode, dedupe, fmt=fmt))
 
     def publish(batch: DataFrame, _epoch: int) -> None:
         batch.coalesce(1).write.mode("overwrite").parquet(report_path)

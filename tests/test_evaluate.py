@@ -105,3 +105,21 @@ def test_token_counters(spark):
 def test_engine_outputs_sorted_by_numeric_request_id():
     assert _in_request_order([("10", "c"), ("2", "b"), ("1", "a")]) == ["a", "b", "c"]
     assert _in_request_order(["x", "y"]) == ["x", "y"]
+
+
+def test_chat_api_backends_receive_messages(spark, sf_small, scratch):
+    class EchoRoles:
+        def __init__(self, **_):
+            pass
+
+        def __call__(self, msgs):
+            roles = [m["role"] for m in msgs]
+            assert roles == ["user", "assistant"]
+            assert msgs[1]["content"] == "正確答案：("
+            assert msgs[0]["content"].endswith(")") or "問題：" in msgs[0]["content"]
+            return "B)"
+
+    sets = td.exam_item_sets(spark, sf_small)
+    res = evaluate(spark, sets, EchoRoles, scratch("run"), k=0, backend="anthropic", subsets="es")
+    assert spark.read.parquet(res.staged_path).where("error IS NOT NULL").count() == 0
+    assert _report(res.report)["es"][0] == sets.test.where("subset = 'es'").count()

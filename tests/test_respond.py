@@ -70,3 +70,9 @@ def test_prefix_commit_golden(spark):
     )
     got = sorted(r.id for r in prefix_commit(df).collect())
     assert got == ["1", "2", "5"]
+
+
+def test_threads_keep_order_and_results(spark):
+    one = {r.id: r.full_response for r in respond(_prompts(spark), LetterResponder).collect()}
+    many = {r.id: r.full_response for r in respond(_prompts(spark), LetterResponder, threads=8).collect()}
+    assert one == many

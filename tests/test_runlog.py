@@ -78,3 +78,16 @@ def test_run_dir_goldens(spark):
     )
     got = [r[0] for r in df.select(run_dir("model", "backend", "cot", F.col("log_dir"))).collect()]
     assert got == ["log/org_m_logits", "log/org_m_cot", "log/org_m", "x/y", "log/org_m"]
+
+
+def test_parquet_log_and_listing(spark, scratch):
+    from examflow.sources.runlog import list_subsets
+
+    path = scratch("plog")
+    append_log(_rows(spark, [("a", "1", "p", "A)", "A"), ("b", "2", None, "B)", "B")]), path, fmt="parquet")
+    assert sorted(list_subsets(spark, path)) == ["a", "b"]
+    assert list_subsets(spark, scratch("none")) == []
+    back = read_log(spark, path, fmt="parquet")
+    assert sorted((r.subset, r.id, r.prompt) for r in back.collect()) == [("a", "1", "p"), ("b", "2", None)]
+    overwrite_log(spark, _rows(spark, []), path, ["b"], fmt="parquet")
+    assert sorted(list_subsets(spark, path)) == ["a"]
