@@ -104,13 +104,14 @@ def respond(
                     )
                 texts = texts if texts is not None else [None] * len(prompts)
                 attempts = [tries] * len(prompts)
-            elif threads > 1:
-                with ThreadPoolExecutor(max_workers=threads) as pool:
-                    results = list(
-                        pool.map(lambda p: _call_with_retries(responder, p, max_tries), prompts)
-                    )
             else:
-                results = [_call_with_retries(responder, p, max_tries) for p in prompts]
+                if threads > 1:
+                    with ThreadPoolExecutor(max_workers=threads) as pool:
+                        results = list(
+                            pool.map(lambda p: _call_with_retries(responder, p, max_tries), prompts)
+                        )
+                else:
+                    results = [_call_with_retries(responder, p, max_tries) for p in prompts]
                 texts = [r[0] for r in results]
                 errors = [r[1] for r in results]
                 attempts = [r[2] for r in results]
