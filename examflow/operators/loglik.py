@@ -21,24 +21,38 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _log_sum_exp(arr: Column) -> tuple[Column, Column]:
-    m = F.array_max(arr)
-    total = F.aggregate(arr, F.lit(0.0).cast("double"), lambda acc, x: acc + F.exp(x - m))
-    return m, F.log(total)
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a lambda variable.
+
+    A column expression referenced inside a higher-order function's lambda is
+    re-evaluated for every element; binding it first keeps array maths linear.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def log_sum_exp(arr) -> Column:
+    """``max + ln(sum(exp(x - max)))``: the max comes from the compiled
+    ``array_max`` and is bound once, so the lambda does plain double
+    arithmetic per element (linear, as fast as NumPy on a 4k vocabulary in
+    our probe). NaN propagates; an empty array gives null."""
+    a = _c(arr)
+    zero = F.lit(0.0).cast("double")
+    return _let(
+        F.array_max(a),
+        lambda m: m + F.log(F.aggregate(a, zero, lambda acc, x: acc + F.exp(x - m))),
+    )
 
 
 def log_softmax(logits) -> Column:
-    """``x - max - ln(sum(exp(x - max)))`` element-wise."""
+    """``x - logsumexp(x)`` element-wise (linear in the vocabulary size)."""
     arr = _c(logits)
-    m, lse = _log_sum_exp(arr)
-    return F.transform(arr, lambda x: x - m - lse)
+    return _let(log_sum_exp(arr), lambda lse: F.transform(arr, lambda x: x - lse))
 
 
 def token_logprob(logits, token_id) -> Column:
     """log_softmax(logits)[token_id]; null when the id is out of range."""
     arr = _c(logits)
-    m, lse = _log_sum_exp(arr)
-    return F.get(arr, _c(token_id)) - m - lse
+    return F.get(arr, _c(token_id)) - log_sum_exp(arr)
 
 
 def _token_rows(logits_table: DataFrame) -> DataFrame:

@@ -83,6 +83,7 @@ def evaluate(
     token_len: Callable[[Column], Column] = F.length,
     max_tries: int = 1,
     partitions: int | None = None,
+    threads: int = 1,
     run_id: str | None = None,
     topic: str = TOPIC_LINE,
     strict: bool = False,
@@ -131,6 +132,7 @@ def evaluate(
         max_tries=max_tries,
         partitions=partitions,
         carry=("seq", "prompt", "gold_answer"),
+        threads=threads,
         **options,
     )
     staged_path = scratch_path(spark, "responses")

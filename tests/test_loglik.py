@@ -67,3 +67,20 @@ def test_left_truncate_python_slice(spark):
 def test_continuation(spark):
     df = spark.createDataFrame([([1, 2], [1, 2, 3, 4]), ([1, 2, 3], [1, 2])], "c array<int>, w array<int>")
     assert [r[0] for r in df.select(LL.continuation("c", "w")).collect()] == [[3, 4], []]
+
+
+def test_log_softmax_is_linear_in_vocabulary(spark):
+    """A 50k-entry vocabulary must not be re-scanned per element."""
+    import time
+
+    v = 50_000
+    df = spark.range(16, numPartitions=4).select(
+        F.transform(F.sequence(F.lit(1), F.lit(v)), lambda i: F.sin(i * (F.col("id") + 1))).alias("x"),
+        (F.col("id") * 7).cast("int").alias("t"),
+    ).cache()
+    df.count()
+    t = time.perf_counter()
+    got = df.select(LL.token_logprob("x", "t").alias("lp")).collect()
+    assert time.perf_counter() - t < 30
+    x = np.sin(np.arange(1, v + 1) * 1.0)
+    assert math.isclose(got[0].lp, x[0] - x.max() - np.log(np.exp(x - x.max()).sum()), rel_tol=1e-9)
