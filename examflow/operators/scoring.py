@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scorers import is_correct, scorer
+from ..functions.scorers import is_correct, with_prediction
 
 
 def score(
@@ -21,8 +21,7 @@ def score(
     gold: str = "gold_answer",
 ) -> DataFrame:
     """Adds ``prediction`` (null when no letter is found) and ``correct`` (0/1)."""
-    predict = scorer(mode)
-    return df.withColumn("prediction", predict(F.col(response))).withColumn(
+    return with_prediction(df, mode, response, "prediction").withColumn(
         "correct", is_correct(F.col("prediction"), F.col(gold))
     )
 

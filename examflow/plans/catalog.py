@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import BACKENDS, TOPIC_LINE
-from ..functions.scorers import predict_cot, predict_direct
+from ..functions.scorers import with_prediction
 from ..functions.templates import (
     chat_wrap,
     flat_prefill,
@@ -83,12 +83,9 @@ def predict_cot_q(spark, sf):
 
 def conversation_predictions(spark, sf):
     turns = td.assistant_turns(spark, sf)
-    return turns.select(
-        "conv_id",
-        "turn",
-        predict_direct(F.col("text")).alias("pred_direct"),
-        predict_cot(F.col("text")).alias("pred_cot"),
-    )
+    turns = with_prediction(turns, "direct", "text", "pred_direct")
+    turns = with_prediction(turns, "cot", "text", "pred_cot")
+    return turns.select("conv_id", "turn", "pred_direct", "pred_cot")
 
 
 def _document_lines(spark, sf):

@@ -113,3 +113,13 @@ def test_whitespace_appended_does_not_change_direct(spark):
         predict_direct(F.concat(F.col("r"), F.lit(" \n　"))).alias("b"),
     ).collect()
     assert all(r.a == r.b for r in out)
+
+
+def test_staged_prediction_equals_column_readers(spark):
+    from examflow.functions.scorers import with_prediction
+
+    df = spark.createDataFrame([(i, g[0]) for i, g in enumerate(GOLDENS)], "i int, r string")
+    staged = with_prediction(with_prediction(df, "direct", "r", "d"), "cot", "r", "c")
+    assert staged.columns == ["i", "r", "d", "c"]
+    got = {r.i: (r.d, r.c) for r in staged.collect()}
+    assert got == {i: (g[1], g[2]) for i, g in enumerate(GOLDENS)}
