@@ -123,3 +123,14 @@ def test_staged_prediction_equals_column_readers(spark):
     assert staged.columns == ["i", "r", "d", "c"]
     got = {r.i: (r.d, r.c) for r in staged.collect()}
     assert got == {i: (g[1], g[2]) for i, g in enumerate(GOLDENS)}
+
+
+def test_conversation_prediction_counts_match_fixtures(spark):
+    """Counts probed independently at sf0.01 (FIXTURES.md §3)."""
+    from examflow.plans.catalog import QUERIES
+
+    df = QUERIES["conversation_predictions"](spark, "/root/testdata/sf0.01")
+    direct = {r[0]: r[1] for r in df.groupBy("pred_direct").count().collect()}
+    cot = {r[0]: r[1] for r in df.groupBy("pred_cot").count().collect()}
+    assert direct == {None: 22, "A": 75, "B": 12, "C": 8, "D": 16, "E": 93, "F": 7}
+    assert cot == {None: 22, "A": 60, "B": 12, "C": 11, "D": 14, "E": 111, "F": 3}
