@@ -40,7 +40,17 @@ def token_len_udf(make_encoder: Callable[[], Callable[[str], list]]) -> Callable
             enc = state["enc"] = make_encoder()
         return texts.map(lambda t: None if t is None else len(enc(t))).astype("Int32")
 
-    return lambda c: _count(_c(c))
+    def apply(c) -> Column:
+        from pyspark.sql import SparkSession
+
+        from ..session import ship_package
+
+        active = SparkSession.getActiveSession()
+        if active is not None:
+            ship_package(active)
+        return _count(_c(c))
+
+    return apply
 
 
 def tokenizer_file_len(path: str) -> Callable[[Column], Column]:
