@@ -75,3 +75,8 @@ def cut_at_question(c) -> Column:
 
 def replace_model_slash(c) -> Column:
     return F.replace(_c(c), F.lit("/"), F.lit("_"))
+
+
+def is_awq(model) -> Column:
+    """Engine hint: the model name mentions AWQ quantisation (case-insensitive)."""
+    return F.lower(_c(model)).contains("awq")

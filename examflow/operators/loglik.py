@@ -55,6 +55,32 @@ def token_logprob(logits, token_id) -> Column:
     return F.get(arr, _c(token_id)) - log_sum_exp(arr)
 
 
+def shifted_pairs(logits_seq, token_ids, n) -> Column:
+    """For the last ``n`` tokens, pair each with the logits of the position
+    before it (position t predicts token t+1): ``array<struct<logits, token_id>>``.
+
+    ``logits_seq`` holds one score vector per input position of the
+    sequence without its last token; ``token_ids`` is the full sequence.
+    """
+    seq, toks = _c(logits_seq), _c(token_ids)
+    n = F.lit(n) if isinstance(n, int) else _c(n)
+    k = F.least(n, F.size(seq))
+    return F.arrays_zip(
+        F.slice(seq, F.size(seq) - k + 1, k).alias("logits"),
+        F.slice(toks, F.size(toks) - k + 1, k).alias("token_id"),
+    )
+
+
+def continuation_logprob(logits_seq, token_ids, n) -> Column:
+    """Sum of the log-probabilities of the last ``n`` tokens of a sequence."""
+    pairs = shifted_pairs(logits_seq, token_ids, n)
+    return F.aggregate(
+        pairs,
+        F.lit(0.0).cast("double"),
+        lambda acc, p: acc + (F.get(p["logits"], p["token_id"]) - log_sum_exp(p["logits"])),
+    )
+
+
 def _token_rows(logits_table: DataFrame) -> DataFrame:
     return logits_table.select(
         "subset", "id", "choice", token_logprob("logits", "token_id").alias("lp")

@@ -55,14 +55,18 @@ def rescore(
     past_log: DataFrame,
     new_responses: DataFrame | None,
     mode: str | bool = "direct",
+    dedupe: bool = False,
 ) -> DataFrame:
     """Past log lines re-scored with the current mode, bag-unioned with new scores.
 
-    Duplicated log lines count as many times as they occur, and the gold
-    answer is the one that was logged.
+    Duplicated log lines count as many times as they occur (``dedupe=True``
+    keeps one line per item instead), and the gold answer is the one that
+    was logged.
     """
     cols = ["subset", "id", "full_response", "gold_answer"]
     rows = past_log.select(*cols)
+    if dedupe:
+        rows = rows.dropDuplicates(["subset", "id"])
     if new_responses is not None:
         rows = rows.unionByName(new_responses.select(*cols))
     return score(rows, mode)

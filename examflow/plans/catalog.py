@@ -25,7 +25,7 @@ from ..functions.templates import (
     topic_block,
     with_prefill,
 )
-from ..functions.text import cut_at_question, find_choice, find_choice_pos, is_answer_format
+from ..functions.text import cut_at_question, find_choice, find_choice_pos, is_answer_format, is_awq
 from ..operators import loglik as LL
 from ..operators.prompts import build_prompts, build_prompts_budget
 from ..operators.respond import FlakyResponder, LetterResponder, prefix_commit, reconcile, respond
@@ -264,7 +264,11 @@ def run_dirs(spark, sf):
         F.when(F.pmod(n, 5) == 0, F.concat(F.lit("custom/"), "lang")).alias("log_dir"),
     )
     return runs.select(
-        "model", "backend", "cot", run_dir("model", "backend", "cot", F.col("log_dir")).alias("run_dir")
+        "model",
+        "backend",
+        "cot",
+        run_dir("model", "backend", "cot", F.col("log_dir")).alias("run_dir"),
+        is_awq("model").alias("awq"),
     )
 
 

@@ -439,7 +439,7 @@ def _build() -> dict[str, str]:
     q["run_dirs"] = (
         "SELECT model, backend, cot, coalesce(nullif(log_dir, ''), "
         "'log/' || replace(model, '/', '_') || CASE WHEN backend = 'hf' THEN '_logits' "
-        "WHEN cot THEN '_cot' ELSE '' END) AS run_dir FROM ("
+        "WHEN cot THEN '_cot' ELSE '' END) AS run_dir, contains(lower(model), 'awq') AS awq FROM ("
         f"SELECT lang || '/' || source AS model, {backends}[n_ % 6 + 1] AS backend, "
         "(n_ % 4 = 1) AS cot, CASE WHEN n_ % 5 = 0 THEN 'custom/' || lang END AS log_dir "
         "FROM (SELECT DISTINCT lang, source, CAST(regexp_extract(source, '[0-9]+', 0) AS INTEGER) AS n_ "

@@ -84,3 +84,16 @@ def test_log_softmax_is_linear_in_vocabulary(spark):
     assert time.perf_counter() - t < 30
     x = np.sin(np.arange(1, v + 1) * 1.0)
     assert math.isclose(got[0].lp, x[0] - x.max() - np.log(np.exp(x - x.max()).sum()), rel_tol=1e-9)
+
+
+def test_shifted_continuation_logprob(spark):
+    rng = np.random.default_rng(1)
+    T, V, n = 6, 9, 2
+    seq_logits = rng.normal(size=(T - 1, V))  # positions 0..T-2 predict tokens 1..T-1
+    toks = rng.integers(0, V, size=T).tolist()
+    df = spark.createDataFrame([(seq_logits.tolist(), toks)], "l array<array<double>>, t array<int>")
+    got = df.select(LL.continuation_logprob("l", "t", n)).first()[0]
+    ls = seq_logits - seq_logits.max(1, keepdims=True)
+    ls = ls - np.log(np.exp(ls).sum(1, keepdims=True))
+    want = sum(ls[t - 1, toks[t]] for t in range(T - n, T))
+    assert math.isclose(got, want, rel_tol=1e-12)
