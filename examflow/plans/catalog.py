@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import BACKENDS, TOPIC_LINE
+from ..functions.constants import BACKENDS
 from ..functions.scorers import with_prediction
 from ..functions.templates import (
     chat_wrap,
@@ -22,7 +22,6 @@ from ..functions.templates import (
     option_array,
     render_options,
     take_present,
-    topic_block,
     with_prefill,
 )
 from ..functions.text import cut_at_question, find_choice, find_choice_pos, is_answer_format, is_awq
@@ -449,4 +448,4 @@ QUERIES: dict[str, Query] = {
     "stream_report": stream_report,
 }
 
-__all__ = ["QUERIES", "TOPIC_LINE", "topic_block"]
+__all__ = ["QUERIES"]

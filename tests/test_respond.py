@@ -1,7 +1,6 @@
 """Responder contract, retries, reconciliation and prefix commit."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from examflow.operators.respond import (
     BatchLetterResponder,
