@@ -26,14 +26,18 @@ def score(
     )
 
 
-def report(scored: DataFrame, order: bool = True) -> DataFrame:
-    """``subset, n, n_correct, avg_score`` — one row per subset seen."""
-    out = scored.groupBy("subset").agg(
+def report(scored: DataFrame, order: bool = True, by: tuple[str, ...] = ("subset",)) -> DataFrame:
+    """``subset, n, n_correct, avg_score`` — one row per subset seen.
+
+    ``by=("run_id", "subset")`` reports many runs (models, settings) from one
+    scan of their logs in the same single aggregation.
+    """
+    out = scored.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("correct").cast("long").alias("n_correct"),
         F.avg("correct").alias("avg_score"),
     )
-    return out.orderBy("subset") if order else out
+    return out.orderBy(*by) if order else out
 
 
 def report_for(scored: DataFrame, requested: DataFrame, order: bool = True) -> DataFrame:
@@ -64,6 +68,8 @@ def rescore(
     was logged.
     """
     cols = ["subset", "id", "full_response", "gold_answer"]
+    if "run_id" in past_log.columns and (new_responses is None or "run_id" in new_responses.columns):
+        cols.append("run_id")
     rows = past_log.select(*cols)
     if dedupe:
         rows = rows.dropDuplicates(["subset", "id"])

@@ -91,3 +91,14 @@ def test_parquet_log_and_listing(spark, scratch):
     assert sorted((r.subset, r.id, r.prompt) for r in back.collect()) == [("a", "1", "p"), ("b", "2", None)]
     overwrite_log(spark, _rows(spark, []), path, ["b"], fmt="parquet")
     assert sorted(list_subsets(spark, path)) == ["a"]
+
+
+def test_report_by_run(spark, scratch):
+    from examflow.operators.scoring import report, rescore
+
+    path = scratch("runs")
+    append_log(_rows(spark, [("a", "1", "p", "A)", "A"), ("a", "2", "p", "B)", "A")]), path, run_id="m1")
+    append_log(_rows(spark, [("a", "1", "p", "A)", "A"), ("a", "2", "p", "A)", "A")]), path, run_id="m2")
+    got = {(r.run_id, r.subset): (r.n, r.n_correct) for r in
+           report(rescore(read_log(spark, path), None), by=("run_id", "subset")).collect()}
+    assert got == {("m1", "a"): (2, 1), ("m2", "a"): (2, 2)}
