@@ -131,6 +131,49 @@ def respond(
     return payload.mapInPandas(run, out_schema)
 
 
+LOGLIK_SCHEMA = T.StructType(
+    [
+        T.StructField("subset", T.StringType()),
+        T.StructField("id", T.StringType()),
+        T.StructField("choice", T.StringType()),
+        T.StructField("loglik", T.DoubleType()),
+    ]
+)
+
+
+def score_options(
+    requests: DataFrame, factory: Callable[..., object], partitions: int | None = None, **options
+) -> DataFrame:
+    """``subset, id, choice, loglik`` from a model's ``loglik(contexts,
+    continuations) -> list[float]`` (the summed log-probability of each
+    continuation after its context), called once per Arrow batch.
+
+    All options of an item travel together (rows are spread by item key),
+    so an engine can share the context's work between them.
+    """
+    ship_package(requests.sparkSession)
+    payload = requests.select("subset", "id", "choice", "context", "continuation")
+    if partitions:
+        payload = payload.repartition(partitions, "subset", "id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = factory(**options)
+        for pdf in batches:
+            scores = list(model.loglik(pdf["context"].tolist(), pdf["continuation"].tolist()))
+            if len(scores) != len(pdf):
+                raise ValueError(f"model returned {len(scores)} scores for {len(pdf)} requests")
+            yield pd.DataFrame(
+                {
+                    "subset": pdf["subset"],
+                    "id": pdf["id"],
+                    "choice": pdf["choice"],
+                    "loglik": pd.array(scores, dtype="float64"),
+                }
+            )
+
+    return payload.mapInPandas(run, LOGLIK_SCHEMA)
+
+
 def reconcile(expected: DataFrame, responses: DataFrame) -> DataFrame:
     """``subset, n_expected, n_answered, n_missing`` in one aggregation.
 
@@ -200,6 +243,17 @@ class FlakyResponder(LetterResponder):
         return super().__call__(prompt)
 
 
+class ModLoglikModel:
+    """Deterministic stand-in for a language model's option scoring:
+    loglik = -((len(context) + ord(continuation)) % 5)."""
+
+    def __init__(self, **_):
+        pass
+
+    def loglik(self, contexts: list[str], continuations: list[str]) -> list[float]:
+        return [-float((len(c) + ord(x)) % 5) for c, x in zip(contexts, continuations)]
+
+
 class BatchLetterResponder(LetterResponder):
     """Engine-style responder: one call for a whole batch."""
 

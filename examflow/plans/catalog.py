@@ -391,6 +391,19 @@ def evaluate_budget_chat(spark, sf):
     return result.report
 
 
+def evaluate_loglik(spark, sf):
+    """A fresh probability-backend run: 5-shot prompts, every option present
+    scored by the model, arg-max labels logged and scored, report."""
+    from ..operators.respond import ModLoglikModel
+    from .evaluate import evaluate
+
+    sets = td.exam_item_sets(spark, sf)
+    result = evaluate(
+        spark, sets, ModLoglikModel, scratch_path(spark, "run"), k=5, backend="hf", run_id="hf"
+    )
+    return result.report
+
+
 def stream_report(spark, sf):
     path = scratch_path(spark, "stream-log")
     append_log(td.exam_log(spark, sf), path, run_id="r1")
@@ -445,6 +458,7 @@ QUERIES: dict[str, Query] = {
     "respond_retry": respond_retry,
     "evaluate_resume": evaluate_resume,
     "evaluate_budget_chat": evaluate_budget_chat,
+    "evaluate_loglik": evaluate_loglik,
     "stream_report": stream_report,
 }
 

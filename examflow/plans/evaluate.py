@@ -20,10 +20,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import BACKEND_PREFILL, BACKEND_STYLE, TOPIC_LINE
+from ..functions.constants import BACKEND_PREFILL, BACKEND_STYLE, OPTION_LETTERS, TOPIC_LINE
 from ..functions.templates import chat_wrap, flat_prefill, messages, template_text, with_prefill
 from ..operators.prompts import build_prompts, build_prompts_budget, check_k
-from ..operators.respond import prefix_commit, reconcile, respond
+from ..operators.loglik import choose, loglik_requests
+from ..operators.respond import prefix_commit, reconcile, respond, score_options
 from ..operators.scoring import report_for, rescore
 from ..session import scratch_path
 from ..sources.items import catalog_of, requested_table, select_subsets, validate_subsets
@@ -67,6 +68,26 @@ def model_input(
     return lambda p: messages(p, prefill)
 
 
+def _loglik_responses(todo, factory, chat_template, partitions, **options):
+    """Probability path: score every option present, log the arg-max label."""
+    prefill = _prefill("hf", False)
+    ctx = todo
+    if chat_template:
+        ctx = todo.withColumn("prompt", chat_wrap(F.col("prompt"), ""))
+    chosen = choose(score_options(loglik_requests(ctx, prefill), factory, partitions, **options))
+    # one row per item comes back; the logged fields are joined on the key
+    return chosen.join(todo.select("subset", "id", "seq", "prompt", "gold_answer"), ["subset", "id"]).select(
+        "subset",
+        "id",
+        F.col("prediction").alias("full_response"),
+        F.lit(None).cast("string").alias("error"),
+        F.lit(1).alias("attempts"),
+        "seq",
+        "prompt",
+        "gold_answer",
+    )
+
+
 def evaluate(
     spark: SparkSession,
     items: DataFrame | ExamItems,
@@ -114,27 +135,33 @@ def evaluate(
     test = select_subsets(test_items(everything), names)
     dev = select_subsets(dev_all, names)
 
+    keep = tuple(OPTION_LETTERS) if backend == "hf" else ()
     if max_length is None:
-        prompts = build_prompts(test, dev, k, style, cot, topic)
+        prompts = build_prompts(test, dev, k, style, cot, topic, keep=keep)
     else:
         wrapper = template_text(_prefill(backend, cot), chat_template)
         prompts = build_prompts_budget(
-            test, dev, k, max_length, wrapper, style, cot, topic, token_len
+            test, dev, k, max_length, wrapper, style, cot, topic, token_len, keep=keep
         ).drop("budget_left")
 
     todo = prompts if overwrite else pending(prompts, read_log(spark, log_path, names, log_format))
-    todo = todo.withColumn("model_input", to_input(F.col("prompt")))
-
-    responses = respond(
-        todo,
-        factory,
-        input_col="model_input",
-        max_tries=max_tries,
-        partitions=partitions,
-        carry=("seq", "prompt", "gold_answer"),
-        threads=threads,
-        **options,
-    )
+
+    if backend == "hf":
+        # probability path: every option present is scored by the model and
+        # the arg-max label "X)" becomes the logged response
+        responses = _loglik_responses(todo, factory, chat_template, partitions, **options)
+    else:
+        todo = todo.withColumn("model_input", to_input(F.col("prompt")))
+        responses = respond(
+            todo,
+            factory,
+            input_col="model_input",
+            max_tries=max_tries,
+            partitions=partitions,
+            carry=("seq", "prompt", "gold_answer"),
+            threads=threads,
+            **options,
+        )
     staged_path = scratch_path(spark, "responses")
     responses.write.mode("overwrite").parquet(staged_path)
     staged = spark.read.parquet(staged_path)

@@ -529,6 +529,25 @@ new_ AS (
 )""",
         _report_sql("new_", "direct"),
     )
+    q["evaluate_loglik"] = _with(
+        ITEMS_CTE
+        + _header_ctes(5, "bare", False)
+        + f""",
+prompts_ AS ({_prompt_select(5, "bare", False)}),
+opts_ AS (
+  SELECT p.subset, p.id, p.gold_answer, chr(CAST(64 + o.pos_ AS INTEGER)) AS choice,
+         -((length(p.prompt || {lit(C.DIRECT_PREFILL)}) + 64 + o.pos_) % 5) AS ll
+  FROM prompts_ p JOIN (
+    SELECT subset, id, unnest(generate_series(1, len({present()}))) AS pos_
+    FROM exam_items WHERE split = 'test') o USING (subset, id)
+),
+best_ AS (
+  SELECT subset, gold_answer, choice || ')' AS full_response FROM (
+    SELECT *, row_number() OVER (PARTITION BY subset, id ORDER BY ll DESC, choice) AS r_ FROM opts_)
+  WHERE r_ = 1
+)""",
+        _report_sql("best_", "direct"),
+    )
     q["stream_report"] = _with(
         LOG_CTE,
         _report_sql("(SELECT subset, full_response, gold_answer FROM exam_log)", "direct"),

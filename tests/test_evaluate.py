@@ -123,3 +123,27 @@ def test_chat_api_backends_receive_messages(spark, sf_small, scratch):
     res = evaluate(spark, sets, EchoRoles, scratch("run"), k=0, backend="anthropic", subsets="es")
     assert spark.read.parquet(res.staged_path).where("error IS NOT NULL").count() == 0
     assert _report(res.report)["es"][0] == sets.test.where("subset = 'es'").count()
+
+
+def test_probability_backend_with_chat_template(spark, sf_small, scratch):
+    from examflow.functions.templates import DEFAULT_CHAT_TEMPLATE
+    from examflow.operators.prompts import build_prompts
+    from examflow.operators.respond import ModLoglikModel
+
+    sets = td.exam_item_sets(spark, sf_small)
+    path = scratch("run")
+    evaluate(spark, sets, ModLoglikModel, path, k=2, backend="hf", chat_template=True, subsets="de")
+    logged = {r.id: (r.full_response, r.prompt) for r in read_log(spark, path).collect()}
+    prompts = build_prompts(sets.test.where("subset = 'de'"), sets.dev, 2, "bare", keep=tuple("ABCDEF"))
+    before, after = DEFAULT_CHAT_TEMPLATE
+    expect = {}
+    for r in prompts.collect():
+        ctx = before + r.prompt + after + "\n正確答案：("
+        opts = []
+        for c in "ABCDEF":
+            if r[c] is None:
+                break
+            opts.append(c)
+        best = max(opts, key=lambda c: (-((len(ctx) + ord(c)) % 5), -ord(c)))
+        expect[r.id] = (best + ")", r.prompt)
+    assert logged == expect
