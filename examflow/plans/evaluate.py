@@ -145,6 +145,9 @@ def evaluate(
         ).drop("budget_left")
 
     todo = prompts if overwrite else pending(prompts, read_log(spark, log_path, names, log_format))
+    if partitions is None:
+        # calls are the slow part: spread them over every core by item key
+        partitions = spark.sparkContext.defaultParallelism
 
     if backend == "hf":
         # probability path: every option present is scored by the model and
