@@ -73,6 +73,14 @@ def cut_at_question(c) -> Column:
     return F.substring_index(_c(c), QUESTION_TAG, 1)
 
 
+def cut_at_stops(c, stops: list[str]) -> Column:
+    """Text before the earliest of several stop sequences."""
+    out = _c(c)
+    for stop in stops:
+        out = F.substring_index(out, stop, 1)
+    return out
+
+
 def replace_model_slash(c) -> Column:
     return F.replace(_c(c), F.lit("/"), F.lit("_"))
 

@@ -41,15 +41,19 @@ RESPONSE_SCHEMA = T.StructType(
 )
 
 
-def _call_with_retries(fn: Callable[[str], str], prompt: str, max_tries: int):
+def _call_with_retries(
+    fn: Callable[[str], str], prompt: str, max_tries: int, pool=None, call_timeout=None
+):
     last = None
     start_row = getattr(fn, "start_row", None)
     if start_row is not None:
         start_row()
     for attempt in range(1, max(max_tries, 1) + 1):
         try:
-            return fn(prompt), None, attempt
-        except Exception as e:  # noqa: BLE001 - any client error is retried
+            if pool is None:
+                return fn(prompt), None, attempt
+            return pool.submit(fn, prompt).result(timeout=call_timeout), None, attempt
+        except Exception as e:  # noqa: BLE001 - any client error (or timeout) is retried
             last = e
     return None, f"{type(last).__name__}: {last}", max(max_tries, 1)
 
@@ -72,10 +76,17 @@ def respond(
     keys: tuple[str, str] = ("subset", "id"),
     carry: tuple[str, ...] = (),
     threads: int = 1,
+    call_timeout: float | None = None,
     **options,
 ) -> DataFrame:
     """``subset, id, full_response, error, attempts`` (+ ``carry`` columns,
-    passed through untouched) for every input row."""
+    passed through untouched) for every input row.
+
+    ``call_timeout`` (seconds) stops waiting for a call that hangs and counts
+    it as a failed attempt, for clients without a timeout of their own (the
+    hung call keeps its worker thread; ``options`` such as ``timeout`` go to
+    the factory for clients that have one).
+    """
     ship_package(df.sparkSession)
     payload = df.select(*keys, F.col(input_col).alias("__input"), *carry)
     out_schema = T.StructType(RESPONSE_SCHEMA.fields + [df.schema[c] for c in carry])
@@ -86,6 +97,9 @@ def respond(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         responder = factory(**options)
         batch_fn = getattr(responder, "batch", None)
+        call_pool = (
+            ThreadPoolExecutor(max_workers=2 * max(threads, 1)) if call_timeout else None
+        )
         for pdf in batches:
             prompts = pdf["__input"].tolist()
             if batch_fn is not None:
@@ -105,13 +119,14 @@ def respond(
                 texts = texts if texts is not None else [None] * len(prompts)
                 attempts = [tries] * len(prompts)
             else:
+                def one(p):
+                    return _call_with_retries(responder, p, max_tries, call_pool, call_timeout)
+
                 if threads > 1:
                     with ThreadPoolExecutor(max_workers=threads) as pool:
-                        results = list(
-                            pool.map(lambda p: _call_with_retries(responder, p, max_tries), prompts)
-                        )
+                        results = list(pool.map(one, prompts))
                 else:
-                    results = [_call_with_retries(responder, p, max_tries) for p in prompts]
+                    results = [one(p) for p in prompts]
                 texts = [r[0] for r in results]
                 errors = [r[1] for r in results]
                 attempts = [r[2] for r in results]

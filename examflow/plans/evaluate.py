@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import BACKEND_PREFILL, BACKEND_STYLE, OPTION_LETTERS, TOPIC_LINE
+from ..functions.text import cut_at_stops
 from ..functions.templates import chat_wrap, flat_prefill, messages, template_text, with_prefill
 from ..operators.prompts import build_prompts, build_prompts_budget, check_k
 from ..operators.loglik import choose, loglik_requests
@@ -109,6 +110,8 @@ def evaluate(
     topic: str = TOPIC_LINE,
     strict: bool = False,
     log_format: str = "json",
+    stop: list[str] | None = None,
+    call_timeout: float | None = None,
     **options,
 ) -> EvalResult:
     """Run (or resume) an evaluation and report accuracy per subset.
@@ -118,6 +121,9 @@ def evaluate(
     then raises. By default every success is logged and failures are
     returned in ``EvalResult.failures`` (a resume retries them).
     ``log_format="parquet"`` keeps a columnar log (JSON lines by default).
+    ``stop`` truncates responses at the earliest stop sequence (for
+    responders without stop support; local engines stop at the question
+    tag). ``call_timeout`` bounds the wait for one call.
     """
     check_k(k)
     cot = mode == "cot"
@@ -163,8 +169,13 @@ def evaluate(
             partitions=partitions,
             carry=("seq", "prompt", "gold_answer"),
             threads=threads,
+            call_timeout=call_timeout,
             **options,
         )
+        if stop:
+            responses = responses.withColumn(
+                "full_response", cut_at_stops(F.col("full_response"), stop)
+            )
     staged_path = scratch_path(spark, "responses")
     responses.write.mode("overwrite").parquet(staged_path)
     staged = spark.read.parquet(staged_path)

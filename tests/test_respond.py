@@ -75,3 +75,33 @@ def test_threads_keep_order_and_results(spark):
     one = {r.id: r.full_response for r in respond(_prompts(spark), LetterResponder).collect()}
     many = {r.id: r.full_response for r in respond(_prompts(spark), LetterResponder, threads=8).collect()}
     assert one == many
+
+
+def test_call_timeout_counts_as_failed_attempt(spark):
+    class Slow:
+        def __init__(self, **_):
+            pass
+
+        def __call__(self, prompt):
+            import time
+
+            if len(prompt) % 2 == 0:
+                time.sleep(3)
+            return "A)"
+
+    out = respond(_prompts(spark, 6), Slow, max_tries=1, call_timeout=0.5).collect()
+    for r in out:
+        if (int(r.id) + 1) % 2 == 0:
+            assert r.full_response is None and "Timeout" in r.error
+        else:
+            assert r.full_response == "A)"
+
+
+def test_cut_at_stops(spark):
+    from pyspark.sql import functions as F
+
+    from examflow.functions.text import cut_at_stops
+
+    df = spark.createDataFrame([("ab問題：cd###e",), ("x###y問題：z",), ("plain",)], "t string")
+    got = [r[0] for r in df.select(cut_at_stops(F.col("t"), ["問題：", "###"])).collect()]
+    assert got == ["ab", "x", "plain"]
