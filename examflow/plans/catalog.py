@@ -29,7 +29,7 @@ from ..operators import loglik as LL
 from ..operators.prompts import build_prompts, build_prompts_budget
 from ..operators.respond import FlakyResponder, LetterResponder, prefix_commit, reconcile, respond
 from ..operators.scoring import report, rescore, score
-from ..session import scratch_path
+from ..session import parallelism, scratch_path
 from ..sources import testdata as td
 from ..sources.items import catalog_of, load_items, unknown_subsets, write_items
 from ..sources.runlog import append_log, overwrite_log, pending, read_log, run_dir
@@ -331,7 +331,7 @@ def _suffix_prompts(spark, sf, items):
 def respond_stub(spark, sf):
     items = _items(spark, sf)
     todo = pending(_suffix_prompts(spark, sf, items), td.log_rows_of(items))
-    out = respond(todo, LetterResponder, partitions=spark.sparkContext.defaultParallelism)
+    out = respond(todo, LetterResponder, partitions=parallelism(spark))
     return out.select("subset", "id", "full_response")
 
 
@@ -342,7 +342,7 @@ def respond_retry(spark, sf):
         todo,
         FlakyResponder,
         max_tries=RETRY_MAX_TRIES,
-        partitions=spark.sparkContext.defaultParallelism,
+        partitions=parallelism(spark),
     )
     return out.select(
         "subset", "id", "full_response", F.col("error").isNotNull().alias("failed"), "attempts"

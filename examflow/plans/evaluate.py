@@ -27,7 +27,7 @@ from ..operators.prompts import build_prompts, build_prompts_budget, check_k
 from ..operators.loglik import choose, loglik_requests
 from ..operators.respond import prefix_commit, reconcile, respond, score_options
 from ..operators.scoring import report_for, rescore
-from ..session import scratch_path
+from ..session import parallelism, scratch_path
 from ..sources.items import catalog_of, requested_table, select_subsets, validate_subsets
 from ..sources.runlog import append_log, overwrite_log, pending, read_log
 from ..sources.testdata import ExamItems, dev_items, test_items
@@ -153,7 +153,7 @@ def evaluate(
     todo = prompts if overwrite else pending(prompts, read_log(spark, log_path, names, log_format))
     if partitions is None:
         # calls are the slow part: spread them over every core by item key
-        partitions = spark.sparkContext.defaultParallelism
+        partitions = parallelism(spark)
 
     if backend == "hf":
         # probability path: every option present is scored by the model and
