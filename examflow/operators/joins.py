@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import parallelism
+
 DEFAULT_MAX_ROWS = 100_000
 DEFAULT_MAX_BYTES = 64 * 1024 * 1024
 DEFAULT_SALTS = 64
@@ -31,6 +33,7 @@ DEFAULT_SALTS = 64
 # still refers to one just recomputes it)
 _CACHED: deque[DataFrame] = deque()
 MAX_CACHED = 64
+SMALL_PARTITIONS = 64
 
 
 @dataclass(frozen=True)
@@ -49,7 +52,11 @@ def measure_small(
 ) -> SmallSide:
     """Materialise ``small`` and check it against a row and byte bound."""
     if materialise:
-        small = small.cache()
+        # Spark keeps a cached plan's shuffle partitioning as is (AQE may not
+        # coalesce it), so a small side would otherwise sit in hundreds of
+        # empty partitions that every later read schedules; merge them
+        # (narrow, no shuffle) before caching.
+        small = small.coalesce(min(parallelism(small.sparkSession), SMALL_PARTITIONS)).cache()
         _CACHED.append(small)
         while len(_CACHED) > MAX_CACHED:
             _CACHED.popleft().unpersist()

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scoring import score
+from ..session import parallelism
 from ..sources.runlog import LOG_SCHEMA
 
 
@@ -58,9 +59,18 @@ def score_stream(
     available_now: bool = True,
     processing_time: str | None = None,
     fmt: str = "json",
+    state_partitions: int | None = None,
 ):
-    """Start the streaming report; returns the ``StreamingQuery``."""
+    """Start the streaming report; returns the ``StreamingQuery``.
+
+    The number of state-store partitions is fixed when a checkpoint is first
+    created (from ``spark.sql.shuffle.partitions``); a per-subset report needs
+    few, so it is set explicitly for this query's start (default: the
+    cluster's cores, at most 64; more when ``dedupe`` keeps per-item state).
+    """
     agg = running_report(scored_stream(spark, log_path, mode, dedupe, fmt=fmt))
+    if state_partitions is None:
+        state_partitions = parallelism(spark) if dedupe else min(parallelism(spark), 64)
 
     def publish(batch: DataFrame, _epoch: int) -> None:
         batch.coalesce(1).write.mode("overwrite").parquet(report_path)
@@ -74,7 +84,13 @@ def score_stream(
         writer = writer.trigger(availableNow=True)
     elif processing_time:
         writer = writer.trigger(processingTime=processing_time)
-    return writer.start()
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, before)
 
 
 def stream_report_once(
