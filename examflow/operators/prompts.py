@@ -75,7 +75,7 @@ def shot_bank(
 
 def build_prompts(
     test: DataFrame,
-    dev: DataFrame,
+    dev: DataFrame | None,
     k: int,
     style: str = "bare",
     cot: bool = False,
@@ -118,7 +118,7 @@ def shots_type() -> str:
 
 def build_prompts_budget(
     test: DataFrame,
-    dev: DataFrame,
+    dev: DataFrame | None,
     k: int,
     max_length: int,
     template_text: str = "",
