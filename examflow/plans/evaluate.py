@@ -112,6 +112,7 @@ def evaluate(
     log_format: str = "json",
     stop: list[str] | None = None,
     call_timeout: float | None = None,
+    target_rows_per_file: int = 200_000,
     **options,
 ) -> EvalResult:
     """Run (or resume) an evaluation and report accuracy per subset.
@@ -185,9 +186,9 @@ def evaluate(
         ok = prefix_commit(staged.withColumn("failed", F.col("error").isNotNull()), "failed", "seq")
     if overwrite:
         targets = names or [r["subset"] for r in requested.collect()]
-        overwrite_log(spark, ok, log_path, targets, run_id, log_format)
+        overwrite_log(spark, ok, log_path, targets, run_id, log_format, target_rows_per_file)
     else:
-        append_log(ok, log_path, run_id, log_format)
+        append_log(ok, log_path, run_id, log_format, target_rows_per_file)
 
     if strict:
         failed = [r["subset"] for r in staged.where(F.col("error").isNotNull())

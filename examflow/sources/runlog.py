@@ -72,9 +72,38 @@ def _writer(df: DataFrame, mode: str, fmt: str):
     return w.format(fmt)
 
 
-def append_log(df: DataFrame, path: str, run_id: str | None = None, fmt: str = "json") -> None:
+def sized_by_subset(df: DataFrame, target_rows: int, key: str = "id") -> DataFrame:
+    """Lay rows out so a partitioned write makes files of about ``target_rows``.
+
+    A plain partitioned write from N tasks that each hold every subset makes
+    N x subsets small files. Here each subset gets ``ceil(rows / target)``
+    hash buckets (counted on the subset column alone, one small row per
+    subset to the driver) and rows are shuffled on ``(subset, bucket)``:
+    about one file per bucket, and a large subset is still spread over many
+    tasks. ``df`` should be materialised (a staged table), as it is read
+    twice.
+    """
+    counts = {r["subset"]: r["n"] for r in df.groupBy("subset").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return df
+    buckets = {s: max(1, -(-n // target_rows)) for s, n in counts.items() if s is not None}
+    per_subset = F.create_map(*[x for s, b in buckets.items() for x in (F.lit(s), F.lit(b))])
+    bucket = F.pmod(F.xxhash64(F.col(key)), F.coalesce(per_subset[F.col("subset")], F.lit(1)))
+    return df.repartition(max(1, sum(buckets.values())), F.col("subset"), bucket)
+
+
+def append_log(
+    df: DataFrame,
+    path: str,
+    run_id: str | None = None,
+    fmt: str = "json",
+    target_rows_per_file: int | None = None,
+) -> None:
     """Append lines (UTF-8, unescaped, null fields written as null)."""
-    _writer(_log_rows(df, run_id), "append", fmt).save(path)
+    rows = _log_rows(df, run_id)
+    if target_rows_per_file:
+        rows = sized_by_subset(rows, target_rows_per_file)
+    _writer(rows, "append", fmt).save(path)
 
 
 def overwrite_log(
@@ -84,6 +113,7 @@ def overwrite_log(
     subsets: list[str],
     run_id: str | None = None,
     fmt: str = "json",
+    target_rows_per_file: int | None = None,
 ) -> None:
     """Replace the log of exactly the given subsets; other subsets are untouched.
 
@@ -94,6 +124,8 @@ def overwrite_log(
     alone.
     """
     rows = _log_rows(df, run_id).where(F.col("subset").isin(subsets))
+    if target_rows_per_file:
+        rows = sized_by_subset(rows, target_rows_per_file)
     _writer(rows, "overwrite", fmt).option("partitionOverwriteMode", "dynamic").save(path)
     written = {r["subset"] for r in rows.select("subset").distinct().collect()}
     present = set(list_subsets(spark, path))

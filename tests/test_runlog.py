@@ -102,3 +102,30 @@ def test_report_by_run(spark, scratch):
     got = {(r.run_id, r.subset): (r.n, r.n_correct) for r in
            report(rescore(read_log(spark, path), None), by=("run_id", "subset")).collect()}
     assert got == {("m1", "a"): (2, 1), ("m2", "a"): (2, 2)}
+
+
+def test_sized_files_per_subset(spark, scratch):
+    import glob
+    import os
+
+    from examflow.sources.runlog import sized_by_subset
+
+    # one hot subset with 60% of the rows, spread over 8 input partitions
+    df = spark.range(2000, numPartitions=8).select(
+        F.when(F.col("id") % 5 < 3, F.lit("hot")).otherwise(F.concat(F.lit("s"), (F.col("id") % 4).cast("string"))).alias("subset"),
+        F.col("id").cast("string").alias("id"),
+        F.lit("p").alias("prompt"),
+        F.lit("A)").alias("full_response"),
+        F.lit("A").alias("gold_answer"),
+    )
+    plain, sized = scratch("plain"), scratch("sized")
+    append_log(df, plain)
+    append_log(df, sized, target_rows_per_file=300)
+    count = lambda p: len(glob.glob(os.path.join(p.removeprefix("file:"), "subset=*", "*.json")))
+    assert count(sized) < count(plain)
+    hot_files = glob.glob(os.path.join(sized.removeprefix("file:"), "subset=hot", "*.json"))
+    assert 2 <= len(hot_files) <= 6  # 1200 rows / 300 = 4 buckets (hash collisions may merge)
+    assert read_log(spark, sized).count() == 2000
+    layout = sized_by_subset(df, 300)
+    per_task = layout.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in per_task) <= 900
