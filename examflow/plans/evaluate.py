@@ -113,6 +113,7 @@ def evaluate(
     stop: list[str] | None = None,
     call_timeout: float | None = None,
     target_rows_per_file: int = 200_000,
+    isolate_runs: bool = False,
     **options,
 ) -> EvalResult:
     """Run (or resume) an evaluation and report accuracy per subset.
@@ -124,8 +125,12 @@ def evaluate(
     ``log_format="parquet"`` keeps a columnar log (JSON lines by default).
     ``stop`` truncates responses at the earliest stop sequence (for
     responders without stop support; local engines stop at the question
-    tag). ``call_timeout`` bounds the wait for one call.
+    tag). ``call_timeout`` bounds the wait for one call. ``isolate_runs``
+    keys resume and report on ``run_id`` as well, so runs with different
+    settings can share one log folder without mixing.
     """
+    if isolate_runs and run_id is None:
+        raise ValueError("isolate_runs needs a run_id")
     check_k(k)
     cot = mode == "cot"
     if style is None:
@@ -151,7 +156,11 @@ def evaluate(
             test, dev, k, max_length, wrapper, style, cot, topic, token_len, keep=keep
         ).drop("budget_left")
 
-    todo = prompts if overwrite else pending(prompts, read_log(spark, log_path, names, log_format))
+    def this_log():
+        log = read_log(spark, log_path, names, log_format)
+        return log.where(F.col("run_id") == run_id) if isolate_runs else log
+
+    todo = prompts if overwrite else pending(prompts, this_log())
     if partitions is None:
         # calls are the slow part: spread them over every core by item key
         partitions = parallelism(spark)
@@ -196,8 +205,7 @@ def evaluate(
         if failed:
             raise RuntimeError(f"calls failed in subsets {sorted(failed)}; only earlier items were logged")
 
-    log = read_log(spark, log_path, names, log_format)
-    result = report_for(rescore(log, None, mode), requested)
+    result = report_for(rescore(this_log(), None, mode), requested)
     failures = staged.where(F.col("error").isNotNull())
     counts = reconcile(staged.select("subset"), staged)
     return EvalResult(result, failures, counts, staged_path)

@@ -147,3 +147,15 @@ def test_probability_backend_with_chat_template(spark, sf_small, scratch):
         best = max(opts, key=lambda c: (-((len(ctx) + ord(c)) % 5), -ord(c)))
         expect[r.id] = (best + ")", r.prompt)
     assert logged == expect
+
+
+def test_isolated_runs_share_a_folder(spark, sf_small, scratch):
+    sets = td.exam_item_sets(spark, sf_small)
+    path = scratch("run")
+    n = sets.test.where("subset = 'es'").count()
+    a = evaluate(spark, sets, LetterResponder, path, k=0, subsets="es", run_id="k0", isolate_runs=True)
+    b = evaluate(spark, sets, LetterResponder, path, k=2, subsets="es", run_id="k2", isolate_runs=True)
+    # the second setting answered everything again and reports only itself
+    assert spark.read.parquet(b.staged_path).count() == n
+    assert _report(a.report)["es"][0] == n and _report(b.report)["es"][0] == n
+    assert read_log(spark, path).count() == 2 * n
