@@ -1,0 +1 @@
+"""Column expressions: fixed values, text rules, answer readers, templates, token counters."""

@@ -1,0 +1 @@
+"""DataFrame operators: joins, top-k, prompts, responder, scoring, log-likelihood."""

@@ -1,0 +1 @@
+"""Inputs and outputs: benchmark items, the response log, derived exam views."""
