@@ -40,6 +40,15 @@ def report(scored: DataFrame, order: bool = True, by: tuple[str, ...] = ("subset
     return out.orderBy(*by) if order else out
 
 
+def report_dict(report_df: DataFrame) -> dict[str, float | None]:
+    """``{subset: avg_score}`` in ascending key order, for printing.
+
+    Only the report (one row per subset) reaches the driver.
+    """
+    rows = report_df.select("subset", "avg_score").collect()
+    return {r["subset"]: r["avg_score"] for r in sorted(rows, key=lambda r: r["subset"])}
+
+
 def report_for(scored: DataFrame, requested: DataFrame, order: bool = True) -> DataFrame:
     """As ``report``, but every requested subset appears; an empty one has n = 0
     and a null mean (the division by zero is not raised)."""

@@ -129,3 +129,11 @@ def test_sized_files_per_subset(spark, scratch):
     layout = sized_by_subset(df, 300)
     per_task = layout.groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert max(r["count"] for r in per_task) <= 900
+
+
+def test_report_dict_sorted(spark):
+    from examflow.operators.scoring import report, report_dict, score
+
+    df = _rows(spark, [("b", "1", "p", "A)", "A"), ("a", "2", "p", "B)", "A"), ("a", "3", "p", "A)", "A")])
+    d = report_dict(report(score(df)))
+    assert list(d) == ["a", "b"] and d == {"a": 0.5, "b": 1.0}
