@@ -20,7 +20,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import BACKEND_PREFILL, BACKEND_STYLE, OPTION_LETTERS, TOPIC_LINE
+from ..functions.constants import (
+    BACKEND_PREFILL,
+    BACKEND_STYLE,
+    DEFAULT_MAX_RETRIES,
+    DEFAULT_MAX_TOKENS,
+    DEFAULT_TEMPERATURE,
+    DEFAULT_TIMEOUT,
+    OPTION_LETTERS,
+    TOPIC_LINE,
+)
 from ..functions.text import cut_at_stops
 from ..functions.templates import chat_wrap, flat_prefill, messages, template_text, with_prefill
 from ..operators.prompts import build_prompts, build_prompts_budget, check_k
@@ -103,7 +112,7 @@ def evaluate(
     chat_template: bool = False,
     max_length: int | None = None,
     token_len: Callable[[Column], Column] = F.length,
-    max_tries: int = 1,
+    max_tries: int = DEFAULT_MAX_RETRIES,
     partitions: int | None = None,
     threads: int = 1,
     run_id: str | None = None,
@@ -125,12 +134,22 @@ def evaluate(
     ``log_format="parquet"`` keeps a columnar log (JSON lines by default).
     ``stop`` truncates responses at the earliest stop sequence (for
     responders without stop support; local engines stop at the question
-    tag). ``call_timeout`` bounds the wait for one call. ``isolate_runs``
+    tag). ``call_timeout`` bounds the wait for one call. The factory receives
+    ``max_tokens``, ``temperature`` and ``timeout`` (defaults 128, 0.0, 20 s)
+    plus any other ``options``; a failing call is tried up to ``max_tries``
+    times (default 100). ``isolate_runs``
     keys resume and report on ``run_id`` as well, so runs with different
     settings can share one log folder without mixing.
     """
     if isolate_runs and run_id is None:
         raise ValueError("isolate_runs needs a run_id")
+    # run-shaping defaults handed to the user's client factory (overridable)
+    options = {
+        "max_tokens": DEFAULT_MAX_TOKENS,
+        "temperature": DEFAULT_TEMPERATURE,
+        "timeout": DEFAULT_TIMEOUT,
+        **options,
+    }
     check_k(k)
     cot = mode == "cot"
     if style is None:
