@@ -100,9 +100,12 @@ def stream_report_once(
     checkpoint: str,
     mode: str | bool = "direct",
     dedupe: bool = False,
+    fmt: str = "json",
 ) -> DataFrame:
     """Process every file present now, then return the report table."""
-    q = score_stream(spark, log_path, report_path, checkpoint, mode, dedupe, available_now=True)
+    q = score_stream(
+        spark, log_path, report_path, checkpoint, mode, dedupe, available_now=True, fmt=fmt
+    )
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()

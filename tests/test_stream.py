@@ -34,3 +34,14 @@ def test_stream_dedupe_option(spark, sf_small, scratch):
     got = _as_dict(stream_report_once(spark, path, scratch("drep"), scratch("dckpt"), dedupe=True))
     distinct = log.dropDuplicates(["subset", "id"])
     assert got == _as_dict(report(score(distinct, "direct")))
+
+
+def test_stream_over_parquet_log(spark, sf_small, scratch):
+    items = td.exam_items(spark, sf_small)
+    log = td.log_rows_of(items)
+    path = scratch("plog")
+    append_log(log, path, run_id="a", fmt="parquet")
+    got = _as_dict(
+        stream_report_once(spark, path, scratch("prep"), scratch("pckpt"), mode="cot", fmt="parquet")
+    )
+    assert got == _as_dict(report(score(log, "cot")))
