@@ -85,8 +85,10 @@ def _loglik_responses(todo, factory, chat_template, partitions, **options):
     if chat_template:
         ctx = todo.withColumn("prompt", chat_wrap(F.col("prompt"), ""))
     chosen = choose(score_options(loglik_requests(ctx, prefill), factory, partitions, **options))
-    # one row per item comes back; the logged fields are joined on the key
-    return chosen.join(todo.select("subset", "id", "seq", "prompt", "gold_answer"), ["subset", "id"]).select(
+    # one row per item comes back; an item without options has no row and
+    # is logged with no prediction (the left join keeps it)
+    logged = todo.select("subset", "id", "seq", "prompt", "gold_answer")
+    return logged.join(chosen, ["subset", "id"], "left").select(
         "subset",
         "id",
         F.col("prediction").alias("full_response"),

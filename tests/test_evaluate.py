@@ -159,3 +159,22 @@ def test_isolated_runs_share_a_folder(spark, sf_small, scratch):
     assert spark.read.parquet(b.staged_path).count() == n
     assert _report(a.report)["es"][0] == n and _report(b.report)["es"][0] == n
     assert read_log(spark, path).count() == 2 * n
+
+
+def test_probability_item_without_options_is_logged_unanswered(spark, scratch):
+    from examflow.operators.respond import ModLoglikModel
+
+    schema = (
+        "subset string, split string, seq long, id string, question string, A string, B string, "
+        "C string, D string, E string, F string, answer string, explanation string"
+    )
+    items = spark.createDataFrame(
+        [("s", "test", 1, "s-1", "q1", "x", "y", None, None, None, None, "A", "e"),
+         ("s", "test", 2, "s-2", "q2", None, None, None, None, None, None, "A", "e")],
+        schema,
+    )
+    path = scratch("run")
+    res = evaluate(spark, items, ModLoglikModel, path, k=0, backend="hf")
+    logged = {r.id: r.full_response for r in read_log(spark, path).collect()}
+    assert set(logged) == {"s-1", "s-2"} and logged["s-2"] is None and logged["s-1"] in ("A)", "B)")
+    assert _report(res.report)["s"][0] == 2
