@@ -137,3 +137,12 @@ def test_report_dict_sorted(spark):
     df = _rows(spark, [("b", "1", "p", "A)", "A"), ("a", "2", "p", "B)", "A"), ("a", "3", "p", "A)", "A")])
     d = report_dict(report(score(df)))
     assert list(d) == ["a", "b"] and d == {"a": 0.5, "b": 1.0}
+
+
+def test_report_for_empty_requested_subset(spark):
+    from examflow.operators.scoring import report_for, score
+
+    scored = score(_rows(spark, [("a", "1", "p", "A)", "A")]))
+    requested = spark.createDataFrame([("a",), ("zz",)], "subset string")
+    got = {r.subset: (r.n, r.n_correct, r.avg_score) for r in report_for(scored, requested).collect()}
+    assert got == {"a": (1, 1, 1.0), "zz": (0, 0, None)}
