@@ -13,7 +13,9 @@ The salted shuffle is there for skew: a subset can hold a third of all rows,
 and a plain shuffle join on ``subset`` would send all of them to one task.
 Each row of the large side gets a deterministic salt in ``[0, n_salts)``
 (a hash of its own key, so a retried task reproduces it), and the small
-side is replicated once per salt.
+side is replicated once per salt. Salting only the hot keys would need a
+count over the large side first, i.e. one more full pass over it; replicating
+a side that already failed only a size bound costs far less than that pass.
 """
 
 from __future__ import annotations
