@@ -35,7 +35,7 @@ from ..functions.templates import chat_wrap, flat_prefill, messages, template_te
 from ..operators.prompts import build_prompts, build_prompts_budget, check_k
 from ..operators.loglik import choose, loglik_requests
 from ..operators.respond import prefix_commit, reconcile, respond, score_options
-from ..operators.scoring import report_for, rescore
+from ..operators.scoring import report_dict, report_for, rescore
 from ..session import parallelism, scratch_path
 from ..sources.items import catalog_of, requested_table, select_subsets, validate_subsets
 from ..sources.runlog import append_log, overwrite_log, pending, read_log
@@ -49,6 +49,10 @@ class EvalResult:
     counts: DataFrame
     staged_path: str
 
+    def as_dict(self) -> dict[str, float | None]:
+        """``{subset: mean score}`` in key order (one row per subset)."""
+        return report_dict(self.report)
+
 
 def _prefill(backend: str | None, cot: bool) -> str:
     if backend is None:
@@ -108,7 +112,7 @@ def evaluate(
     mode: str = "direct",
     style: str | None = None,
     k: int = 5,
-    subsets: str = "ALL",
+    subsets: str | list[str] = "ALL",
     overwrite: bool = False,
     backend: str | None = None,
     chat_template: bool = False,
@@ -145,6 +149,8 @@ def evaluate(
     """
     if isolate_runs and run_id is None:
         raise ValueError("isolate_runs needs a run_id")
+    if not isinstance(subsets, str):
+        subsets = ",".join(subsets)
     # run-shaping defaults handed to the user's client factory (overridable)
     options = {
         "max_tokens": DEFAULT_MAX_TOKENS,

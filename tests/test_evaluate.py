@@ -33,6 +33,8 @@ def test_subset_selection_and_unknown(spark, sf_small, scratch):
     sets = td.exam_item_sets(spark, sf_small)
     res = evaluate(spark, sets, LetterResponder, scratch("run"), k=0, subsets="fr, de")
     assert set(_report(res.report)) == {"de", "fr"}
+    as_list = evaluate(spark, sets, LetterResponder, scratch("run"), k=0, subsets=["fr", "de"])
+    assert list(as_list.as_dict()) == ["de", "fr"] and as_list.as_dict() == res.as_dict()
     with pytest.raises(ValueError, match="not an available subset"):
         evaluate(spark, sets, LetterResponder, scratch("run"), k=0, subsets="fr,")
 
