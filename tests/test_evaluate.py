@@ -180,3 +180,26 @@ def test_probability_item_without_options_is_logged_unanswered(spark, scratch):
     logged = {r.id: r.full_response for r in read_log(spark, path).collect()}
     assert set(logged) == {"s-1", "s-2"} and logged["s-2"] is None and logged["s-1"] in ("A)", "B)")
     assert _report(res.report)["s"][0] == 2
+
+
+def test_budget_with_a_real_tokenizer_file(spark, sf_small, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    from tokenizers import models, pre_tokenizers
+
+    from examflow.functions.tokens import tokenizer_file_len, whitespace_len
+    from examflow.operators.prompts import build_prompts_budget
+
+    tok = tokenizers.Tokenizer(models.WordLevel({"[UNK]": 0}, unk_token="[UNK]"))
+    tok.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    path = str(tmp_path / "tok.json")
+    tok.save(path)
+
+    sets = td.exam_item_sets(spark, sf_small)
+    test = sets.test.where("subset = 'es'")
+    via_file = build_prompts_budget(test, sets.dev, 5, 300, "\n正確答案：(", token_len=tokenizer_file_len(path))
+    native = build_prompts_budget(test, sets.dev, 5, 300, "\n正確答案：(", token_len=whitespace_len)
+    a = {r.id: (r.prompt, r.budget_left) for r in via_file.collect()}
+    b = {r.id: (r.prompt, r.budget_left) for r in native.collect()}
+    assert a == b and len(a) == test.count()
+    full = {r.id: r.prompt for r in build_prompts_budget(test, sets.dev, 5, 10**9, "").collect()}
+    assert any(a[i][0] != full[i] for i in a)  # the budget binds for some items
