@@ -203,3 +203,13 @@ def test_budget_with_a_real_tokenizer_file(spark, sf_small, tmp_path):
     assert a == b and len(a) == test.count()
     full = {r.id: r.prompt for r in build_prompts_budget(test, sets.dev, 5, 10**9, "").collect()}
     assert any(a[i][0] != full[i] for i in a)  # the budget binds for some items
+
+
+def test_resume_with_parquet_log(spark, sf_small, scratch):
+    sets = td.exam_item_sets(spark, sf_small)
+    path = scratch("prun")
+    first = evaluate(spark, sets, LetterResponder, path, k=1, subsets="de", log_format="parquet")
+    second = evaluate(spark, sets, LetterResponder, path, k=1, subsets="de", log_format="parquet")
+    assert spark.read.parquet(second.staged_path).count() == 0
+    assert first.as_dict() == second.as_dict()
+    assert read_log(spark, path, fmt="parquet").count() == sets.test.where("subset = 'de'").count()
