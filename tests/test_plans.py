@@ -45,3 +45,11 @@ def test_scan_is_pruned(spark, sf_small):
     p = plan_of(QUERIES["conversation_predictions"](spark, sf_small))
     assert "ReadSchema: struct<conv_id:bigint,turn:bigint,role:string,text:string>" in p
     assert "PushedFilters: [IsNotNull(role), EqualTo(role,assistant)]" in p
+
+
+def test_items_scan_reads_only_needed_columns(spark, sf_small):
+    import re
+
+    p = plan_of(QUERIES["report_direct"](spark, sf_small))
+    schemas = set(re.findall(r"ReadSchema: (struct<[^>]*>)", p))
+    assert schemas == {"struct<doc_id:bigint,text:string,lang:string>"}, schemas
