@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import maxscore, minhash, packing, piece_bpe, sharding, url_filter, warc
+from . import maxscore, minhash, packing, piece_bpe, sharding, substring_dedup, url_filter, warc
 from .frames import read_table
 
 URL_RULES = [
@@ -38,6 +38,10 @@ def op4_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizer("byte_bpe_50k.json"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_words(read_table(spark, sf_dir, "documents"), width=20)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read_table(spark, sf_dir, "pages"), min_revisit_bytes=0)
 
@@ -60,7 +64,7 @@ def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_url_filter, op3_minhash, op4_bin_slack_packing, op7_warc, op8_lpt_sharding, op9_maxscore,
+    for f in (op2_url_filter, op3_minhash, op4_bin_slack_packing, op6_substring_dedup, op7_warc, op8_lpt_sharding, op9_maxscore,
               op10_piece_bpe)
 }
 
