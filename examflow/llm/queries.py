@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import maxscore, minhash, packing, piece_bpe, sharding, substring_dedup, url_filter, warc
+from . import maxscore, minhash, packing, piece_bpe, sharding, substring_dedup, toxicity, url_filter, warc
 from .frames import read_table
 
 URL_RULES = [
@@ -38,6 +38,12 @@ def op4_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizer("byte_bpe_50k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_words(read_table(spark, sf_dir, "documents"), width=20)
 
@@ -64,7 +70,7 @@ def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_url_filter, op3_minhash, op4_bin_slack_packing, op6_substring_dedup, op7_warc, op8_lpt_sharding, op9_maxscore,
+    for f in (op2_url_filter, op3_minhash, op4_bin_slack_packing, op5_toxicity, op6_substring_dedup, op7_warc, op8_lpt_sharding, op9_maxscore,
               op10_piece_bpe)
 }
 
