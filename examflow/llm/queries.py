@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import maxscore, minhash, packing, piece_bpe, sharding, substring_dedup, toxicity, url_filter, warc
+from . import iblt, maxscore, minhash, packing, piece_bpe, sharding, substring_dedup, toxicity, url_filter, warc
 from .frames import read_table
 
 URL_RULES = [
@@ -24,6 +24,10 @@ def public_tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), rules).drop("url")
@@ -70,7 +74,8 @@ def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_url_filter, op3_minhash, op4_bin_slack_packing, op5_toxicity, op6_substring_dedup, op7_warc, op8_lpt_sharding, op9_maxscore,
+    for f in (op1_iblt_fingerprint, op2_url_filter, op3_minhash, op4_bin_slack_packing,
+              op5_toxicity, op6_substring_dedup, op7_warc, op8_lpt_sharding, op9_maxscore,
               op10_piece_bpe)
 }
 
