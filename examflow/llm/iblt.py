@@ -7,9 +7,9 @@ of ``s`` cells; each digest is added to one cell of each table, and a cell holds
 versions cancels what they share. Peeling takes digests from cells that hold just
 one (its check hash fits) out of their other cells, until nothing is left: then the
 differing digests of both sides are known. If digests remain, the comparison is
-tried again with larger sketches: 3 * 4 cells, 3 * 16, then 3 * 16 in each of so many
-sub-sketches that some 16 digests meet in one, then 3 * 64 for those that still fail;
-two digests that share all cells even there are told apart by the digests themselves.
+tried again with a larger sketch: first 3 * 4 cells; then 3 * 8 in each of so many
+sub-sketches that some 8 digests meet in one; then 3 * 32 and 3 * 128 for those of
+them that still fail; digests that share all cells even there are compared as such.
 
 Everything is a DataFrame expression on one row; no Python runs on executors.
 
@@ -18,7 +18,7 @@ Everything is a DataFrame expression on one row; no Python runs on executors.
 * The next document is the next row by (doc_id, text), null ids first, and the first
   row after the last. One row is its own next. Repeated rows each get a result. An
   empty table gives no rows; extra columns are dropped.
-* Very long texts: work grows with the paragraphs times the sub-sketches.
+* Very long texts: work grows with the paragraphs, times their groups of some 128.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from .frames import partitions
 
-LONG_LINE = 400
-SMALL, MEDIUM, LARGE = 4, 16, 64  # cells of one table
+LONG_LINE = 2000
+SMALL, SUB, RETRIES = 4, 8, (32, 128)  # cells of one table
+SHARE = 8  # digests that meet in a sub-sketch, on average
 ROUNDS = 10
 RANGES = 65_536  # at most so many ranges of doc_id
 _ID = "_id"
@@ -48,7 +49,8 @@ def digests(text: Column) -> Column:
 
 
 def _entry(key: Column, count: Column, s: int) -> Column:
-    places = F.array(*[F.pmod(F.xxhash64(key, F.lit(j)), F.lit(s)).cast("int") for j in range(3)])
+    # its cell in each of the three tables, which lie one after another
+    places = F.array(*[(F.pmod(F.xxhash64(key, F.lit(j)), F.lit(s)) + j * s).cast("int") for j in range(3)])
     return F.struct(count.alias("n"), key.alias("k"), F.xxhash64(key, F.lit("check")).alias("c"), places.alias("p"))
 
 
@@ -60,14 +62,9 @@ def _plus(a: Column, b: Column, sign: int) -> Column:
 def sketch(keys: Column, s: int) -> Column:
     """The 3 * s cells of a set of digests: array<struct<n, k, c>>."""
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
-    every = F.sequence(F.lit(0), F.lit(s - 1))
-
-    def table(entries: Column, j: int) -> Column:
-        return F.transform(every, lambda t: F.aggregate(
-            entries, zero, lambda a, e: F.when(e["p"][j] == t, _plus(a, e, 1)).otherwise(a)))
-
     entries = F.transform(keys, lambda k: _entry(k, F.lit(1), s))
-    return _let(entries, lambda e: F.concat(*[table(e, j) for j in range(3)]))
+    return _let(entries, lambda e: F.transform(F.lit(list(range(3 * s))), lambda t: F.aggregate(
+        F.filter(e, lambda x: F.array_contains(x["p"], t)), zero, lambda a, x: _plus(a, x, 1))))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -86,13 +83,16 @@ def peel(cells: Column, s: int) -> Column:
 
         def take(found: Column) -> Column:
             rest = _let(F.transform(found, lambda i: _entry(i["k"], i["n"], s)), lambda e: F.transform(
-                state["cells"], lambda c, at: F.aggregate(e, c, lambda a, x: F.when(
-                    F.get(x["p"], (at / s).cast("int")) == at % s, _plus(a, x, -1)).otherwise(a))))
-            return F.struct(rest.alias("cells"), F.concat(state["found"], found).alias("found"))
+                state["cells"], lambda c, at: F.aggregate(
+                    F.filter(e, lambda x: F.array_contains(x["p"], at)), c, lambda a, x: _plus(a, x, -1))))
+            return F.struct(rest.alias("cells"), F.concat(state["found"], found).alias("found"),
+                            F.lit(True).alias("live"))
 
-        return _let(items, lambda found: F.when(F.size(found) == 0, state).otherwise(take(found)))
+        stop = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("live"))
+        return F.when(~state["live"], state).otherwise(
+            _let(items, lambda found: F.when(F.size(found) == 0, stop).otherwise(take(found))))
 
-    start = F.struct(cells.alias("cells"), none.alias("found"))
+    start = F.struct(cells.alias("cells"), none.alias("found"), F.lit(True).alias("live"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one_round)
 
 
@@ -107,21 +107,23 @@ def differing(a: Column, b: Column, small: Column) -> Column:
     their small sketches."""
     gap = F.abs(F.size(a) - F.size(b))
     attempt = lambda x, y, s: _recovered(subtract(sketch(x, s), sketch(y, s)), s)
-    # a set's part in sub-sketch t of n; the hash is not one of a cell's
-    part = lambda x, n, t: F.filter(x, lambda k: F.pmod(F.xxhash64(k, F.lit("part")), n) == t)
+
+    def cut(x: Column, y: Column, share: int, salt: str, then) -> Column:
+        """Sum of ``then`` over parts that hold some ``share`` digests each."""
+        part = lambda z, n, t: F.filter(z, lambda k: F.pmod(F.xxhash64(k, F.lit(salt)), n) == t)
+        every = lambda n: F.aggregate(
+            F.sequence(F.lit(0).cast("long"), n - 1), F.lit(0),
+            lambda total, t: total + _let(part(x, n, t), lambda v: _let(part(y, n, t), lambda w: then(v, w))))
+        return _let(((F.size(x) + F.size(y)) / share).cast("long") + 1,
+                    lambda n: F.when(n == 1, then(x, y)).otherwise(every(n)))
 
     def sub(x: Column, y: Column) -> Column:
-        return F.coalesce(attempt(x, y, MEDIUM), attempt(x, y, LARGE),
+        return F.coalesce(*[attempt(x, y, s) for s in (SUB, *RETRIES)],
                           F.size(F.array_except(x, y)) + F.size(F.array_except(y, x)))
 
-    many = ((F.size(a) + F.size(b)) / 16).cast("long") + 1
-    spread = _let(many, lambda n: F.aggregate(
-        F.sequence(F.lit(0).cast("long"), n - 1), F.lit(0),
-        lambda total, t: total + _let(part(a, n, t), lambda x: _let(part(b, n, t), lambda y: sub(x, y)))))
-    return F.coalesce(
-        F.when(gap <= 3 * SMALL, _recovered(small, SMALL)),
-        F.when(F.size(a) + F.size(b) <= 48, attempt(a, b, MEDIUM)),
-        spread)
+    # in two steps, so that a long text is not searched once for each sub-sketch
+    spread = cut(a, b, 16 * SHARE, "group", lambda x, y: cut(x, y, SHARE, "part", sub))
+    return F.coalesce(F.when(gap <= 3 * SMALL, _recovered(small, SMALL)), spread)
 
 
 def likeness(a: Column, b: Column, small: Column) -> Column:

@@ -1,4 +1,4 @@
-"""The registered queries of the operators, and the SQL of those it can express."""
+"""The registered queries of the operators."""
 
 from __future__ import annotations
 
@@ -78,5 +78,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
               op5_toxicity, op6_substring_dedup, op7_warc, op8_lpt_sharding, op9_maxscore,
               op10_piece_bpe)
 }
-
-ORACLE_SQL: dict[str, str] = {}
