@@ -22,6 +22,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, key: str, name: str, buckets: int) -> DataFrame:
+    """As ``written``, dealt by ``key`` into buckets, so that later joins on ``key``
+    read the rows where they lie instead of shuffling them again. With as many
+    buckets as shuffle partitions, rows that come from a join on ``key`` lie in the
+    right bucket already, and a bucket is one file."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = "t_" + path.rsplit("/", 1)[-1].replace("-", "_")
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolved now; the name is not needed any more, the files stay
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def python_ready(spark: SparkSession) -> None:
     """Make the package importable in Python workers."""
     ship_package(spark)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import partitions, python_ready, written
+from .frames import partitions, python_ready, written, written_by
 from .words import blocks, mix, rolling
 
 WIDTH, GRAM = 20, 6
@@ -308,13 +308,16 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> tup
     lists = grams.join(again, "m").groupBy("id").agg(
         F.collect_list("m").alias("some"), F.collect_list(F.when(F.col("n") > HOT, F.col("m"))).alias("hot"))
     keyed = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "text")
-    texts = written(candidates(keyed.join(lists, "id"), width, gram), "candidates")
+    # texts move once: the join deals them by id into the buckets they stay in
+    texts = written_by(candidates(keyed.join(lists, "id"), width, gram), "id", "candidates", n)
 
     # the first document of each window hash, for the other documents that hold it
-    cold = texts.select("id", F.explode("cold").alias("h"))
+    marked = lambda c, flag: F.transform(c, lambda h: F.struct(h.alias("h"), F.lit(flag).alias("hot")))
+    every = texts.select("id", F.explode(F.concat(marked("cold", False), marked("hot", True))).alias("w"))
+    cold = every.filter("not w.hot").select("id", F.col("w.h").alias("h"))
     rank = Window.partitionBy("h")
     cold = cold.withColumn("first_id", F.min("id").over(rank)).filter("id > first_id")
-    hot = texts.select("id", F.explode("hot").alias("h"))
+    hot = every.filter("w.hot").select("id", F.col("w.h").alias("h"))
     low = hot.groupBy("h").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("last_id > first_id")
     hot = hot.join(low.drop("last_id"), "h").filter("id > first_id").select("id", "h", "first_id")
     later = written(cold.select("id", "h", "first_id").unionByName(hot), "later")
