@@ -5,16 +5,20 @@
    minima folded to one key a band, and one bit of each of 128 minima.
 2. Classes that share a band key are candidates. A bucket gives each member a pair
    with its smallest and its largest member, not all pairs.
-3. Pairs pass a size test and a signature test on the 128 bits, then the exact test
-   on the full sets: ``num * intersection >= den * union``.
+3. Pairs pass a size test, a signature test on the 128 bits and one on the parities
+   of the sets' members in 1024 cells (each differing member turns one cell, so these
+   tell sets just under the threshold), then the exact test on the full sets:
+   ``num * intersection >= den * union``.
 4. Links become components by alternating large-star and small-star.
-5. Only buckets that now hold several components can hide a link. Their members of
-   different components are compared by the signature inside the join, and pairs
-   that pass are confirmed as before; so no bucket is capped and none gives all its
-   pairs. New links extend the components.
+5. Only buckets that now hold several components can hide a link. While these still
+   have far more pairs than members, and the last round found links, another round gives each member a pair with the
+   bucket's member of the least hash, and links extend the components. In what is
+   left, members of different components are compared by the tests of 3 inside the
+   join, and pairs that pass are confirmed; so no bucket is capped and none gives all
+   its pairs.
 
 A pair over the threshold shares no band with a chance of (1 - s^rows)^bands: 7e-6
-at s = 0.8, 2e-8 at 0.85 for 5 x 30. The signature test errs below 1e-7.
+at s = 0.8, 2e-8 at 0.85 for 5 x 30. The signature tests err below 1e-7.
 
 * A word is ``[^\\x20\\x09-\\x0D]+``, lower-cased A-Z. With fewer than ``width`` words
   the whole sequence is the one shingle. Null, empty and blank texts have no set,
@@ -36,6 +40,9 @@ from .words import blocks, mix, powers, rolling
 
 WIDTH, ROWS, BANDS = 5, 5, 30
 SKETCH_BITS = 128
+PARITY_CELLS = 1024
+STAR_ROUNDS = 6
+PAIRS_A_MEMBER = 8  # below this, pairs are compared instead of another round
 # 1-bit minima of sets with similarity s differ in (1 - s) / 2 of the bits
 _rng = np.random.default_rng(77003)
 _FACTORS = _rng.integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,11 +75,12 @@ def minima(items: np.ndarray) -> np.ndarray:
 _BAND_WEIGHTS = powers(ROWS, _ONE)
 _BAND_SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
-                     ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+                     ("s", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
 
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n (set size), k1, k2 (set sum), s1, s2 (sketch), bands."""
+    """doc_id, n (set size), k1, k2 (set sum), s (two words of bits of the minima,
+    then the parities), bands."""
     python_ready(docs.sparkSession)
 
     def run(batches):
@@ -87,17 +95,19 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                         low = mix(minima(items))
                         bands = mix((low.reshape(BANDS, ROWS) * _BAND_WEIGHTS).sum(1, dtype=np.uint64) + _BAND_SALT)
                         sketch = np.packbits((low[:SKETCH_BITS] & np.uint64(1)).astype(np.uint8)).view(np.int64)
+                        odd = np.bincount(items.view(np.int64) & (PARITY_CELLS - 1), minlength=PARITY_CELLS) & 1
+                        sketch = np.append(sketch, np.packbits(odd.astype(np.uint8)).view(np.int64))
                         key = [items.sum(dtype=np.uint64), mix(items ^ _ONE).sum(dtype=np.uint64)]
-                        values = [*np.asarray(key).view(np.int64).tolist(), *sketch.tolist(), bands.view(np.int64)]
+                        values = [*np.asarray(key).view(np.int64).tolist(), sketch, bands.view(np.int64)]
                     else:
-                        values = [0, 0, 0, 0, np.zeros(0, np.int64)]
+                        values = [0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64)]
                     for c, v in zip(rows, [ids[first + i], len(items), *values], strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(rows, _SIGNED, strict=True)], schema=_SIGNED)
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n long, k1 long, k2 long, s1 long, s2 long, bands array<long>")
+        run, "doc_id long, n long, k1 long, k2 long, s array<long>, bands array<long>")
 
 
 def full_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -158,8 +168,7 @@ def near_duplicates(docs: DataFrame, num: int = 100, den: int = 80, width: int =
     signed = written(signatures(docs, width), "signatures")
     classes = written(
         signed.filter("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(
-            F.min("doc_id").alias("rep"), F.first("s1").alias("s1"), F.first("s2").alias("s2"),
-            F.first("bands").alias("bands")),
+            F.min("doc_id").alias("rep"), F.first("s").alias("s"), F.first("bands").alias("bands")),
         "classes")
     members = classes.select(F.explode("bands").alias("key"), "rep")
     ends = members.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi")
@@ -167,13 +176,20 @@ def near_duplicates(docs: DataFrame, num: int = 100, den: int = 80, width: int =
     shared = buckets.select("rep").distinct()
     sets = written(full_sets(docs.join(shared, docs["doc_id"] == shared["rep"], "left_semi"), width)
                    .distinct(), "sets")
-    brief = classes.join(shared, "rep", "left_semi").select("rep", "n", "s1", "s2")
+    words = 2 + PARITY_CELLS // 64
+    brief = classes.join(shared, "rep", "left_semi").select(
+        "rep", "n", *[F.col("s")[i].alias(f"s{i}") for i in range(words)])
     limit = max_differing_bits(num, den)
 
     def alike(x: str, y: str):
         n1, n2 = F.col(f"{x}.n"), F.col(f"{y}.n")
-        bits = sum(F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in ("s1", "s2"))
-        return (F.least(n1, n2) * num >= F.greatest(n1, n2) * den) & (bits <= limit)
+        bits = [F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(words)]
+        # members that may differ, and the odd cells that so many leave
+        apart = (n1 + n2) * (num - den) / (num + den)
+        left = F.exp(-2.0 * apart / PARITY_CELLS)
+        odd = PARITY_CELLS / 2 * (1 - left) + 5.5 * F.sqrt(PARITY_CELLS / 4 * (1 - left * left)) + 1
+        return ((F.least(n1, n2) * num >= F.greatest(n1, n2) * den) & (sum(bits[:2]) <= limit)
+                & (sum(bits[2:]) <= F.least(apart + 1e-6, odd)))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose full sets are alike."""
@@ -184,26 +200,46 @@ def near_duplicates(docs: DataFrame, num: int = 100, den: int = 80, width: int =
                 .select("a", "b", inner.alias("i"), (F.size("x") + F.size("y")).cast("long").alias("t"))
                 .filter(F.col("i") * num >= (F.col("t") - F.col("i")) * den).select("a", "b"))
 
-    starred = buckets.select("rep", F.explode(F.array("lo", "hi")).alias("hub")).filter("rep <> hub").select(
-        F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    near = starred.join(brief.alias("p"), F.col("a") == F.col("p.rep")).join(
-        brief.alias("q"), F.col("b") == F.col("q.rep")).filter(alike("p", "q")).select("a", "b")
-    links = written(confirmed(near), "links")
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = pairs.distinct().join(brief.alias("p"), F.col("a") == F.col("p.rep")).join(
+            brief.alias("q"), F.col("b") == F.col("q.rep")).filter(alike("p", "q")).select("a", "b")
+        return written(confirmed(near), "links")
+
+    both = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    links = linked(buckets.select("rep", F.explode(F.array("lo", "hi")).alias("hub"))
+                   .filter("rep <> hub").select(*both("rep", "hub")))
     found = components(links)
 
     # what the stars can have missed: members of one bucket in different components
-    placed = written(brief.join(found, brief["rep"] == found["node"], "left").select(
-        "rep", "n", "s1", "s2", F.coalesce("component", "rep").alias("c")), "placed")
-    rows = buckets.select("key", "rep").join(placed, "rep")
-    mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    rows = written(rows.join(mixed, "key", "left_semi"), "mixed")
-    p, q = rows.alias("p"), rows.alias("q")
-    missed = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.rep") < F.col("q.rep"))
-                    & (F.col("p.c") != F.col("q.c")) & alike("p", "q")).select(
-        F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct()
-    more = written(confirmed(missed.join(near, ["a", "b"], "left_anti")), "more-links")
-    if not more.isEmpty():
-        found = components(links.unionByName(more), "all-components")
+    fruitless = False
+    for k in range(STAR_ROUNDS + 1):
+        place = shared.join(found, shared["rep"] == found["node"], "left").select(
+            "rep", F.coalesce("component", "rep").alias("c"))
+        rows = buckets.select("key", "rep").join(place, "rep")
+        mixed = rows.groupBy("key").agg(
+            F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"),
+            F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias("hub"),
+            F.min_by("c", F.xxhash64("rep", F.lit(k))).alias("hub_c")).filter("lo <> hi")
+        rows = written(rows.join(mixed.select("key", "m", "hub", "hub_c"), "key"), "mixed")
+        size = rows.agg(F.count(F.lit(1)).alias("members"), F.sum("m").alias("pairs")).first()
+        if not size.members:
+            break
+        final = fruitless or k == STAR_ROUNDS or size.pairs <= PAIRS_A_MEMBER * size.members
+        if final:
+            full = rows.select("key", "rep", "c").join(brief, "rep")
+            p, q = full.alias("p"), full.alias("q")
+            last = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.rep") < F.col("q.rep"))
+                          & (F.col("p.c") != F.col("q.c")) & alike("p", "q")).select(
+                F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct()
+            more = written(confirmed(last), "links")
+        else:
+            more = linked(rows.filter("c <> hub_c").select(*both("rep", "hub")))
+        fruitless = more.isEmpty()
+        if not fruitless:
+            joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+            found = components(joined)
+        if final:
+            break
 
     top = classes.select("n", "k1", "k2", "rep").join(found, F.col("rep") == F.col("node"), "left").select(
         "n", "k1", "k2", F.coalesce("component", "rep").alias("c"))
