@@ -50,9 +50,15 @@ def log_softmax(logits) -> Column:
 
 
 def token_logprob(logits, token_id) -> Column:
-    """log_softmax(logits)[token_id]; null when the id is out of range."""
+    """log_softmax(logits)[token_id]; a token id out of range raises."""
     arr = _c(logits)
-    return F.get(arr, _c(token_id)) - log_sum_exp(arr)
+    return _score_at(arr, _c(token_id)) - log_sum_exp(arr)
+
+
+def _score_at(arr: Column, token_id: Column) -> Column:
+    bad = arr.isNotNull() & ((token_id < 0) | (token_id >= F.size(arr)))
+    return F.when(bad, F.raise_error(F.concat(F.lit("token id out of range: "), token_id.cast("string"))).cast("double")
+                  ).otherwise(F.get(arr, token_id))
 
 
 def shifted_pairs(logits_seq, token_ids, n) -> Column:
@@ -64,7 +70,8 @@ def shifted_pairs(logits_seq, token_ids, n) -> Column:
     """
     seq, toks = _c(logits_seq), _c(token_ids)
     n = F.lit(n) if isinstance(n, int) else _c(n)
-    k = F.least(n, F.size(seq))
+    # fewer positions than tokens to score would score a part only
+    k = F.when(n > F.size(seq), F.raise_error(F.lit("fewer logits than tokens to score")).cast("int")).otherwise(n)
     return F.arrays_zip(
         F.slice(seq, F.size(seq) - k + 1, k).alias("logits"),
         F.slice(toks, F.size(toks) - k + 1, k).alias("token_id"),
@@ -77,7 +84,7 @@ def continuation_logprob(logits_seq, token_ids, n) -> Column:
     return F.aggregate(
         pairs,
         F.lit(0.0).cast("double"),
-        lambda acc, p: acc + (F.get(p["logits"], p["token_id"]) - log_sum_exp(p["logits"])),
+        lambda acc, p: acc + token_logprob(p["logits"], p["token_id"]),
     )
 
 

@@ -21,6 +21,10 @@ responder must then be thread-safe); outputs keep the input order.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+import queue
+import random
+import threading
+import time
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
@@ -41,8 +45,38 @@ RESPONSE_SCHEMA = T.StructType(
 )
 
 
+MAX_BACKOFF = 30.0
+
+
+def _timed(fn: Callable[[str], str], prompt: str, seconds: float) -> str:
+    """One call on a thread of its own: its clock starts with the call, and a call
+    that hangs costs no other call its thread."""
+    done: queue.SimpleQueue = queue.SimpleQueue()
+
+    def work():
+        try:
+            done.put((fn(prompt), None))
+        except BaseException as e:  # noqa: BLE001 - handed to the caller
+            done.put((None, e))
+
+    threading.Thread(target=work, daemon=True).start()
+    try:
+        text, error = done.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"no answer within {seconds} s") from None
+    if error is not None:
+        raise error
+    return text
+
+
+def _back_off(attempt: int, first: float) -> None:
+    """Wait before the next attempt: doubled each time, with jitter, bounded."""
+    if first > 0:
+        time.sleep(min(first * 2 ** (attempt - 1), MAX_BACKOFF) * random.uniform(0.5, 1.0))
+
+
 def _call_with_retries(
-    fn: Callable[[str], str], prompt: str, max_tries: int, pool=None, call_timeout=None
+    fn: Callable[[str], str], prompt: str, max_tries: int, call_timeout=None, backoff: float = 0.0
 ):
     last = None
     start_row = getattr(fn, "start_row", None)
@@ -50,11 +84,15 @@ def _call_with_retries(
         start_row()
     for attempt in range(1, max(max_tries, 1) + 1):
         try:
-            if pool is None:
+            if call_timeout is None:
                 return fn(prompt), None, attempt
-            return pool.submit(fn, prompt).result(timeout=call_timeout), None, attempt
-        except Exception as e:  # noqa: BLE001 - any client error (or timeout) is retried
+            return _timed(fn, prompt, call_timeout), None, attempt
+        except PermissionError as e:  # a refused key is not retried
+            return None, f"{type(e).__name__}: {e}", attempt
+        except Exception as e:  # noqa: BLE001 - any other client error (or timeout) is retried
             last = e
+            if attempt < max_tries:
+                _back_off(attempt, backoff)
     return None, f"{type(last).__name__}: {last}", max(max_tries, 1)
 
 
@@ -77,15 +115,17 @@ def respond(
     carry: tuple[str, ...] = (),
     threads: int = 1,
     call_timeout: float | None = None,
+    backoff: float = 0.0,
     **options,
 ) -> DataFrame:
     """``subset, id, full_response, error, attempts`` (+ ``carry`` columns,
     passed through untouched) for every input row.
 
     ``call_timeout`` (seconds) stops waiting for a call that hangs and counts
-    it as a failed attempt, for clients without a timeout of their own (the
-    hung call keeps its worker thread; ``options`` such as ``timeout`` go to
-    the factory for clients that have one).
+    it as a failed attempt, for clients without a timeout of their own
+    (``options`` such as ``timeout`` go to the factory for clients that have one).
+    ``backoff`` is the wait in seconds after a first failed attempt; it doubles with
+    each further one. A ``PermissionError`` is final at once.
     """
     ship_package(df.sparkSession)
     payload = df.select(*keys, F.col(input_col).alias("__input"), *carry)
@@ -97,9 +137,6 @@ def respond(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         responder = factory(**options)
         batch_fn = getattr(responder, "batch", None)
-        call_pool = (
-            ThreadPoolExecutor(max_workers=2 * max(threads, 1)) if call_timeout else None
-        )
         for pdf in batches:
             prompts = pdf["__input"].tolist()
             if batch_fn is not None:
@@ -112,6 +149,8 @@ def respond(
                         break
                     except Exception as e:  # noqa: BLE001
                         errors = [f"{type(e).__name__}: {e}"] * len(prompts)
+                        if attempt < max_tries:
+                            _back_off(attempt, backoff)
                 if texts is not None and len(texts) != len(prompts):
                     raise ValueError(
                         f"responder returned {len(texts)} outputs for {len(prompts)} prompts"
@@ -120,7 +159,7 @@ def respond(
                 attempts = [tries] * len(prompts)
             else:
                 def one(p):
-                    return _call_with_retries(responder, p, max_tries, call_pool, call_timeout)
+                    return _call_with_retries(responder, p, max_tries, call_timeout, backoff)
 
                 if threads > 1:
                     with ThreadPoolExecutor(max_workers=threads) as pool:
@@ -157,7 +196,8 @@ LOGLIK_SCHEMA = T.StructType(
 
 
 def score_options(
-    requests: DataFrame, factory: Callable[..., object], partitions: int | None = None, **options
+    requests: DataFrame, factory: Callable[..., object], partitions: int | None = None,
+    max_tries: int = 1, backoff: float = 0.0, **options
 ) -> DataFrame:
     """``subset, id, choice, loglik`` from a model's ``loglik(contexts,
     continuations) -> list[float]`` (the summed log-probability of each
@@ -174,7 +214,14 @@ def score_options(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory(**options)
         for pdf in batches:
-            scores = list(model.loglik(pdf["context"].tolist(), pdf["continuation"].tolist()))
+            for attempt in range(1, max(max_tries, 1) + 1):
+                try:
+                    scores = list(model.loglik(pdf["context"].tolist(), pdf["continuation"].tolist()))
+                    break
+                except Exception:  # noqa: BLE001 - retried, then the task fails
+                    if attempt >= max_tries:
+                        raise
+                    _back_off(attempt, backoff)
             if len(scores) != len(pdf):
                 raise ValueError(f"model returned {len(scores)} scores for {len(pdf)} requests")
             yield pd.DataFrame(

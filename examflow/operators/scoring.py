@@ -73,15 +73,19 @@ def rescore(
     """Past log lines re-scored with the current mode, bag-unioned with new scores.
 
     Duplicated log lines count as many times as they occur (``dedupe=True``
-    keeps one line per item instead), and the gold answer is the one that
+    keeps one line per item and run instead, of past and new lines: the least
+    response and gold answer), and the gold answer is the one that
     was logged.
     """
     cols = ["subset", "id", "full_response", "gold_answer"]
     if "run_id" in past_log.columns and (new_responses is None or "run_id" in new_responses.columns):
         cols.append("run_id")
     rows = past_log.select(*cols)
-    if dedupe:
-        rows = rows.dropDuplicates(["subset", "id"])
     if new_responses is not None:
         rows = rows.unionByName(new_responses.select(*cols))
+    if dedupe:
+        keys = [c for c in cols if c in ("subset", "id", "run_id")]
+        rows = rows.groupBy(*keys).agg(
+            F.min(F.struct("full_response", "gold_answer")).alias("one")
+        ).select(*keys, "one.full_response", "one.gold_answer")
     return score(rows, mode)

@@ -219,6 +219,41 @@ def overwrite_subset(spark, sf):
     return read_log(spark, path).select("subset", "id", "full_response", "gold_answer")
 
 
+def items_text_check(spark, sf):
+    """Lines and characters per subset, counted from the item columns."""
+    parts = F.filter(F.array("question", *"ABCDEF", "explanation"), lambda x: x.isNotNull())
+    return _items(spark, sf).groupBy("subset").agg(
+        F.count(F.lit(1)).alias("n_items"),
+        F.sum(F.size(F.split(F.array_join(parts, "\n"), "\n", -1))).alias("n_lines"),
+        F.sum(F.char_length(F.replace(F.array_join(parts, "\n"), F.lit("\n"), F.lit("")))).alias("n_chars"),
+    )
+
+
+def _two_runs(spark, sf):
+    responses = td.responses_of(_items(spark, sf)).withColumn("prompt", F.lit(None).cast("string"))
+    path = scratch_path(spark, "log")
+    append_log(responses, path, run_id="r1")
+    append_log(responses, path, run_id="r2")
+    return responses, path
+
+
+def overwrite_one_run(spark, sf):
+    """Two runs share a folder and one of them is replaced; the other one stays."""
+    responses, path = _two_runs(spark, sf)
+    names = [r["subset"] for r in responses.select("subset").distinct().collect()]
+    fresh = responses.withColumn("full_response", F.lit("B)"))
+    overwrite_log(spark, fresh, path, names, run_id="r2", only_run=True)
+    return read_log(spark, path).select("run_id", "subset", "id", "full_response")
+
+
+def rescore_dedupe(spark, sf):
+    """Lines per subset after dropping an item's repeated lines within each run."""
+    responses, path = _two_runs(spark, sf)
+    append_log(responses, path, run_id="r1")
+    scored = rescore(read_log(spark, path), None, "direct", dedupe=True)
+    return scored.groupBy("subset").agg(F.count(F.lit(1)).alias("n"))
+
+
 def items_scan_dev(spark, sf):
     path = scratch_path(spark, "items")
     write_items(_items(spark, sf), path)
@@ -437,6 +472,9 @@ QUERIES: dict[str, Query] = {
     "chat_wrap": chat_wrap_q,
     "messages": messages_q,
     "pending_ids": pending_ids,
+    "items_text_check": items_text_check,
+    "overwrite_one_run": overwrite_one_run,
+    "rescore_dedupe": rescore_dedupe,
     "log_distinct_ids": log_distinct_ids,
     "rescore_union": rescore_union,
     "rescore_union_cot": rescore_union_cot,

@@ -28,6 +28,7 @@ from ..functions.constants import (
     DEFAULT_TEMPERATURE,
     DEFAULT_TIMEOUT,
     OPTION_LETTERS,
+    QUESTION_TAG,
     TOPIC_LINE,
 )
 from ..functions.text import cut_at_stops
@@ -54,6 +55,19 @@ class EvalResult:
         return report_dict(self.report)
 
 
+# False, True (the generic wrapper), a (before, after) pair, or a callable that
+# takes the prompt column and gives the wrapped one
+ChatTemplate = bool | tuple[str, str] | Callable[[Column], Column]
+
+
+def _wrapped(prompt: Column, prefill: str, chat_template: ChatTemplate) -> Column:
+    if callable(chat_template):
+        return with_prefill(chat_template(prompt), prefill)
+    if isinstance(chat_template, tuple):
+        return chat_wrap(prompt, prefill, chat_template)
+    return chat_wrap(prompt, prefill) if chat_template else with_prefill(prompt, prefill)
+
+
 def _prefill(backend: str | None, cot: bool) -> str:
     if backend is None:
         return ""
@@ -64,16 +78,14 @@ def _prefill(backend: str | None, cot: bool) -> str:
 
 
 def model_input(
-    backend: str | None, cot: bool, chat_template: bool = False
+    backend: str | None, cot: bool, chat_template: ChatTemplate = False
 ) -> Callable[[Column], Column]:
     """How a backend turns the prompt into its input (prefill and wrapper)."""
     if backend is None:
         return lambda p: p
     prefill = _prefill(backend, cot)
     if backend in ("hf", "vllm"):
-        if chat_template:
-            return lambda p: chat_wrap(p, prefill)
-        return lambda p: with_prefill(p, prefill)
+        return lambda p: _wrapped(p, prefill, chat_template)
     if backend == "google":
         # single-string API: the stripped prefill is glued to the prompt
         return lambda p: flat_prefill(p, prefill)
@@ -87,7 +99,7 @@ def _loglik_responses(todo, factory, chat_template, partitions, **options):
     prefill = _prefill("hf", False)
     ctx = todo
     if chat_template:
-        ctx = todo.withColumn("prompt", chat_wrap(F.col("prompt"), ""))
+        ctx = todo.withColumn("prompt", _wrapped(F.col("prompt"), "", chat_template))
     chosen = choose(score_options(loglik_requests(ctx, prefill), factory, partitions, **options))
     # one row per item comes back; an item without options has no row and
     # is logged with no prediction (the left join keeps it)
@@ -115,7 +127,7 @@ def evaluate(
     subsets: str | list[str] = "ALL",
     overwrite: bool = False,
     backend: str | None = None,
-    chat_template: bool = False,
+    chat_template: ChatTemplate = False,
     max_length: int | None = None,
     token_len: Callable[[Column], Column] = F.length,
     max_tries: int = DEFAULT_MAX_RETRIES,
@@ -127,6 +139,7 @@ def evaluate(
     log_format: str = "json",
     stop: list[str] | None = None,
     call_timeout: float | None = None,
+    backoff: float = 0.0,
     target_rows_per_file: int = 200_000,
     isolate_runs: bool = False,
     **options,
@@ -139,8 +152,9 @@ def evaluate(
     returned in ``EvalResult.failures`` (a resume retries them).
     ``log_format="parquet"`` keeps a columnar log (JSON lines by default).
     ``stop`` truncates responses at the earliest stop sequence (for
-    responders without stop support; local engines stop at the question
-    tag). ``call_timeout`` bounds the wait for one call. The factory receives
+    responders without stop support); by default the local engine (``vllm``)
+    stops at the question tag. ``chat_template`` is a bool, a (before, after)
+    pair or a callable on the prompt column. ``backoff`` see ``respond``. ``call_timeout`` bounds the wait for one call. The factory receives
     ``max_tokens``, ``temperature`` and ``timeout`` (defaults 128, 0.0, 20 s)
     plus any other ``options``; a failing call is tried up to ``max_tries``
     times (default 100). ``isolate_runs``
@@ -158,7 +172,7 @@ def evaluate(
         "timeout": DEFAULT_TIMEOUT,
         **options,
     }
-    check_k(k)
+    check_k(k, None)  # bounded by the dev split, which build_prompts checks
     cot = mode == "cot"
     if style is None:
         style = BACKEND_STYLE.get(backend or "openai", "suffix")
@@ -173,28 +187,40 @@ def evaluate(
     test = select_subsets(test_items(everything), names)
     dev = select_subsets(dev_all, names)
 
-    keep = tuple(OPTION_LETTERS) if backend == "hf" else ()
-    if max_length is None:
-        prompts = build_prompts(test, dev, k, style, cot, topic, keep=keep)
-    else:
-        wrapper = template_text(_prefill(backend, cot), chat_template)
-        prompts = build_prompts_budget(
-            test, dev, k, max_length, wrapper, style, cot, topic, token_len, keep=keep
-        ).drop("budget_left")
-
     def this_log():
         log = read_log(spark, log_path, names, log_format)
         return log.where(F.col("run_id") == run_id) if isolate_runs else log
 
-    todo = prompts if overwrite else pending(prompts, this_log())
+    # items answered before are dropped, and the rest are dealt to the responder's
+    # tasks, while they are bare items: prompts are rendered after the last shuffle
+    open_items = test if overwrite else pending(test, this_log())
     if partitions is None:
         # calls are the slow part: spread them over every core by item key
         partitions = parallelism(spark)
+    test = open_items.repartition(partitions, "subset", "id")
+    if backend == "vllm" and stop is None:
+        stop = [QUESTION_TAG]
+
+    keep = tuple(OPTION_LETTERS) if backend == "hf" else ()
+    if max_length is None:
+        todo = build_prompts(test, dev, k, style, cot, topic, keep=keep)
+    else:
+        prefill = _prefill(backend, cot)
+        if callable(chat_template):  # charged as it wraps an empty prompt
+            wrapper = spark.range(1).select(chat_template(F.lit(""))).first()[0] + prefill
+        elif isinstance(chat_template, tuple):
+            wrapper = template_text(prefill, True, chat_template)
+        else:
+            wrapper = template_text(prefill, chat_template)
+        todo = build_prompts_budget(
+            test, dev, k, max_length, wrapper, style, cot, topic, token_len, keep=keep
+        ).drop("budget_left")
 
     if backend == "hf":
         # probability path: every option present is scored by the model and
         # the arg-max label "X)" becomes the logged response
-        responses = _loglik_responses(todo, factory, chat_template, partitions, **options)
+        responses = _loglik_responses(todo, factory, chat_template, partitions,
+                                      max_tries=max_tries, backoff=backoff, **options)
     else:
         todo = todo.withColumn("model_input", to_input(F.col("prompt")))
         responses = respond(
@@ -202,10 +228,10 @@ def evaluate(
             factory,
             input_col="model_input",
             max_tries=max_tries,
-            partitions=partitions,
             carry=("seq", "prompt", "gold_answer"),
             threads=threads,
             call_timeout=call_timeout,
+            backoff=backoff,
             **options,
         )
         if stop:
@@ -216,6 +242,15 @@ def evaluate(
     responses.write.mode("overwrite").parquet(staged_path)
     staged = spark.read.parquet(staged_path)
 
+    # every open item must have come back, answered or failed; the log is unchanged yet
+    back = staged.withColumn("error", F.lit(None).cast("string"))
+    counts = reconcile(open_items.select("subset"), staged)
+    gaps = reconcile(open_items.select("subset"), back).where("n_missing <> 0")
+    short = sorted(r["subset"] for r in gaps.select("subset").collect())
+    if short:
+        raise RuntimeError(f"not every item came back in subsets {short}")
+    counts = spark.createDataFrame(counts.collect(), counts.schema)  # one row a subset
+
     if names is None:
         # ALL: every subset with test items is in the staged rows or already
         # in the log, and the cached dev side covers the rest; no extra pass
@@ -231,17 +266,16 @@ def evaluate(
         ok = prefix_commit(staged.withColumn("failed", F.col("error").isNotNull()), "failed", "seq")
     if overwrite:
         targets = names or [r["subset"] for r in evaluated.collect()]
-        overwrite_log(spark, ok, log_path, targets, run_id, log_format, target_rows_per_file)
+        overwrite_log(spark, ok, log_path, targets, run_id, log_format, target_rows_per_file, isolate_runs)
     else:
         append_log(ok, log_path, run_id, log_format, target_rows_per_file)
 
     if strict:
         failed = [r["subset"] for r in staged.where(F.col("error").isNotNull())
-                  .select("subset").distinct().limit(50).collect()]
+                  .select("subset").distinct().collect()]
         if failed:
             raise RuntimeError(f"calls failed in subsets {sorted(failed)}; only earlier items were logged")
 
     result = report_for(rescore(this_log(), None, mode), requested)
     failures = staged.where(F.col("error").isNotNull())
-    counts = reconcile(staged.select("subset"), staged)
     return EvalResult(result, failures, counts, staged_path)

@@ -144,7 +144,7 @@ docs_ AS (
 ),
 base_ AS (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn_
-  FROM docs_ WHERE len(l) >= 3
+  FROM docs_
 ),
 exam_items AS (
   SELECT lang AS subset,
@@ -153,14 +153,14 @@ exam_items AS (
          lang || '-' || CAST(doc_id AS VARCHAR) AS id,
          l[1] AS question,
          l[2] AS "A", l[3] AS "B", l[4] AS "C", l[5] AS "D", l[6] AS "E", l[7] AS "F",
-         chr(CAST(65 + doc_id % least(len(l) - 1, 6) AS INTEGER)) AS answer,
-         l[-1] AS explanation
+         chr(CAST(65 + doc_id % greatest(least(len(l) - 1, 6), 1) AS INTEGER)) AS answer,
+         CASE WHEN len(l) > 7 THEN array_to_string(l[8:], {NL}) END AS explanation
   FROM base_
 )"""
 
 
 def _response_expr() -> str:
-    p = f"chr(CAST(65 + (seq // 3) % len({present()}) AS INTEGER))"
+    p = f"chr(CAST(65 + (seq // 3) % greatest(len({present()}), 1) AS INTEGER))"
     opened = f"({lit(ANSWER_OPEN)} || {p} || ')')"
     forms = [
         f"{p} || ')'",
@@ -190,13 +190,14 @@ log_once_ AS (
          {TOPIC} || {render_item('suffix', False, False, 'i.')} AS prompt,
          r.full_response, r.gold_answer
   FROM exam_items i JOIN exam_responses r USING (subset, seq, id)
-  WHERE i.split = 'test' AND i.seq % 4 = 0
+  WHERE i.split = 'test'
 ),
-exam_log AS (
+whole_log AS (
   SELECT * FROM log_once_
   UNION ALL
   SELECT * FROM log_once_ WHERE seq % 40 = 0
-)"""
+),
+exam_log AS (SELECT * FROM whole_log WHERE seq % 4 = 0)"""
 
 FAILURES_CTE = f"""{RESPONSES_CTE},
 exam_failures AS (
@@ -389,7 +390,21 @@ def _build() -> dict[str, str]:
         "SELECT subset, id FROM exam_items WHERE split = 'test' "
         "AND (subset, id) NOT IN (SELECT subset, id FROM exam_log)",
     )
-    q["log_distinct_ids"] = _with(LOG_CTE, "SELECT DISTINCT subset, id FROM exam_log")
+    # a plain count on the documents, which does not use the exam view
+    q["items_text_check"] = (
+        f"SELECT lang AS subset, count(*) AS n_items, sum(len(string_split(text, {NL}))) AS n_lines, "
+        f"sum(length(replace(text, {NL}, ''))) AS n_chars FROM documents GROUP BY lang"
+    )
+    q["overwrite_one_run"] = _with(
+        RESPONSES_CTE,
+        "SELECT 'r1' AS run_id, subset, id, full_response FROM exam_responses UNION ALL "
+        "SELECT 'r2' AS run_id, subset, id, 'B)' AS full_response FROM exam_responses",
+    )
+    q["rescore_dedupe"] = _with(
+        RESPONSES_CTE,
+        "SELECT subset, 2 * count(*) AS n FROM exam_responses GROUP BY subset",
+    )
+    q["log_distinct_ids"] = _with(LOG_CTE, "SELECT DISTINCT subset, id FROM whole_log")
     for mode, key in (("direct", "rescore_union"), ("cot", "rescore_union_cot")):
         q[key] = _with(
             LOG_CTE,
@@ -401,7 +416,7 @@ def _build() -> dict[str, str]:
             ),
         )
     q["log_roundtrip"] = _with(
-        LOG_CTE, "SELECT subset, id, prompt, full_response, gold_answer FROM exam_log"
+        LOG_CTE, "SELECT subset, id, prompt, full_response, gold_answer FROM whole_log"
     )
     q["overwrite_subset"] = _with(
         LOG_CTE,
@@ -542,15 +557,15 @@ opts_ AS (
     FROM exam_items WHERE split = 'test') o USING (subset, id)
 ),
 best_ AS (
-  SELECT subset, gold_answer, choice || ')' AS full_response FROM (
-    SELECT *, row_number() OVER (PARTITION BY subset, id ORDER BY ll DESC, choice) AS r_ FROM opts_)
-  WHERE r_ = 1
+  SELECT p.subset, p.gold_answer, o.choice || ')' AS full_response FROM prompts_ p LEFT JOIN (
+    SELECT *, row_number() OVER (PARTITION BY subset, id ORDER BY ll DESC, choice) AS r_ FROM opts_) o
+  ON o.subset = p.subset AND o.id = p.id AND o.r_ = 1
 )""",
         _report_sql("best_", "direct"),
     )
     q["stream_report"] = _with(
         LOG_CTE,
-        _report_sql("(SELECT subset, full_response, gold_answer FROM exam_log)", "direct"),
+        _report_sql("(SELECT subset, full_response, gold_answer FROM whole_log)", "direct"),
     )
     return q
 

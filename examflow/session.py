@@ -66,6 +66,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured:
+            _local_only(spark.conf.get("spark.master", "local"))
             configured = tempfile.mkdtemp(prefix="examflow-ckpt-")
             spark.conf.set("spark.checkpoint.dir", configured)
         return configured
@@ -76,12 +77,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
-        # Unset: this is a local run or a test, so a private temp folder is fine.
+        # Unset: in a local run or a test a private temp folder is fine.
+        _local_only(sc.master)
         configured = tempfile.mkdtemp(prefix="examflow-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def _local_only(master: str) -> None:
+    """On a cluster every machine has its own temp folder, so none will do."""
+    if master.partition("[")[0] != "local":
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master}")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint dir."""
     base = ensure_checkpoint_dir(spark)

@@ -43,10 +43,19 @@ def load_items(
     return df
 
 
-def write_items(items: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_items(
+    items: DataFrame, path: str, mode: str = "overwrite", rows_per_file: int = 200_000
+) -> None:
+    """Partitioned by subset and split, a large partition in several files of about
+    ``rows_per_file``: rows are dealt by (subset, split, bucket of the id), and the
+    number of buckets follows the largest (subset, split)."""
+    rows = items.select(*[f.name for f in ITEM_SCHEMA.fields])
+    sizes = rows.groupBy("subset", "split").agg(F.count(F.lit(1)).alias("n"))
+    largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    buckets = max(1, -(-(largest or 0) // rows_per_file))
+    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets))
     (
-        items.select(*[f.name for f in ITEM_SCHEMA.fields])
-        .repartition("subset", "split")
+        rows.repartition(max(1, -(-(total or 0) // rows_per_file)) + buckets, F.col("subset"), F.col("split"), bucket)
         .write.mode(mode)
         .partitionBy("subset", "split")
         .parquet(path)
@@ -96,7 +105,7 @@ def validate_subsets(spark: SparkSession, spec: str, catalog: DataFrame) -> list
     names = parse_subsets(spec)
     if names is None:
         return None
-    missing = [r["subset"] for r in unknown_subsets(spark, spec, catalog).limit(20).collect()]
+    missing = [r["subset"] for r in unknown_subsets(spark, spec, catalog).collect()]
     if missing:
         raise ValueError(f"{missing[0]!r} is not an available subset")
     return names

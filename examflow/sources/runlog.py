@@ -1,4 +1,4 @@
-"""The response log: JSON lines, one folder per subset.
+"""The response log: JSON lines, one folder per subset and run.
 
 The log is the materialisation point of a run. Responses are written first
 and everything downstream (scores, reports, resume) reads the log back, so a
@@ -9,6 +9,8 @@ publishes only the output of committed task attempts.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,7 +68,7 @@ def _log_rows(df: DataFrame, run_id: str | None) -> DataFrame:
 
 
 def _writer(df: DataFrame, mode: str, fmt: str):
-    w = df.write.mode(mode).partitionBy("subset")
+    w = df.write.mode(mode).partitionBy("subset", "run_id")
     if fmt == "json":
         return w.option("ignoreNullFields", "false").format("json")
     return w.format(fmt)
@@ -97,7 +99,7 @@ def append_log(
     path: str,
     run_id: str | None = None,
     fmt: str = "json",
-    target_rows_per_file: int | None = None,
+    target_rows_per_file: int | None = 200_000,
 ) -> None:
     """Append lines (UTF-8, unescaped, null fields written as null)."""
     rows = _log_rows(df, run_id)
@@ -113,12 +115,14 @@ def overwrite_log(
     subsets: list[str],
     run_id: str | None = None,
     fmt: str = "json",
-    target_rows_per_file: int | None = None,
+    target_rows_per_file: int | None = 200_000,
+    only_run: bool = False,
 ) -> None:
     """Replace the log of exactly the given subsets; other subsets are untouched.
+    With ``only_run``, only the lines of ``run_id`` in them: other runs stay.
 
     Dynamic partition overwrite only replaces partitions that receive rows,
-    so a requested subset that gets no rows is emptied explicitly. ``df``
+    so what is to go and gets no rows is emptied explicitly. ``df``
     should be materialised (``evaluate`` passes its staged responses): the
     subsets it holds are read from it once more, on the ``subset`` column
     alone.
@@ -127,10 +131,10 @@ def overwrite_log(
     if target_rows_per_file:
         rows = sized_by_subset(rows, target_rows_per_file)
     _writer(rows, "overwrite", fmt).option("partitionOverwriteMode", "dynamic").save(path)
-    written = {r["subset"] for r in rows.select("subset").distinct().collect()}
-    present = set(list_subsets(spark, path))
-    for name in (set(subsets) - written) & present:
-        _delete_partition(spark, path, name)
+    written = {(r["subset"], r["run_id"]) for r in rows.select("subset", "run_id").distinct().collect()}
+    for name, run, where in _partitions(spark, path):
+        if name in subsets and (name, run) not in written and (not only_run or run == run_id):
+            _fs(spark, path)[0].delete(where, True)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -140,22 +144,32 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
 
 
-def list_subsets(spark: SparkSession, path: str) -> list[str]:
-    """Subsets present in a log folder, from a directory listing (no data read)."""
+def _partitions(spark: SparkSession, path: str) -> list[tuple]:
+    """(subset, run, folder) of a log, from a directory listing (no data read).
+    Folder names are escaped as %XX."""
     fs, Path = _fs(spark, path)
-    statuses = fs.globStatus(Path(f"{path.rstrip('/')}/subset=*"))
-    if statuses is None:
-        return []
-    names = []
-    for st in statuses:
-        if st.isDirectory():
-            names.append(st.getPath().getName().split("=", 1)[1])
-    return names
+    found = fs.globStatus(Path(f"{path.rstrip('/')}/subset=*/run_id=*")) or []
+    out = []
+    for st in found:
+        names = [unquote(p.getName().split("=", 1)[1]) for p in (st.getPath().getParent(), st.getPath())]
+        run = None if names[1] == "__HIVE_DEFAULT_PARTITION__" else names[1]
+        out.append((names[0], run, st.getPath()))
+    return out
 
 
-def _delete_partition(spark: SparkSession, path: str, subset: str) -> None:
-    fs, Path = _fs(spark, path)
-    fs.delete(Path(f"{path.rstrip('/')}/subset={subset}"), True)
+def list_subsets(spark: SparkSession, path: str) -> list[str]:
+    """Subsets present in a log folder."""
+    return sorted({name for name, _, _ in _partitions(spark, path)})
+
+
+def read_named_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Logs kept as one ``<subset>_out.jsonl`` file per subset, in the same schema."""
+    fields = T.StructType([f for f in LOG_SCHEMA.fields if f.name not in ("subset", "run_id")])
+    lines = spark.read.schema(fields).option("mode", "FAILFAST").option(
+        "pathGlobFilter", "*_out.jsonl").json(path)
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"_out\.jsonl$", "")
+    subset = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    return lines.select(*LOG_FIELDS, F.lit(None).cast("string").alias("run_id"), subset.alias("subset"))
 
 
 def logged_ids(log: DataFrame) -> DataFrame:
@@ -164,7 +178,10 @@ def logged_ids(log: DataFrame) -> DataFrame:
 
 
 def pending(prompts: DataFrame, log: DataFrame) -> DataFrame:
-    """Items not yet in the log. Ids must be non-null (a null never matches)."""
+    """Items not yet in the log. A null id would match no line and be answered
+    again at every resume, so it is refused."""
+    checked = F.when(F.col("id").isNull(), F.raise_error(F.lit("an item has no id")).cast("string")).otherwise(F.col("id"))
+    prompts = prompts.withColumn("id", checked)
     return prompts.join(logged_ids(log), ["subset", "id"], "left_anti")
 
 

@@ -48,13 +48,15 @@ class ExamItems:
 
 
 def _item_columns(lines: Column) -> list[Column]:
-    n_opt = F.least(F.size(lines) - 1, F.lit(6))
+    # every line is in exactly one column: the question, an option, or (from the
+    # eighth line on) the explanation
+    n_opt = F.greatest(F.least(F.size(lines) - 1, F.lit(6)), F.lit(1))
     return [
         F.concat("lang", F.lit("-"), F.col("doc_id").cast("string")).alias("id"),
         F.get(lines, 0).alias("question"),
         *[F.get(lines, i).alias(letter) for i, letter in enumerate("ABCDEF", start=1)],
         F.char(F.pmod("doc_id", n_opt) + 65).alias("answer"),
-        F.element_at(lines, -1).alias("explanation"),
+        F.when(F.size(lines) > 7, F.array_join(F.slice(lines, 8, F.size(lines)), "\n")).alias("explanation"),
     ]
 
 
@@ -62,20 +64,15 @@ _ITEM_OUT = ["id", "question", *"ABCDEF", "answer", "explanation"]
 
 
 def exam_item_sets(spark: SparkSession, sf_dir: str, n_dev: int = N_DEV) -> ExamItems:
-    """Items from documents with at least three lines; first ``n_dev`` per language are dev."""
+    """Every document is an item; the first ``n_dev`` per language are dev."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     lines = F.split("text", "\n", -1)
-    # "at least three lines" = a second newline exists; found without
-    # splitting the text into an array just to count it
-    three_lines = F.expr("locate(char(10), text, instr(text, char(10)) + 1) > 0")
-    base = docs.where(three_lines).select("lang", "doc_id", *_item_columns(lines))
-    dev_rows = first_k(base, ["lang"], ["doc_id"], n_dev).drop("rank")
-    dev_side = measure_small(dev_rows)
-    keys = SmallSide(
-        dev_side.df.select("lang", "doc_id", F.lit("dev").alias("split")),
-        dev_side.rows,
-        dev_side.approx_bytes,
-        dev_side.broadcastable,
+    base = docs.select("lang", "doc_id", *_item_columns(lines))
+    # the top-k sorts keys only; texts of the few dev rows are joined to them
+    first = first_k(docs.select("lang", "doc_id"), ["lang"], ["doc_id"], n_dev)
+    keys = measure_small(first.select("lang", "doc_id", F.lit("dev").alias("split")))
+    dev_side = measure_small(
+        attach_small(base, keys, ["lang", "doc_id"], "inner", salt_by=F.col("id")).drop("split")
     )
     labelled = attach_small(base, keys, ["lang", "doc_id"], "left", salt_by=F.col("id"))
 
@@ -107,7 +104,7 @@ def dev_items(items: DataFrame) -> DataFrame:
 
 def response_text() -> Column:
     """The synthetic free-text response of a test item, in ten fixed forms."""
-    n_opt = F.size(take_present(option_array()))
+    n_opt = F.greatest(F.size(take_present(option_array())), F.lit(1))
     seq = F.col("seq")
     p = F.char(F.pmod(F.expr("seq div 3"), n_opt) + 65)
     g = F.col("answer")
@@ -146,8 +143,9 @@ def exam_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses_of(exam_items(spark, sf_dir))
 
 
-def log_rows_of(items: DataFrame) -> DataFrame:
-    """A past run's log: every fourth response, every fortieth one twice.
+def log_rows_of(items: DataFrame, whole: bool = False) -> DataFrame:
+    """A past run's log: every fourth response (an interrupted run, for the resume
+    queries) or, if ``whole``, every response; every fortieth one twice.
 
     The logged prompt is the zero-shot, answer-opening prompt of the item.
     One pass over the items: the doubled rows come from an explode.
@@ -158,7 +156,7 @@ def log_rows_of(items: DataFrame) -> DataFrame:
     )
     return (
         test_items(items)
-        .where(F.pmod("seq", 4) == 0)
+        .where(F.lit(True) if whole else F.pmod("seq", 4) == 0)
         .select(
             "subset",
             "seq",
@@ -173,7 +171,8 @@ def log_rows_of(items: DataFrame) -> DataFrame:
 
 
 def exam_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_rows_of(exam_items(spark, sf_dir))
+    """The log of a whole run."""
+    return log_rows_of(exam_items(spark, sf_dir), whole=True)
 
 
 def failures_of(items: DataFrame) -> DataFrame:

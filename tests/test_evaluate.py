@@ -146,8 +146,8 @@ def test_probability_backend_with_chat_template(spark, sf_small, scratch):
             if r[c] is None:
                 break
             opts.append(c)
-        best = max(opts, key=lambda c: (-((len(ctx) + ord(c)) % 5), -ord(c)))
-        expect[r.id] = (best + ")", r.prompt)
+        best = max(opts, key=lambda c: (-((len(ctx) + ord(c)) % 5), -ord(c)), default=None)
+        expect[r.id] = (best and best + ")", r.prompt)
     assert logged == expect
 
 

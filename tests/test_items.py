@@ -18,10 +18,10 @@ from examflow.sources.items import (
 def test_items_counts(spark, sf_small):
     items = td.exam_items(spark, sf_small)
     counts = {(r.subset, r.split): r["count"] for r in items.groupBy("subset", "split").count().collect()}
-    assert sum(counts.values()) == 159
+    assert sum(counts.values()) == 200
     assert {k[0] for k in counts} == {"de", "en", "es", "fr"}
     assert all(counts[(s, "dev")] == 5 for s in ("de", "en", "es", "fr"))
-    assert counts[("en", "test")] == 98
+    assert counts[("en", "test")] == 122
 
 
 def test_parse_subsets():
@@ -46,5 +46,5 @@ def test_items_table_partition_pruning(spark, sf_small, scratch):
     df = load_items(spark, path, split="test", subsets=["en"])
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "split" in plan
-    assert df.count() == 98
+    assert df.count() == 122
     assert df.where(F.col("subset") != "en").count() == 0

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from examflow.operators import loglik as LL
@@ -20,9 +21,22 @@ def test_log_softmax_matches_numpy(spark):
         assert math.isclose(r.lp, ref[i % 7], rel_tol=1e-12)
 
 
-def test_out_of_range_token_is_null(spark):
-    df = spark.createDataFrame([([0.0, 1.0], 5)], "v array<double>, t int")
-    assert df.select(LL.token_logprob("v", "t")).first()[0] is None
+@pytest.mark.parametrize("token", [5, 2, -1])
+def test_out_of_range_token_raises(spark, token):
+    df = spark.createDataFrame([([0.0, 1.0], token)], "v array<double>, t int")
+    with pytest.raises(Exception, match="out of range"):
+        df.select(LL.token_logprob("v", "t")).collect()
+    table = spark.createDataFrame([("s", "1", "A", 0, token, [0.0, 1.0])],
+                                  "subset string, id string, choice string, pos int, token_id int, logits array<double>")
+    for path in (LL.choose_from_logits, lambda t: LL.choose(LL.choice_loglik(t))):
+        with pytest.raises(Exception, match="out of range"):
+            path(table).collect()
+
+
+def test_too_few_logits_raise(spark):
+    df = spark.createDataFrame([([[0.0, 1.0]], [0, 1, 1])], "s array<array<double>>, t array<int>")
+    with pytest.raises(Exception, match="fewer logits"):
+        df.select(LL.continuation_logprob("s", "t", 2)).collect()
 
 
 def _choose(spark, rows):

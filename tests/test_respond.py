@@ -105,3 +105,34 @@ def test_cut_at_stops(spark):
     df = spark.createDataFrame([("ab問題：cd###e",), ("x###y問題：z",), ("plain",)], "t string")
     got = [r[0] for r in df.select(cut_at_stops(F.col("t"), ["問題：", "###"])).collect()]
     assert got == ["ab", "x", "plain"]
+
+
+def test_hung_calls_fail_alone(spark):
+    """Calls that hang cost neither the calls beside them nor those after them."""
+    import time
+
+    class Hangs:
+        def __init__(self, **_):
+            pass
+
+        def __call__(self, prompt):
+            if prompt in ("p0", "p1"):
+                time.sleep(30)
+            return "A)"
+
+    df = spark.createDataFrame([("s", str(i), f"p{i}") for i in range(10)], "subset string, id string, prompt string").coalesce(1)
+    rows = {r.id: r for r in respond(df, Hangs, call_timeout=1.0, threads=1).collect()}
+    assert {i for i, r in rows.items() if r.error} == {"0", "1"}
+    assert all(r.full_response == "A)" for i, r in rows.items() if i not in ("0", "1"))
+
+
+def test_refused_key_is_not_retried(spark):
+    class Refuses:
+        def __init__(self, **_):
+            pass
+
+        def __call__(self, prompt):
+            raise PermissionError("bad key")
+
+    df = spark.createDataFrame([("s", "1", "p")], "subset string, id string, prompt string")
+    assert respond(df, Refuses, max_tries=50).first().attempts == 1

@@ -22,10 +22,10 @@ def test_roundtrip_unescaped_key_order_nulls(spark, scratch):
     df = _rows(spark, [("s1", "1", "問題：x", None, "A"), ("s2", "2", "p", "B)", "B")])
     append_log(df, path, run_id="r")
     local = path.removeprefix("file:")
-    files = glob.glob(os.path.join(local, "subset=s1", "*.json"))
+    files = glob.glob(os.path.join(local, "subset=s1", "run_id=r", "*.json"))
     line = open(files[0], encoding="utf-8").read().splitlines()[0]
     assert "問題：x" in line  # not \\u-escaped
-    assert list(json.loads(line)) == ["id", "prompt", "full_response", "gold_answer", "run_id"]
+    assert list(json.loads(line)) == ["id", "prompt", "full_response", "gold_answer"]
     assert json.loads(line)["full_response"] is None
     back = {(r.subset, r.id, r.full_response) for r in read_log(spark, path).collect()}
     assert back == {("s1", "1", None), ("s2", "2", "B)")}
@@ -119,11 +119,11 @@ def test_sized_files_per_subset(spark, scratch):
         F.lit("A").alias("gold_answer"),
     )
     plain, sized = scratch("plain"), scratch("sized")
-    append_log(df, plain)
+    append_log(df, plain, target_rows_per_file=None)
     append_log(df, sized, target_rows_per_file=300)
-    count = lambda p: len(glob.glob(os.path.join(p.removeprefix("file:"), "subset=*", "*.json")))
+    count = lambda p: len(glob.glob(os.path.join(p.removeprefix("file:"), "subset=*", "run_id=*", "*.json")))
     assert count(sized) < count(plain)
-    hot_files = glob.glob(os.path.join(sized.removeprefix("file:"), "subset=hot", "*.json"))
+    hot_files = glob.glob(os.path.join(sized.removeprefix("file:"), "subset=hot", "run_id=*", "*.json"))
     assert 2 <= len(hot_files) <= 6  # 1200 rows / 300 = 4 buckets (hash collisions may merge)
     assert read_log(spark, sized).count() == 2000
     layout = sized_by_subset(df, 300)
@@ -146,3 +146,34 @@ def test_report_for_empty_requested_subset(spark):
     requested = spark.createDataFrame([("a",), ("zz",)], "subset string")
     got = {r.subset: (r.n, r.n_correct, r.avg_score) for r in report_for(scored, requested).collect()}
     assert got == {"a": (1, 1, 1.0), "zz": (0, 0, None)}
+
+
+def test_only_run_keeps_other_runs_and_escaped_names(spark, scratch):
+    path = scratch("log")
+    append_log(_rows(spark, [("a/b", "1", "p", "A)", "A"), ("c", "2", "p", "A)", "A")]), path, "r1")
+    append_log(_rows(spark, [("a/b", "1", "p", "B)", "A"), ("c", "2", "p", "B)", "A")]), path, "r2")
+    overwrite_log(spark, _rows(spark, [("c", "2", "p", "C)", "A")]), path, ["a/b", "c"], "r2", only_run=True)
+    rows = {(r.run_id, r.subset, r.full_response) for r in read_log(spark, path).collect()}
+    assert rows == {("r1", "a/b", "A)"), ("r1", "c", "A)"), ("r2", "c", "C)")}
+    # the whole subset, all runs
+    overwrite_log(spark, _rows(spark, []), path, ["a/b"], "r2")
+    assert {(r.run_id, r.subset) for r in read_log(spark, path).collect()} == {("r1", "c"), ("r2", "c")}
+
+
+def test_null_id_is_refused(spark, scratch):
+    items = _rows(spark, [("a", None, "p", "A)", "A")])
+    with pytest.raises(Exception, match="no id"):
+        pending(items, read_log(spark, scratch("none"))).collect()
+
+
+def test_one_file_per_subset_logs(spark, scratch):
+    from examflow.sources.runlog import read_named_logs
+
+    path = scratch("named").removeprefix("file:")
+    os.makedirs(path)
+    line = {"id": "1", "prompt": "p", "full_response": "A)", "gold_answer": "A"}
+    for name in ("AST_chinese", "driving rule"):
+        with open(os.path.join(path, f"{name}_out.jsonl"), "w", encoding="utf-8") as f:
+            f.write(json.dumps(line) + "\n")
+    rows = read_named_logs(spark, path).collect()
+    assert {(r.subset, r.id, r.full_response) for r in rows} == {("AST_chinese", "1", "A)"), ("driving rule", "1", "A)")}
