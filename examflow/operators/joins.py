@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import parallelism
+from ..session import _context, parallelism
 
 DEFAULT_MAX_ROWS = 100_000
 DEFAULT_MAX_BYTES = 64 * 1024 * 1024
@@ -61,7 +61,10 @@ def measure_small(
         small = small.coalesce(min(parallelism(small.sparkSession), SMALL_PARTITIONS)).cache()
         _CACHED.append(small)
         while len(_CACHED) > MAX_CACHED:
-            _CACHED.popleft().unpersist()
+            old = _CACHED.popleft()
+            # a frame of a stopped context is gone already
+            if _context(old.sparkSession) is _context(small.sparkSession):
+                old.unpersist()
     # One distributed aggregate over the materialised side (no limit: that
     # would add a single-partition exchange); only two numbers reach the driver.
     size_expr = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in small.columns]))))

@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scorers import is_correct, with_prediction
+from ..functions.scorers import Mode, is_correct, with_prediction
 
 
 def score(
     df: DataFrame,
-    mode: str | bool = "direct",
+    mode: Mode = "direct",
     response: str = "full_response",
     gold: str = "gold_answer",
 ) -> DataFrame:
@@ -67,7 +67,7 @@ def report_for(scored: DataFrame, requested: DataFrame, order: bool = True) -> D
 def rescore(
     past_log: DataFrame,
     new_responses: DataFrame | None,
-    mode: str | bool = "direct",
+    mode: Mode = "direct",
     dedupe: bool = False,
 ) -> DataFrame:
     """Past log lines re-scored with the current mode, bag-unioned with new scores.

@@ -142,6 +142,7 @@ def evaluate(
     backoff: float = 0.0,
     target_rows_per_file: int = 200_000,
     isolate_runs: bool = False,
+    reader: Callable[[Column], Column] | None = None,
     **options,
 ) -> EvalResult:
     """Run (or resume) an evaluation and report accuracy per subset.
@@ -154,12 +155,15 @@ def evaluate(
     ``stop`` truncates responses at the earliest stop sequence (for
     responders without stop support); by default the local engine (``vllm``)
     stops at the question tag. ``chat_template`` is a bool, a (before, after)
-    pair or a callable on the prompt column. ``backoff`` see ``respond``. ``call_timeout`` bounds the wait for one call. The factory receives
+    pair or a callable on the prompt column. ``backoff`` see ``respond``.
+    ``call_timeout`` bounds the wait for one call. The factory receives
     ``max_tokens``, ``temperature`` and ``timeout`` (defaults 128, 0.0, 20 s)
     plus any other ``options``; a failing call is tried up to ``max_tries``
     times (default 100). ``isolate_runs``
     keys resume and report on ``run_id`` as well, so runs with different
-    settings can share one log folder without mixing.
+    settings can share one log folder without mixing. ``reader`` (response column to
+    letter column) replaces the mode's own reader in the report; ``mode`` still
+    shapes the prompts.
     """
     if isolate_runs and run_id is None:
         raise ValueError("isolate_runs needs a run_id")
@@ -276,6 +280,6 @@ def evaluate(
         if failed:
             raise RuntimeError(f"calls failed in subsets {sorted(failed)}; only earlier items were logged")
 
-    result = report_for(rescore(this_log(), None, mode), requested)
+    result = report_for(rescore(this_log(), None, reader or mode), requested)
     failures = staged.where(F.col("error").isNotNull())
     return EvalResult(result, failures, counts, staged_path)

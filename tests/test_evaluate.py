@@ -213,3 +213,12 @@ def test_resume_with_parquet_log(spark, sf_small, scratch):
     assert spark.read.parquet(second.staged_path).count() == 0
     assert first.as_dict() == second.as_dict()
     assert read_log(spark, path, fmt="parquet").count() == sets.test.where("subset = 'de'").count()
+
+
+def test_reader_of_ones_own(spark, sf_small, scratch):
+    sets = td.exam_item_sets(spark, sf_small)
+    path = scratch("run")
+    res = evaluate(spark, sets, LetterResponder, path, k=0, subsets="de", run_id="a",
+                   reader=lambda response: F.lit("A"))
+    log = read_log(spark, path)
+    assert res.report.first()["n_correct"] == log.where("gold_answer = 'A'").count() > 0

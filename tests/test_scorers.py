@@ -134,3 +134,20 @@ def test_conversation_prediction_counts_match_fixtures(spark):
     cot = {r[0]: r[1] for r in df.groupBy("pred_cot").count().collect()}
     assert direct == {None: 22, "A": 75, "B": 12, "C": 8, "D": 16, "E": 93, "F": 7}
     assert cot == {None: 22, "A": 60, "B": 12, "C": 11, "D": 14, "E": 111, "F": 3}
+
+
+def test_callable_mode_reads_the_response(spark):
+    from examflow.functions.scorers import scorer
+    from examflow.operators.scoring import rescore, score
+
+    def last_letter(response):
+        return F.upper(F.substring(response, -1, 1))
+
+    log = spark.createDataFrame(
+        [("s", "1", "is b", "B"), ("s", "2", "is c", "B"), ("s", "3", None, "B")],
+        "subset string, id string, full_response string, gold_answer string",
+    )
+    got = {r.id: (r.prediction, r.correct) for r in score(log, last_letter).collect()}
+    assert got == {"1": ("B", 1), "2": ("C", 0), "3": (None, 0)}
+    assert rescore(log, None, last_letter).agg(F.sum("correct")).first()[0] == 1
+    assert scorer(last_letter) is last_letter
