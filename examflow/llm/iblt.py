@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a line; a line over ``LONG_LINE`` code points is cut after sentence
-ends. A text is the set of its paragraphs' 64-bit digests. A sketch has three tables
+A paragraph is a line or, in a line of any length, a part that ends at a sentence end.
+A text is the set of its paragraphs' 64-bit digests. A sketch has three tables
 of ``s`` cells; each digest is added to one cell of each table, and a cell holds
 (count, xor of digests, xor of check hashes). Subtracting the sketches of two
 versions cancels what they share. Peeling takes digests from cells that hold just
@@ -18,6 +18,7 @@ Everything is a DataFrame expression on one row; no Python runs on executors.
 * The next document is the next row by (doc_id, text), null ids first, and the first
   row after the last. One row is its own next. Repeated rows each get a result. An
   empty table gives no rows; extra columns are dropped.
+* A line without sentence ends is one paragraph, however long.
 * Very long texts: work grows with the paragraphs, times their groups of some 128.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .frames import partitions
 
-LONG_LINE = 2000
+LONG_LINE = 0  # lines of more code points are cut after sentence ends: all that are not blank
 SMALL, SUB, RETRIES = 4, 8, (32, 128)  # cells of one table
 SHARE = 8  # digests that meet in a sub-sketch, on average
 ROUNDS = 10
@@ -43,9 +44,8 @@ def _let(value: Column, f) -> Column:
 
 def digests(text: Column) -> Column:
     """Distinct paragraph digests of a text, as array<long>."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.when(
-        F.char_length(x) > LONG_LINE, F.split(x, r"(?<=[.!?]) ")).otherwise(F.array(x)))
-    return F.array_distinct(F.transform(F.filter(F.flatten(lines), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    paragraphs = F.split(text, r"\n|(?<=[.!?]) ")
+    return F.array_distinct(F.transform(F.filter(paragraphs, lambda x: x != ""), lambda x: F.xxhash64(x)))
 
 
 def _entry(key: Column, count: Column, s: int) -> Column:

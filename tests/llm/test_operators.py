@@ -68,6 +68,17 @@ def test_fingerprints(docs, none):
     assert got == expect
 
 
+def test_line_cuts_do_not_depend_on_length(spark):
+    """A line that an edit makes shorter or longer keeps the digests of its sentences."""
+    parts = [f"Sentence {i} of one line stands here." for i in range(120)]
+    rows = [(n, " ".join(parts[:n])) for n in (2, 10, 53, 54, 55, 56, 120)]  # 2,000 code points lie at 54
+    got = {r.n: set(r.d) for r in spark.createDataFrame(rows, "n int, text string").select(
+        "n", iblt.digests(F.col("text")).alias("d")).collect()}
+    assert all(len(d) == n and d <= got[120] for n, d in got.items())
+    near = {r.doc_id: r.near_next for r in iblt.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert near[53] == pytest.approx(53 / 54) and near[56] == pytest.approx(56 / 120)
+
+
 def test_peeling_many_differences(spark):
     """Differences beyond the small sketches are recovered by the larger ones."""
     a, b = list(range(700)), list(range(300, 900))
