@@ -181,6 +181,66 @@ def test_bin_slack_fills_to_capacity():
         assert sum(packing.fill(c, 20)) == max(s for s in sums if s <= 20)
 
 
+def test_packing_cuts_rests_of_a_hot_length(spark):
+    """Rests over half a sequence, many of one length, leave no slack but at the end."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizer("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    sizes = [600] * 60 + [520] * 30 + [700] * 20 + [1, 2, 3, 900, 1500, 2500, 3000]
+    texts = [(i // 2, f"n{i}" + "".join(f" w{(i + k) % 90}" for k in range(n // 2))) for i, n in enumerate(sizes)]
+    hot = "hot" + " the" * 598
+    texts += [(None, hot), (None, hot), *((1000 + i, hot) for i in range(60))]
+    rows = packing.pack_documents(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), path).collect()
+    ids = [(i, tok.encode(t, add_special_tokens=False).ids + [0]) for i, t in texts]
+    total = sum(len(x) for _, x in ids)
+    by, parts = collections.defaultdict(list), collections.defaultdict(collections.Counter)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+        parts[r.doc_id][r.start, r.length, r.ids_crc32, r.doc_tokens] += 1
+    assert sorted(by) == list(range(-(-total // 1024)))
+    full = 0
+    for p in by.values():
+        at = 0
+        for offset, length in sorted(p):
+            assert offset == at and length > 0
+            at += length
+        full += at == 1024
+        assert at <= 1024
+    assert full >= len(by) - 1
+    assert any(r.start % 1024 for r in rows)
+    # the parts of each id's documents: each token once, with the right crc
+    for i, left in parts.items():
+        own = [x for j, x in ids if j == i]
+        assert collections.Counter(at for (s, n, _, _), c in left.items() for at in range(s, s + n) for _ in range(c)) == \
+            collections.Counter(at for x in own for at in range(len(x)))
+        for (s, n, crc, all_n), _ in left.items():
+            assert crc in [zlib.crc32(np.asarray(x[s : s + n], "<u4").tobytes()) for x in own if len(x) == all_n]
+
+
+def test_placements_need_the_fewest_sequences():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        counts = collections.Counter(rng.choice([520, 600, 700, 513, 1024, int(rng.integers(1, 1024))], 400).tolist())
+        held = collections.Counter()
+        for x, levels in packing.placements(dict(counts)).items():
+            for rank in range(counts[x]):
+                at = 0
+                for t in levels:
+                    first, start, part, turn, each, seq, off = t[np.searchsorted(t[:, 0], rank, "right") - 1].tolist()
+                    assert start == at
+                    turn += rank - first
+                    begin = off + turn % each * part
+                    held.update((seq + turn // each, k) for k in range(begin, begin + part))
+                    at += part
+                    if at == x:
+                        break
+                assert at == x
+        total = sum(x * c for x, c in counts.items())
+        assert len(held) == total and set(held.values()) == {1}
+        assert {s for s, _ in held} == set(range(-(-total // 1024))) and max(k for _, k in held) < 1024
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
