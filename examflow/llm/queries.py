@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iblt, maxscore, minhash, packing, piece_bpe, sharding, substring_dedup, toxicity, url_filter, warc
+from . import (
+    iblt, maxscore, minhash, packing, piece_bpe, sharding, spelling, substring_dedup, toxicity, url_filter, warc)
 from .frames import read_table
 
 URL_RULES = [
@@ -72,9 +73,13 @@ def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       public_tokenizer("piece_bpe_32k.model"))
 
 
+def op11_trie_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_iblt_fingerprint, op2_url_filter, op3_minhash, op4_bin_slack_packing,
               op5_toxicity, op6_substring_dedup, op7_warc, op8_lpt_sharding, op9_maxscore,
-              op10_piece_bpe)
+              op10_piece_bpe, op11_trie_frontier)
 }
