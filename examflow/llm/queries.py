@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    iblt, maxscore, minhash, packing, piece_bpe, sharding, spelling, substring_dedup, toxicity, url_filter, warc, wavelet)
+    hard_negatives, iblt, maxscore, minhash, packing, piece_bpe, sharding, spelling, substring_dedup, toxicity,
+    url_filter, warc, wavelet)
 from .frames import read_table
 
 URL_RULES = [
@@ -81,9 +82,14 @@ def op12_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"))
 
 
+def op13_hilbert_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_iblt_fingerprint, op2_url_filter, op3_minhash, op4_bin_slack_packing,
               op5_toxicity, op6_substring_dedup, op7_warc, op8_lpt_sharding, op9_maxscore,
-              op10_piece_bpe, op11_trie_frontier, op12_wavelet)
+              op10_piece_bpe, op11_trie_frontier, op12_wavelet, op13_hilbert_negatives)
 }
