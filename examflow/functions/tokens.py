@@ -8,6 +8,8 @@ Python worker), never a row-at-a-time UDF.
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -28,6 +30,136 @@ def whitespace_len(c) -> Column:
     return F.size(words)
 
 
+# text -> (id, start, end) of its tokens; the places are code points
+Spans = list[tuple[int, int, int]]
+
+
+class PatternTokenizer:
+    """Tokens are the matches of a pattern; an id is the match's place in the text."""
+
+    def __init__(self, pattern: str):
+        self.pattern = re.compile(pattern)
+
+    def spans(self, text: str) -> Spans:
+        return [(k, *m.span()) for k, m in enumerate(self.pattern.finditer(text))]
+
+    def counts(self, texts: list[str]) -> list[int]:
+        return [sum(1 for _ in self.pattern.finditer(t)) for t in texts]
+
+
+class FileTokenizer:
+    """A ``tokenizers`` JSON file, without added special tokens. Loaded once a worker;
+    counts are kept for texts that come again (few-shot examples, topic lines)."""
+
+    KEPT = 10_000
+    _loaded: dict[str, tuple] = {}
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def _get(self):
+        if self.path not in self._loaded:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer  # optional dependency
+
+            self._loaded[self.path] = (Tokenizer.from_file(self.path), {})
+        return self._loaded[self.path]
+
+    def spans(self, text: str) -> Spans:
+        e = self._get()[0].encode(text, add_special_tokens=False)
+        return [(i, *o) for i, o in zip(e.ids, e.offsets, strict=True)]
+
+    def counts(self, texts: list[str]) -> list[int]:
+        tok, known = self._get()
+        new = list(set(texts) - known.keys())
+        if len(known) + len(new) > self.KEPT:
+            known.clear()
+        fresh = dict(zip(new, (len(e.ids) for e in tok.encode_batch(new, add_special_tokens=False)), strict=True))
+        out = [known[t] if t in known else fresh[t] if t in fresh else len(self.spans(t)) for t in texts]
+        if len(fresh) <= self.KEPT:
+            known.update(fresh)
+        return out
+
+
+def cut_left(context: str, continuation: str, max_length: int, tokenizer) -> tuple[str, int, int]:
+    """(text, tokens kept, tokens of the continuation): the last tokens of ``context``
+    that leave room for the continuation's within ``max_length``, as ``[-n:]`` takes them
+    (all if n is 0). The continuation's tokens are those of the whole after the
+    context's. A code point that is cut through is dropped."""
+    spans = tokenizer.spans(context)
+    own = max(len(tokenizer.spans(context + continuation)) - len(spans), 0)
+    n = max_length - own
+    first = max(len(spans) - n, 0) if n > 0 else 0 if n == 0 else min(-n, len(spans))
+    if first == 0:
+        return context, len(spans), own
+    if first == len(spans):
+        return "", 0, own
+    return context[max(spans[first][1], spans[first - 1][2]) :], len(spans) - first, own
+
+
+def _ready() -> None:
+    from pyspark.sql import SparkSession
+
+    from ..session import ship_package
+
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ship_package(active)
+
+
+def token_spans(tokenizer) -> Callable[[Column], Column]:
+    """Column of ``array<struct<id, start, end>>``, in Arrow batches."""
+    @F.pandas_udf("array<struct<id:int,start:int,end:int>>")
+    def _spans(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [
+            {"id": i, "start": a, "end": b} for i, a, b in tokenizer.spans(t)])
+
+    def apply(c) -> Column:
+        _ready()
+        return _spans(_c(c))
+
+    return apply
+
+
+def text_of_last(text: Column, spans: Column, n: Column | int) -> Column:
+    """The text of the last ``n`` tokens (``loglik.left_truncate``) of ``token_spans``."""
+    from ..operators.loglik import left_truncate
+
+    kept = left_truncate(spans, n)
+    dropped = F.get(spans, F.size(spans) - F.size(kept) - 1)["end"]
+    start = F.greatest(F.get(kept, 0)["start"], dropped)  # greatest skips null
+    return F.when(F.size(kept) == F.size(spans), text).when(F.size(kept) == 0, F.lit("")).otherwise(
+        F.substring(text, start + 1, F.char_length(text)))
+
+
+def cut_contexts(tokenizer, max_length: int) -> Callable[[Column, Column], Column]:
+    """Column ``struct<text, n_kept, n_conti>`` of contexts cut for their continuations."""
+    @F.pandas_udf("struct<text:string,n_kept:int,n_conti:int>")
+    def _cut(contexts: pd.Series, continuations: pd.Series) -> pd.DataFrame:
+        rows = [cut_left(c, x, max_length, tokenizer) for c, x in zip(contexts, continuations, strict=True)]
+        return pd.DataFrame(rows, columns=["text", "n_kept", "n_conti"])
+
+    def apply(context, continuation) -> Column:
+        _ready()
+        return _cut(_c(context), _c(continuation))
+
+    return apply
+
+
+def tokenizer_len(tokenizer) -> Callable[[Column], Column]:
+    """A counter backed by a tokenizer object, a batch at a time."""
+    @F.pandas_udf("int")
+    def _count(texts: pd.Series) -> pd.Series:
+        there = texts.dropna()
+        return pd.Series(tokenizer.counts(there.tolist()), index=there.index, dtype="Int32").reindex(texts.index)
+
+    def apply(c) -> Column:
+        _ready()
+        return _count(_c(c))
+
+    return apply
+
+
 def token_len_udf(make_encoder: Callable[[], Callable[[str], list]]) -> Callable[[Column], Column]:
     """A counter backed by a tokenizer: ``make_encoder()`` is called once per
     worker process and returns ``encode(text) -> list of ids``."""
@@ -41,13 +173,7 @@ def token_len_udf(make_encoder: Callable[[], Callable[[str], list]]) -> Callable
         return texts.map(lambda t: None if t is None else len(enc(t))).astype("Int32")
 
     def apply(c) -> Column:
-        from pyspark.sql import SparkSession
-
-        from ..session import ship_package
-
-        active = SparkSession.getActiveSession()
-        if active is not None:
-            ship_package(active)
+        _ready()
         return _count(_c(c))
 
     return apply
@@ -55,11 +181,4 @@ def token_len_udf(make_encoder: Callable[[], Callable[[str], list]]) -> Callable
 
 def tokenizer_file_len(path: str) -> Callable[[Column], Column]:
     """Counter for a ``tokenizers`` JSON file (no special tokens added)."""
-
-    def make():
-        from tokenizers import Tokenizer  # optional dependency
-
-        tok = Tokenizer.from_file(path)
-        return lambda t: tok.encode(t, add_special_tokens=False).ids
-
-    return token_len_udf(make)
+    return tokenizer_len(FileTokenizer(path))

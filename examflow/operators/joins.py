@@ -11,11 +11,9 @@ a salted shuffle.
 
 The salted shuffle is there for skew: a subset can hold a third of all rows,
 and a plain shuffle join on ``subset`` would send all of them to one task.
-Each row of the large side gets a deterministic salt in ``[0, n_salts)``
-(a hash of its own key, so a retried task reproduces it), and the small
-side is replicated once per salt. Salting only the hot keys would need a
-count over the large side first, i.e. one more full pass over it; replicating
-a side that already failed only a size bound costs far less than that pass.
+Past the bound, a sketch of the large side's keys tells which subsets are hot, and only
+these are salted, by weight (``skew.salted_join``); the small side's rows of all other
+subsets are sent once.
 """
 
 from __future__ import annotations
@@ -27,10 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import _context, parallelism
+from .skew import ROWS_PER_TASK, salted_join
 
 DEFAULT_MAX_ROWS = 100_000
 DEFAULT_MAX_BYTES = 64 * 1024 * 1024
-DEFAULT_SALTS = 64
 # small sides stay cached while recent; older ones are released (a plan that
 # still refers to one just recomputes it)
 _CACHED: deque[DataFrame] = deque()
@@ -80,9 +78,9 @@ def attach_small(
     on: list[str],
     how: str = "left",
     salt_by: Column | None = None,
-    n_salts: int = DEFAULT_SALTS,
     max_rows: int = DEFAULT_MAX_ROWS,
     max_bytes: int = DEFAULT_MAX_BYTES,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """``big JOIN small USING (on)`` with a size-checked broadcast.
 
@@ -97,7 +95,4 @@ def attach_small(
         return big.join(F.broadcast(side.df), on, how)
     if salt_by is None:
         return big.join(side.df, on, how)
-    salt = "__salt"
-    salted_big = big.withColumn(salt, F.pmod(F.xxhash64(salt_by), F.lit(n_salts)))
-    salted_small = side.df.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1))))
-    return salted_big.join(salted_small, on + [salt], how).drop(salt)
+    return salted_join(big, side.df, on, how, salt_by, rows_per_task)

@@ -197,3 +197,21 @@ def loglik_responses(logits_table: DataFrame) -> DataFrame:
     return choose_from_logits(logits_table).select(
         "subset", "id", F.col("prediction").alias("full_response")
     )
+
+
+def continuation_scores(logits: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``subset, id, n, loglik``: the summed log-probability of each sequence's last ``n``
+    tokens, with one row a position: ``logits(subset, id, pos, logits)`` and
+    ``tokens(subset, id, pos, token_id, n)``.
+
+    Position t predicts token t + 1, so the tables meet on the position shifted by one:
+    long sequences are spread over tasks by position, and only partial sums meet. A token
+    without a score vector before it raises.
+    """
+    keys = ["subset", "id"]
+    ends = tokens.groupBy(*keys).agg((F.max("pos") + 1).alias("length"))
+    scored = tokens.join(ends, keys).filter(F.col("pos") >= F.col("length") - F.col("n"))
+    aligned = scored.join(logits.select(*keys, (F.col("pos") + 1).alias("pos"), "logits"), [*keys, "pos"], "left")
+    missing = F.raise_error(F.lit("fewer logits than tokens to score")).cast("double")
+    lp = F.when(F.col("logits").isNull(), missing).otherwise(token_logprob("logits", "token_id"))
+    return aligned.select(*keys, "n", lp.alias("lp")).groupBy(*keys, "n").agg(F.sum("lp").alias("loglik"))

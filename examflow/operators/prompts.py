@@ -139,12 +139,9 @@ def build_prompts_budget(
     item = render_item(style, cot, with_answer=False)
     base = test.select("subset", "seq", "id", item.alias("item_prompt"), "answer", *keep)
     head = F.lit(topic_block(topic))
-    start = (
-        F.lit(max_length)
-        - token_len(head)
-        - token_len(F.col("item_prompt"))
-        - token_len(F.lit(template_text))
-    )
+    # what is the same for all items is counted once
+    fixed = test.sparkSession.range(1).select((token_len(head) + token_len(F.lit(template_text))).alias("n")).first()["n"]
+    start = F.lit(max_length - fixed) - token_len(F.col("item_prompt"))
     if k > 0:
         bank = shot_bank(dev, k, style, cot, token_len).select(
             "subset", F.col("shots").cast(shots_type()).alias("shots")

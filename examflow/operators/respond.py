@@ -3,7 +3,9 @@
 A responder is built once per task by ``factory(**options)`` (so clients and
 models live on the executors, never in the driver) and is either
 
-* a callable ``prompt -> text`` (one call per row, like a chat API), or
+* a callable ``prompt -> text`` (one call per row, like a chat API),
+* an object with ``attempt(prompt, number) -> text``, which is told the number of the
+  attempt (from 1), or
 * an object with ``batch(prompts: list[str]) -> list[str]`` (an engine that
   takes the whole batch at once).
 
@@ -79,14 +81,13 @@ def _call_with_retries(
     fn: Callable[[str], str], prompt: str, max_tries: int, call_timeout=None, backoff: float = 0.0
 ):
     last = None
-    start_row = getattr(fn, "start_row", None)
-    if start_row is not None:
-        start_row()
+    numbered = getattr(fn, "attempt", None)
     for attempt in range(1, max(max_tries, 1) + 1):
+        call = fn if numbered is None else (lambda p, n=attempt: numbered(p, n))
         try:
             if call_timeout is None:
-                return fn(prompt), None, attempt
-            return _timed(fn, prompt, call_timeout), None, attempt
+                return call(prompt), None, attempt
+            return _timed(call, prompt, call_timeout), None, attempt
         except PermissionError as e:  # a refused key is not retried
             return None, f"{type(e).__name__}: {e}", attempt
         except Exception as e:  # noqa: BLE001 - any other client error (or timeout) is retried
@@ -116,11 +117,15 @@ def respond(
     threads: int = 1,
     call_timeout: float | None = None,
     backoff: float = 0.0,
+    aside: tuple[str, ...] = (),
     **options,
 ) -> DataFrame:
     """``subset, id, full_response, error, attempts`` (+ ``carry`` columns,
     passed through untouched) for every input row.
 
+    With ``aside`` columns the responder gets ``{"input": prompt, column: value, ...}``
+    instead of the prompt alone.
+
     ``call_timeout`` (seconds) stops waiting for a call that hangs and counts
     it as a failed attempt, for clients without a timeout of their own
     (``options`` such as ``timeout`` go to the factory for clients that have one).
@@ -128,7 +133,7 @@ def respond(
     each further one. A ``PermissionError`` is final at once.
     """
     ship_package(df.sparkSession)
-    payload = df.select(*keys, F.col(input_col).alias("__input"), *carry)
+    payload = df.select(*keys, F.col(input_col).alias("__input"), *aside, *carry)
     out_schema = T.StructType(RESPONSE_SCHEMA.fields + [df.schema[c] for c in carry])
     if partitions:
         payload = payload.repartition(partitions, *keys)
@@ -139,6 +144,9 @@ def respond(
         batch_fn = getattr(responder, "batch", None)
         for pdf in batches:
             prompts = pdf["__input"].tolist()
+            if aside:
+                rows = pdf[list(aside)].to_dict("records")
+                prompts = [{"input": p, **row} for p, row in zip(prompts, rows, strict=True)]
             if batch_fn is not None:
                 texts, errors, tries = None, None, 0
                 for attempt in range(1, max(max_tries, 1) + 1):
@@ -236,6 +244,65 @@ def score_options(
     return payload.mapInPandas(run, LOGLIK_SCHEMA)
 
 
+def score_items(
+    items: DataFrame, factory: Callable[..., object], max_tries: int = 1, backoff: float = 0.0,
+    carry: tuple[str, ...] = (), aside: tuple[str, ...] = (), tokenizer=None, max_length: int | None = None, **options
+) -> DataFrame:
+    """``subset, id, full_response, error, attempts`` (+ ``carry``): the label ``X)`` of
+    the option with the highest score, for rows ``subset, id, context, n_options``.
+
+    An item is one row; its options (A, B, ...) are laid out inside the Arrow batch, so
+    the context is neither copied through a shuffle nor joined back. ``max_length`` cuts
+    each context with ``tokenizer`` so that it fits with its option. Ties go to the
+    earlier letter, NaN counts as the highest. An item without options has no response.
+    With ``aside`` columns the model gets them as a third list, a dict an option.
+    """
+    from ..functions.tokens import cut_left
+
+    ship_package(items.sparkSession)
+    payload = items.select("subset", "id", "context", "n_options", *aside, *carry)
+    out_schema = T.StructType(RESPONSE_SCHEMA.fields + [items.schema[c] for c in carry])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = factory(**options)
+        for pdf in batches:
+            owner, contexts, letters = [], [], []
+            for k, (context, n) in enumerate(zip(pdf["context"], pdf["n_options"], strict=True)):
+                for option in range(n):
+                    letter = chr(65 + option)
+                    owner.append(k)
+                    letters.append(letter)
+                    contexts.append(context if max_length is None else cut_left(context, letter, max_length, tokenizer)[0])
+            args = [contexts, letters]
+            if aside:
+                rows = pdf[list(aside)].to_dict("records")
+                args.append([rows[k] for k in owner])
+            for attempt in range(1, max(max_tries, 1) + 1):
+                try:
+                    scores = list(model.loglik(*args)) if owner else []
+                    break
+                except Exception:  # noqa: BLE001 - retried, then the task fails
+                    if attempt >= max_tries:
+                        raise
+                    _back_off(attempt, backoff)
+            if len(scores) != len(owner):
+                raise ValueError(f"model returned {len(scores)} scores for {len(owner)} requests")
+            best: dict[int, tuple] = {}
+            for k, letter, x in zip(owner, letters, scores, strict=True):
+                key = (x != x, x if x == x else 0.0)  # NaN first, then the number
+                if k not in best or key > best[k][0]:
+                    best[k] = (key, letter + ")")
+            out = pd.DataFrame({
+                "subset": pdf["subset"], "id": pdf["id"],
+                "full_response": [best[k][1] if k in best else None for k in range(len(pdf))],
+                "error": [None] * len(pdf), "attempts": pd.array([attempt] * len(pdf), dtype="int32")})
+            for c in carry:
+                out[c] = pdf[c]
+            yield out
+
+    return payload.mapInPandas(run, out_schema)
+
+
 def reconcile(expected: DataFrame, responses: DataFrame) -> DataFrame:
     """``subset, n_expected, n_answered, n_missing`` in one aggregation.
 
@@ -273,51 +340,3 @@ def prefix_commit(df: DataFrame, failed: str = "failed", order: str = "seq") ->
     joined = attach_small(df, first_fail, ["subset"], "left", salt_by=F.col("id"))
     keep = F.col("__first_fail").isNull() | (F.col(order) < F.col("__first_fail"))
     return joined.where(keep).drop("__first_fail")
-
-
-# --- deterministic responders for tests and examples -------------------------
-
-
-class LetterResponder:
-    """Answers ``X)`` with X = chr(65 + len(prompt) % n_letters)."""
-
-    def __init__(self, n_letters: int = 4, **_):
-        self.n_letters = n_letters
-
-    def __call__(self, prompt: str) -> str:
-        return chr(65 + len(prompt) % self.n_letters) + ")"
-
-
-class FlakyResponder(LetterResponder):
-    """Like ``LetterResponder`` but the first ``len(prompt) % 3`` calls for a row fail."""
-
-    def __init__(self, n_letters: int = 4, **_):
-        super().__init__(n_letters)
-        self.calls = 0
-
-    def start_row(self) -> None:
-        self.calls = 0
-
-    def __call__(self, prompt: str) -> str:
-        self.calls += 1
-        if self.calls <= len(prompt) % 3:
-            raise ConnectionError("transient failure")
-        return super().__call__(prompt)
-
-
-class ModLoglikModel:
-    """Deterministic stand-in for a language model's option scoring:
-    loglik = -((len(context) + ord(continuation)) % 5)."""
-
-    def __init__(self, **_):
-        pass
-
-    def loglik(self, contexts: list[str], continuations: list[str]) -> list[float]:
-        return [-float((len(c) + ord(x)) % 5) for c, x in zip(contexts, continuations)]
-
-
-class BatchLetterResponder(LetterResponder):
-    """Engine-style responder: one call for a whole batch."""
-
-    def batch(self, prompts: list[str]) -> list[str]:
-        return [self(p) for p in prompts]

@@ -24,23 +24,31 @@ from ..functions.templates import (
     take_present,
     with_prefill,
 )
+from ..functions.tokens import FileTokenizer, PatternTokenizer, cut_contexts, text_of_last, token_spans, tokenizer_len
 from ..functions.text import cut_at_question, find_choice, find_choice_pos, is_answer_format, is_awq
 from ..operators import loglik as LL
 from ..operators.prompts import build_prompts, build_prompts_budget
-from ..operators.respond import FlakyResponder, LetterResponder, prefix_commit, reconcile, respond
+from ..operators.replay import Replay, ReplayScores, attach_recorded, recorded_calls
+from ..operators.respond import prefix_commit, reconcile, respond
+from ..operators.rowindex import zip_outputs
 from ..operators.scoring import report, rescore, score
 from ..session import parallelism, scratch_path
 from ..sources import testdata as td
 from ..sources.items import catalog_of, load_items, unknown_subsets, write_items
-from ..sources.runlog import append_log, overwrite_log, pending, read_log, run_dir
-from ..streaming.score_stream import stream_report_once
+from ..sources.runlog import append_log, overwrite_log, pending, read_log, read_mixed_logs, run_dir, write_named_log
+from ..streaming.score_stream import deduped_report, stream_report_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # fixed parameters of the registered queries
 BUDGET_MAX_LENGTH = 4000
 TRUNCATE_MAX_LENGTH = 64
+STUB_MAX_TRIES = 4
 RETRY_MAX_TRIES = 2
+CONTEXT_LENGTH = 40  # words of a context and its option
+WORDS = " ?[^ ]+| "  # a word with the blank before it
+SEQUENCE = 8  # vectors that make one sequence of logits
+TOKEN_BUDGET = 1500
 SUBSET_SPEC = "en, fr"
 UNKNOWN_SPEC = "en, fr,xx,"
 OVERWRITE_SUBSETS = ["en", "es"]
@@ -207,12 +215,14 @@ def log_roundtrip(spark, sf):
 
 
 def overwrite_subset(spark, sf):
+    """A whole log, in which 'en' is replaced by other responses and 'es' by none."""
     items = _items(spark, sf)
     path = scratch_path(spark, "log")
-    append_log(td.log_rows_of(items), path, run_id="r1")
+    append_log(td.log_rows_of(items, whole=True), path, run_id="r1")
     fresh = (
         td.responses_of(items)
-        .where((F.col("subset") == "en") & (F.pmod("seq", 4) == 1))
+        .where(F.col("subset") == "en")
+        .withColumn("full_response", F.concat(F.lit("again\n\n"), "full_response"))
         .withColumn("prompt", F.lit(None).cast("string"))
     )
     overwrite_log(spark, fresh, path, OVERWRITE_SUBSETS, run_id="r2")
@@ -356,28 +366,90 @@ def left_truncate_q(spark, sf):
     )
 
 
+def evaluate_loglik_truncated(spark, sf):
+    """A probability run whose contexts, whole documents among them, are cut to the model
+    length; the scores depend on the cut context. The logged labels."""
+    from .evaluate import evaluate
+
+    sets = _recorded_scores(spark, sf)
+    path = scratch_path(spark, "run")
+    evaluate(spark, sets, ReplayScores, path, k=0, backend="hf", run_id="cut", aside=("scores",),
+             tokenizer=PatternTokenizer(WORDS), context_length=CONTEXT_LENGTH)
+    return read_log(spark, path).select("subset", "id", "full_response")
+
+
+def cut_contexts_q(spark, sf):
+    """Every request of the probability path with its context cut, once by the token
+    spans and once together with its continuation."""
+    requests = loglik_requests_q(spark, sf)
+    tokenizer = PatternTokenizer(WORDS)
+    both = requests.withColumn("cut", cut_contexts(tokenizer, CONTEXT_LENGTH)("context", "continuation"))
+    spans = both.withColumn("spans", token_spans(tokenizer)("context"))
+    return spans.select(
+        "subset", "id", "choice", F.col("cut.text").alias("kept_text"), F.col("cut.n_kept").alias("n_kept"),
+        F.col("cut.n_conti").alias("n_conti"),
+        text_of_last(F.col("context"), F.col("spans"), F.lit(CONTEXT_LENGTH) - F.col("cut.n_conti")).alias("text_by_spans"))
+
+
+def continuation_loglik(spark, sf):
+    """All vectors as sequences of logits; of each, the last one to three tokens scored."""
+    emb = td.read_table(spark, sf, "embeddings").select(
+        F.lit("embeddings").alias("subset"), F.expr(f"vec_id div {SEQUENCE}").alias("seq"),
+        F.pmod("vec_id", F.lit(SEQUENCE)).alias("pos"), "label", F.col("embedding").cast("array<double>").alias("logits"))
+    rows = emb.withColumn("id", F.col("seq").cast("string"))
+    length = rows.groupBy("id").agg(F.count(F.lit(1)).alias("length"))
+    n = F.least(1 + F.pmod("seq", F.lit(3)), F.col("length") - 1)
+    tokens = rows.join(length, "id").select("subset", "id", "pos", F.col("label").alias("token_id"), n.alias("n"))
+    return LL.continuation_scores(rows.select("subset", "id", "pos", "logits"), tokens).select(
+        "subset", "id", "n", F.round("loglik", 6).alias("loglik"))
+
+
+def zip_outputs_q(spark, sf):
+    """Documents by id, and their lengths by length, paired by place."""
+    docs = td.read_table(spark, sf, "documents").select("doc_id", F.length("text").cast("long").alias("n"))
+    outputs = docs.select(F.col("doc_id").alias("o"), "n")
+    return zip_outputs(docs.select("doc_id"), outputs, ("doc_id", "doc_id"), ("n", "o"), ["n"])
+
+
 # --- responder and end to end ---------------------------------------------------------
 
 
-def _suffix_prompts(spark, sf, items):
-    return build_prompts(td.test_items(items), None, 0, "suffix", False)
+def _with_recorded(spark, sf, recorded, on):
+    """The items with what is recorded for them: the item's number modulo the recordings'."""
+    sets = td.exam_item_sets(spark, sf)
+    last = recorded.agg(F.max(on)).first()[0] or 0
+    items = attach_recorded(sets.all, recorded, F.pmod("seq", F.lit(last + 1)), on, spread=F.col("id"))
+    return td.ExamItems(items, sets.dev)
+
+
+def recorded_call_items(spark, sf):
+    return _with_recorded(spark, sf, recorded_calls(td.read_table(spark, sf, "conversations")), "conv_id")
+
+
+def _recorded_scores(spark, sf):
+    emb = td.read_table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("scores"))
+    return _with_recorded(spark, sf, emb, "vec_id")
+
+
+def _suffix_prompts(items):
+    return build_prompts(td.test_items(items), None, 0, "suffix", False, keep=("calls",))
 
 
 def respond_stub(spark, sf):
-    items = _items(spark, sf)
-    todo = pending(_suffix_prompts(spark, sf, items), td.log_rows_of(items))
-    out = respond(todo, LetterResponder, partitions=parallelism(spark))
+    """The items that the log has not, answered by the conversations' recorded turns."""
+    items = recorded_call_items(spark, sf).all
+    todo = pending(_suffix_prompts(items), td.log_rows_of(items))
+    out = respond(todo, Replay, partitions=parallelism(spark), max_tries=STUB_MAX_TRIES, aside=("calls",))
     return out.select("subset", "id", "full_response")
 
 
 def respond_retry(spark, sf):
-    items = _items(spark, sf)
-    todo = _suffix_prompts(spark, sf, items)
     out = respond(
-        todo,
-        FlakyResponder,
+        _suffix_prompts(recorded_call_items(spark, sf).all),
+        Replay,
         max_tries=RETRY_MAX_TRIES,
         partitions=parallelism(spark),
+        aside=("calls",),
     )
     return out.select(
         "subset", "id", "full_response", F.col("error").isNotNull().alias("failed"), "attempts"
@@ -385,60 +457,105 @@ def respond_retry(spark, sf):
 
 
 def evaluate_resume(spark, sf):
-    """A whole resumed run: past log on disk, 5-shot prompts for the rest,
-    responder, append, then the report from the log as it now stands."""
+    """A whole resumed run: past log on disk, 5-shot prompts for the rest, recorded
+    answers, append, then the report from the log as it now stands."""
     from .evaluate import evaluate
 
-    sets = td.exam_item_sets(spark, sf)
+    sets = recorded_call_items(spark, sf)
     path = scratch_path(spark, "run")
     append_log(td.log_rows_of(sets.all), path, run_id="past")
     result = evaluate(
         spark,
         sets,
-        LetterResponder,
+        Replay,
         path,
         mode="direct",
         style="suffix",
         k=5,
         run_id="now",
+        aside=("calls",),
     )
     return result.report
 
 
+def resume_after_abort(spark, sf):
+    """A run that stops after half of its buckets, and the one that goes on from there:
+    the log, which the second run alone writes."""
+    from .evaluate import RunPaused, evaluate
+
+    sets = recorded_call_items(spark, sf)
+    path = scratch_path(spark, "run")
+    run = lambda **how: evaluate(spark, sets, Replay, path, k=0, run_id="once", aside=("calls",), commits=4, **how)
+    try:
+        run(most_commits=2)
+    except RunPaused:
+        run()
+    return read_log(spark, path).select("run_id", "subset", "id", "full_response", "gold_answer")
+
+
 def evaluate_budget_chat(spark, sf):
-    """A fresh run of a local-engine backend: chat template, prefill and a
-    few-shot token budget, every item answered, report per subset."""
+    """A fresh run of a local-engine backend: chat template, prefill and a few-shot token
+    budget, every item asked for; the log with the prompts."""
     from .evaluate import evaluate
 
-    sets = td.exam_item_sets(spark, sf)
-    result = evaluate(
+    sets = recorded_call_items(spark, sf)
+    path = scratch_path(spark, "run")
+    evaluate(
         spark,
         sets,
-        LetterResponder,
-        scratch_path(spark, "run"),
+        Replay,
+        path,
         mode="direct",
         k=5,
         backend="vllm",
         chat_template=True,
         max_length=BUDGET_MAX_LENGTH,
         run_id="budget",
+        aside=("calls",),
     )
-    return result.report
+    return read_log(spark, path).select("subset", "id", "prompt", "full_response", "gold_answer")
 
 
 def evaluate_loglik(spark, sf):
-    """A fresh probability-backend run: 5-shot prompts, every option present
-    scored by the model, arg-max labels logged and scored, report."""
-    from ..operators.respond import ModLoglikModel
+    """A fresh probability-backend run: 5-shot prompts, every option present scored from
+    recorded scores, arg-max labels logged and scored, report."""
     from .evaluate import evaluate
 
-    sets = td.exam_item_sets(spark, sf)
-    result = evaluate(
-        spark, sets, ModLoglikModel, scratch_path(spark, "run"), k=5, backend="hf", run_id="hf"
-    )
+    sets = _recorded_scores(spark, sf)
+    result = evaluate(spark, sets, ReplayScores, scratch_path(spark, "run"), k=5, backend="hf", run_id="hf",
+                      aside=("scores",))
     return result.report
 
 
+def legacy_log_rescore(spark, sf):
+    """One log in two layouts, 'en' in a file of its own beside the partitioned rest,
+    read as one and scored again."""
+    log = td.exam_log(spark, sf)
+    path = scratch_path(spark, "log")
+    append_log(log.where(F.col("subset") != "en"), path, run_id="r1")
+    write_named_log(log.where(F.col("subset") == "en"), path, "en")
+    rows, _torn = read_mixed_logs(spark, path)
+    return report(rescore(rows, None, "direct"))
+
+
+def prompt_budget_tokens(spark, sf):
+    """Few-shot examples cut to a budget in tokens of a public vocabulary."""
+    import public_tokenizers
+
+    count = tokenizer_len(FileTokenizer(str(public_tokenizers.path("byte_bpe_50k.json"))))
+    sets = td.exam_item_sets(spark, sf)
+    return build_prompts_budget(sets.test, sets.dev, 5, TOKEN_BUDGET, DIRECT_PREFILL, "bare", False, token_len=count).select(
+        "subset", "seq", "id", "prompt", "budget_left", "gold_answer")
+
+
+def stream_dedupe(spark, sf):
+    """Two runs in one folder, one of them logged twice: a stream that counts each item of
+    a run once."""
+    _, path = _two_runs(spark, sf)
+    append_log(td.responses_of(_items(spark, sf)).withColumn("prompt", F.lit(None).cast("string")), path, run_id="r1")
+    return deduped_report(spark, path, scratch_path(spark, "seen"), scratch_path(spark, "stream-ckpt"))
+
+
 def stream_report(spark, sf):
     path = scratch_path(spark, "stream-log")
     append_log(td.exam_log(spark, sf), path, run_id="r1")
@@ -498,6 +615,14 @@ QUERIES: dict[str, Query] = {
     "evaluate_budget_chat": evaluate_budget_chat,
     "evaluate_loglik": evaluate_loglik,
     "stream_report": stream_report,
+    "evaluate_loglik_truncated": evaluate_loglik_truncated,
+    "cut_contexts": cut_contexts_q,
+    "continuation_loglik": continuation_loglik,
+    "zip_outputs": zip_outputs_q,
+    "resume_after_abort": resume_after_abort,
+    "legacy_log_rescore": legacy_log_rescore,
+    "prompt_budget_tokens": prompt_budget_tokens,
+    "stream_dedupe": stream_dedupe,
 }
 
 __all__ = ["QUERIES"]

@@ -1,15 +1,17 @@
 """One evaluation run, end to end, as Spark jobs.
 
-  items ─ subsets ─ prompts (few-shot header by checked broadcast)
-        ─ anti-join the log (resume) ─ responder (Arrow batches)
-        ─ staged once in the shared folder ─ successes appended to the log
-        ─ log read back ─ scored ─ report per subset
-
-Subsets run as partitions of the same jobs, not as a loop. The responder's
-output is written exactly once (a staging table) before anything else reads
-it, so no second action can call the service again; the log is then the
-single source of truth for the report, which therefore counts past and new
-lines together.
+  items ─ subsets ─ anti-join the log and the answers of a run that broke off
+        ─ open items written once, in buckets
+  bucket ─ prompts (few-shot header by checked broadcast) ─ responder (Arrow batches)
+        ─ committed in the run's progress folder
+  all    ─ successes appended to the log ─ log read back ─ scored ─ report per subset
+
+Subsets run as partitions of the same jobs, not as a loop. The responder's output is
+written exactly once, bucket by bucket, before anything else reads it, so no second
+action can call the service again, and a lost driver costs the answers of one bucket
+(``sources.progress``). The log is the single source of truth for the report, which
+therefore counts past and new lines together. The items are scanned once: what was asked
+and what came back is counted on the written open items and responses.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.constants import (
     BACKEND_PREFILL,
@@ -32,14 +35,15 @@ from ..functions.constants import (
     TOPIC_LINE,
 )
 from ..functions.text import cut_at_stops
-from ..functions.templates import chat_wrap, flat_prefill, messages, template_text, with_prefill
+from ..functions.templates import (
+    chat_wrap, flat_prefill, messages, option_array, take_present, template_text, with_prefill)
 from ..operators.prompts import build_prompts, build_prompts_budget, check_k
-from ..operators.loglik import choose, loglik_requests
-from ..operators.respond import prefix_commit, reconcile, respond, score_options
+from ..operators.respond import RESPONSE_SCHEMA, prefix_commit, respond, score_items
 from ..operators.scoring import report_dict, report_for, rescore
 from ..session import parallelism, scratch_path
+from ..sources.progress import Progress
 from ..sources.items import catalog_of, requested_table, select_subsets, validate_subsets
-from ..sources.runlog import append_log, overwrite_log, pending, read_log
+from ..sources.runlog import append_log, overwrite_log, pending, read_log, read_mixed_logs
 from ..sources.testdata import ExamItems, dev_items, test_items
 
 
@@ -48,7 +52,7 @@ class EvalResult:
     report: DataFrame
     failures: DataFrame
     counts: DataFrame
-    staged_path: str
+    staged: DataFrame  # what this run asked for; kept until the next run of its name
 
     def as_dict(self) -> dict[str, float | None]:
         """``{subset: mean score}`` in key order (one row per subset)."""
@@ -94,26 +98,16 @@ def model_input(
     return lambda p: messages(p, prefill)
 
 
-def _loglik_responses(todo, factory, chat_template, partitions, **options):
-    """Probability path: score every option present, log the arg-max label."""
-    prefill = _prefill("hf", False)
-    ctx = todo
-    if chat_template:
-        ctx = todo.withColumn("prompt", _wrapped(F.col("prompt"), "", chat_template))
-    chosen = choose(score_options(loglik_requests(ctx, prefill), factory, partitions, **options))
-    # one row per item comes back; an item without options has no row and
-    # is logged with no prediction (the left join keeps it)
-    logged = todo.select("subset", "id", "seq", "prompt", "gold_answer")
-    return logged.join(chosen, ["subset", "id"], "left").select(
-        "subset",
-        "id",
-        F.col("prediction").alias("full_response"),
-        F.lit(None).cast("string").alias("error"),
-        F.lit(1).alias("attempts"),
-        "seq",
-        "prompt",
-        "gold_answer",
-    )
+class RunPaused(RuntimeError):
+    """The run has committed as many buckets as it was allowed to."""
+
+
+STAGED = T.StructType([
+    *RESPONSE_SCHEMA.fields,
+    T.StructField("seq", T.LongType()),
+    T.StructField("prompt", T.StringType()),
+    T.StructField("gold_answer", T.StringType()),
+])
 
 
 def evaluate(
@@ -143,6 +137,12 @@ def evaluate(
     target_rows_per_file: int = 200_000,
     isolate_runs: bool = False,
     reader: Callable[[Column], Column] | None = None,
+    commits: int = 2,
+    aside: tuple[str, ...] = (),
+    tokenizer=None,
+    context_length: int | None = None,
+    mixed_log: bool = False,
+    most_commits: int | None = None,
     **options,
 ) -> EvalResult:
     """Run (or resume) an evaluation and report accuracy per subset.
@@ -163,7 +163,13 @@ def evaluate(
     keys resume and report on ``run_id`` as well, so runs with different
     settings can share one log folder without mixing. ``reader`` (response column to
     letter column) replaces the mode's own reader in the report; ``mode`` still
-    shapes the prompts.
+    shapes the prompts. ``commits`` is the number of buckets whose answers are committed
+    one after another. ``aside`` columns of the items go to the responder beside the
+    prompt. ``context_length`` (probability backend) cuts contexts from the left so that
+    they fit with their option, in tokens of ``tokenizer`` (``functions.tokens``).
+    ``mixed_log`` resumes from and reports on ``<subset>_out.jsonl`` files in the log
+    folder as well, whose torn last lines are answered again. ``most_commits`` ends a
+    run after so many buckets with ``RunPaused``; the next run goes on from there.
     """
     if isolate_runs and run_id is None:
         raise ValueError("isolate_runs needs a run_id")
@@ -192,68 +198,96 @@ def evaluate(
     dev = select_subsets(dev_all, names)
 
     def this_log():
-        log = read_log(spark, log_path, names, log_format)
+        if mixed_log:
+            log, _ = read_mixed_logs(spark, log_path, names)
+        else:
+            log = read_log(spark, log_path, names, log_format)
         return log.where(F.col("run_id") == run_id) if isolate_runs else log
 
-    # items answered before are dropped, and the rest are dealt to the responder's
-    # tasks, while they are bare items: prompts are rendered after the last shuffle
-    open_items = test if overwrite else pending(test, this_log())
+    if context_length is not None and (backend != "hf" or tokenizer is None):
+        raise ValueError("context_length needs the probability backend and a tokenizer")
     if partitions is None:
         # calls are the slow part: spread them over every core by item key
         partitions = parallelism(spark)
-    test = open_items.repartition(partitions, "subset", "id")
     if backend == "vllm" and stop is None:
         stop = [QUESTION_TAG]
 
-    keep = tuple(OPTION_LETTERS) if backend == "hf" else ()
-    if max_length is None:
-        todo = build_prompts(test, dev, k, style, cot, topic, keep=keep)
-    else:
-        prefill = _prefill(backend, cot)
+    # items answered before, in the log or by a run that broke off, are dropped while
+    # they are bare items; prompts are rendered after the last shuffle
+    progress = Progress(spark, log_path, run_id, STAGED)
+    answered = progress.answered(None if overwrite else this_log())
+    open_items = test if overwrite else pending(test, this_log())
+    if answered is not None:
+        answered = select_subsets(answered, names)
+        open_items = pending(open_items, answered)
+    bucket = F.pmod(F.xxhash64("subset", "id"), F.lit(commits)).cast("int")
+    work_path = scratch_path(spark, "open-items")
+    open_items.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(work_path)
+    work_schema = T.StructType([*open_items.schema.fields, T.StructField("bucket", T.IntegerType())])
+    work = spark.read.schema(work_schema).parquet(work_path)
+    # a row a subset and bucket
+    asked = work.groupBy("subset", "bucket").count().collect()
+
+    options_kept = tuple(OPTION_LETTERS) if backend == "hf" else ()
+    keep = (*options_kept, *aside)
+    prefill = _prefill(backend, cot)
+
+    def prompts_of(items):
+        if max_length is None:
+            return build_prompts(items, dev, k, style, cot, topic, keep=keep)
         if callable(chat_template):  # charged as it wraps an empty prompt
             wrapper = spark.range(1).select(chat_template(F.lit(""))).first()[0] + prefill
         elif isinstance(chat_template, tuple):
             wrapper = template_text(prefill, True, chat_template)
         else:
             wrapper = template_text(prefill, chat_template)
-        todo = build_prompts_budget(
-            test, dev, k, max_length, wrapper, style, cot, topic, token_len, keep=keep
+        return build_prompts_budget(
+            items, dev, k, max_length, wrapper, style, cot, topic, token_len, keep=keep
         ).drop("budget_left")
 
-    if backend == "hf":
-        # probability path: every option present is scored by the model and
-        # the arg-max label "X)" becomes the logged response
-        responses = _loglik_responses(todo, factory, chat_template, partitions,
-                                      max_tries=max_tries, backoff=backoff, **options)
-    else:
-        todo = todo.withColumn("model_input", to_input(F.col("prompt")))
-        responses = respond(
-            todo,
+    def responses_of(items):
+        todo = prompts_of(items.repartition(partitions, "subset", "id"))
+        carry = ("seq", "prompt", "gold_answer")
+        if backend == "hf":
+            # probability path: every option present is scored by the model and
+            # the arg-max label "X)" becomes the logged response
+            rows = todo.withColumn("context", _wrapped(F.col("prompt"), prefill, chat_template)).withColumn(
+                "n_options", F.size(take_present(option_array())))
+            return score_items(rows, factory, max_tries=max_tries, backoff=backoff, carry=carry, aside=aside,
+                               tokenizer=tokenizer, max_length=context_length, **options)
+        rows = respond(
+            todo.withColumn("model_input", to_input(F.col("prompt"))),
             factory,
             input_col="model_input",
             max_tries=max_tries,
-            carry=("seq", "prompt", "gold_answer"),
+            carry=carry,
             threads=threads,
             call_timeout=call_timeout,
             backoff=backoff,
+            aside=aside,
             **options,
         )
-        if stop:
-            responses = responses.withColumn(
-                "full_response", cut_at_stops(F.col("full_response"), stop)
-            )
-    staged_path = scratch_path(spark, "responses")
-    responses.write.mode("overwrite").parquet(staged_path)
-    staged = spark.read.parquet(staged_path)
+        return rows.withColumn("full_response", cut_at_stops(F.col("full_response"), stop)) if stop else rows
+
+    for done, number in enumerate(sorted({r["bucket"] for r in asked})):
+        if most_commits is not None and done >= most_commits:
+            raise RunPaused(f"{done} buckets are answered; the next run goes on from there")
+        progress.commit(responses_of(work.where(F.col("bucket") == number).drop("bucket")), number)
+    fresh = progress.rows()
 
     # every open item must have come back, answered or failed; the log is unchanged yet
-    back = staged.withColumn("error", F.lit(None).cast("string"))
-    counts = reconcile(open_items.select("subset"), staged)
-    gaps = reconcile(open_items.select("subset"), back).where("n_missing <> 0")
-    short = sorted(r["subset"] for r in gaps.select("subset").collect())
+    expected: dict[str, int] = {}
+    for r in asked:
+        expected[r["subset"]] = expected.get(r["subset"], 0) + r["count"]
+    back = {r["subset"]: r for r in fresh.groupBy("subset").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("error").isNull()).alias("answers")).collect()}
+    short = sorted(s for s, n in expected.items() if s not in back or back[s]["rows"] != n)
     if short:
         raise RuntimeError(f"not every item came back in subsets {short}")
-    counts = spark.createDataFrame(counts.collect(), counts.schema)  # one row a subset
+    counts = spark.createDataFrame(
+        [(s, n, back[s]["answers"], n - back[s]["answers"]) for s, n in expected.items()],
+        "subset string, n_expected long, n_answered long, n_missing long")
+    staged = fresh if answered is None else fresh.unionByName(answered)
 
     if names is None:
         # ALL: every subset with test items is in the staged rows or already
@@ -274,12 +308,13 @@ def evaluate(
     else:
         append_log(ok, log_path, run_id, log_format, target_rows_per_file)
 
+    failed = [s for s, r in back.items() if r["answers"] < r["rows"]]
+    # answers behind a failure stay in the progress folder of a strict run
+    if not (strict and failed and not overwrite):
+        progress.finish()
     if strict:
-        failed = [r["subset"] for r in staged.where(F.col("error").isNotNull())
-                  .select("subset").distinct().collect()]
         if failed:
             raise RuntimeError(f"calls failed in subsets {sorted(failed)}; only earlier items were logged")
 
     result = report_for(rescore(this_log(), None, reader or mode), requested)
-    failures = staged.where(F.col("error").isNotNull())
-    return EvalResult(result, failures, counts, staged_path)
+    return EvalResult(result, fresh.where(F.col("error").isNotNull()), counts, fresh)

@@ -226,6 +226,44 @@ ll_ AS (
 )"""
 
 
+# the turns of a conversation are the calls recorded for it; an item takes the conversation
+# of its number, and its answer is the first call that has one
+CALLS_CTE = """,
+calls_ AS (
+  SELECT conv_id, list(CASE WHEN role = 'assistant' THEN text END ORDER BY turn) AS calls FROM conversations GROUP BY conv_id
+),
+recorded_ AS (
+  SELECT i.*, c.calls,
+         list_position(list_transform(c.calls, lambda x_: x_ IS NOT NULL), true) AS first_,
+         c.calls[list_position(list_transform(c.calls, lambda x_: x_ IS NOT NULL), true)] AS text
+  FROM exam_items i LEFT JOIN calls_ c ON c.conv_id = i.seq % (SELECT max(conv_id) + 1 FROM conversations)
+  WHERE split = 'test'
+)"""
+
+
+def _call(column: str, tries: int) -> str:
+    return f"(CASE WHEN first_ <= {tries} THEN {column} END)"
+
+
+def _best_option(contexts: str, context: str) -> str:
+    """CTEs after ``contexts`` (subset, id, gold_answer, context): the label of the best
+    option by the scores recorded for the item."""
+    return f""",
+opts_ AS (
+  SELECT p.subset, p.id, p.gold_answer, chr(CAST(64 + o.pos_ AS INTEGER)) AS choice,
+         e.embedding[(o.pos_ - 1 + length(p.{context})) % len(e.embedding) + 1] AS ll
+  FROM {contexts} p JOIN (
+    SELECT subset, id, seq, unnest(generate_series(1, len({present()}))) AS pos_
+    FROM exam_items WHERE split = 'test') o USING (subset, id)
+  JOIN embeddings e ON e.vec_id = o.seq % (SELECT max(vec_id) + 1 FROM embeddings)
+),
+best_ AS (
+  SELECT p.subset, p.id, p.gold_answer, o.choice || ')' AS full_response FROM {contexts} p LEFT JOIN (
+    SELECT *, row_number() OVER (PARTITION BY subset, id ORDER BY ll DESC, choice) AS r_ FROM opts_) o
+  ON o.subset = p.subset AND o.id = p.id AND o.r_ = 1
+)"""
+
+
 def _with(cte: str, body: str) -> str:
     return f"WITH {cte.strip()}\n{body}"
 
@@ -420,10 +458,10 @@ def _build() -> dict[str, str]:
     )
     q["overwrite_subset"] = _with(
         LOG_CTE,
-        "SELECT subset, id, full_response, gold_answer FROM exam_log "
+        "SELECT subset, id, full_response, gold_answer FROM whole_log "
         f"WHERE subset NOT IN ({', '.join(repr(s) for s in C.OVERWRITE_SUBSETS)}) "
-        "UNION ALL SELECT subset, id, full_response, gold_answer FROM exam_responses "
-        "WHERE subset = 'en' AND seq % 4 = 1",
+        f"UNION ALL SELECT subset, id, {lit('again' + chr(10) * 2)} || full_response AS full_response, gold_answer "
+        "FROM exam_responses WHERE subset = 'en'",
     )
     q["items_scan_dev"] = _with(
         ITEMS_CTE, "SELECT subset, seq, id, answer FROM exam_items WHERE split = 'dev'"
@@ -481,37 +519,31 @@ def _build() -> dict[str, str]:
         f"SELECT subset, id, list_slice(c_, greatest(len(c_) - {n}, 0) + 1, len(c_)) AS k_ "
         f"FROM (SELECT subset, id, {ctx} AS c_ FROM exam_items WHERE split = 'test'))",
     )
-    suffix_prompt = f"{TOPIC} || {render_item('suffix', False, False)}"
     q["respond_stub"] = _with(
-        LOG_CTE,
-        "SELECT subset, id, chr(CAST(65 + length(p_) % 4 AS INTEGER)) || ')' AS full_response FROM ("
-        f"SELECT subset, id, {suffix_prompt} AS p_ FROM exam_items WHERE split = 'test' "
-        "AND (subset, id) NOT IN (SELECT subset, id FROM exam_log))",
+        LOG_CTE + CALLS_CTE,
+        f"SELECT subset, id, {_call('text', C.STUB_MAX_TRIES)} AS full_response FROM recorded_ "
+        "WHERE (subset, id) NOT IN (SELECT subset, id FROM exam_log)",
     )
     tries = C.RETRY_MAX_TRIES
     q["respond_retry"] = _with(
-        ITEMS_CTE,
-        "SELECT subset, id, CASE WHEN f_ < "
-        f"{tries} THEN chr(CAST(65 + length(p_) % 4 AS INTEGER)) || ')' END AS full_response, "
-        f"(f_ >= {tries}) AS failed, CAST(least(f_ + 1, {tries}) AS INTEGER) AS attempts FROM ("
-        f"SELECT subset, id, {suffix_prompt} AS p_, length({suffix_prompt}) % 3 AS f_ "
-        "FROM exam_items WHERE split = 'test')",
+        ITEMS_CTE + CALLS_CTE,
+        f"SELECT subset, id, {_call('text', tries)} AS full_response, {_call('text', tries)} IS NULL AS failed, "
+        f"CAST(coalesce(least(first_, {tries}), {tries}) AS INTEGER) AS attempts FROM recorded_",
     )
     q["evaluate_resume"] = _with(
-        LOG_CTE
-        + _header_ctes(5, "suffix", False)
-        + f""",
-prompts_ AS ({_prompt_select(5, "suffix", False)}),
-new_ AS (
-  SELECT subset, chr(CAST(65 + length(prompt) % 4 AS INTEGER)) || ')' AS full_response, gold_answer
-  FROM prompts_ p WHERE NOT EXISTS (SELECT 1 FROM exam_log g WHERE g.subset = p.subset AND g.id = p.id)
-)""",
+        LOG_CTE + CALLS_CTE,
         _report_sql(
             "(SELECT subset, full_response, gold_answer FROM exam_log UNION ALL "
-            "SELECT subset, full_response, gold_answer FROM new_)",
+            "SELECT subset, text AS full_response, answer AS gold_answer FROM recorded_ "
+            "WHERE text IS NOT NULL AND (subset, id) NOT IN (SELECT subset, id FROM exam_log))",
             "direct",
         ),
     )
+    q["resume_after_abort"] = _with(
+        ITEMS_CTE + CALLS_CTE,
+        "SELECT 'once' AS run_id, subset, id, text AS full_response, answer AS gold_answer "
+        "FROM recorded_ WHERE text IS NOT NULL",
+    )
     q["loglik_requests"] = _with(
         ITEMS_CTE,
         f"SELECT subset, id, chr(CAST(64 + pos_ AS INTEGER)) AS choice, "
@@ -534,35 +566,63 @@ new_ AS (
     wrapper = before + after + C.DIRECT_PREFILL
     ctes, body = _budget_parts(5, C.BUDGET_MAX_LENGTH, wrapper)
     q["evaluate_budget_chat"] = _with(
-        ITEMS_CTE + ctes + f""",
-prompts_ AS ({body}),
-new_ AS (
-  SELECT subset, gold_answer,
-         chr(CAST(65 + length({lit(before)} || prompt || {lit(after + C.DIRECT_PREFILL)}) % 4 AS INTEGER))
-           || ')' AS full_response
-  FROM prompts_
-)""",
-        _report_sql("new_", "direct"),
+        ITEMS_CTE + CALLS_CTE + ctes + f", prompts_ AS ({body})",
+        "SELECT p.subset, p.id, p.prompt, split_part(r.text, " + lit(QUESTION_TAG) + ", 1) AS full_response, "
+        "p.gold_answer FROM prompts_ p JOIN recorded_ r ON r.subset = p.subset AND r.id = p.id "
+        "WHERE r.text IS NOT NULL",
     )
     q["evaluate_loglik"] = _with(
         ITEMS_CTE
         + _header_ctes(5, "bare", False)
         + f""",
 prompts_ AS ({_prompt_select(5, "bare", False)}),
-opts_ AS (
-  SELECT p.subset, p.id, p.gold_answer, chr(CAST(64 + o.pos_ AS INTEGER)) AS choice,
-         -((length(p.prompt || {lit(C.DIRECT_PREFILL)}) + 64 + o.pos_) % 5) AS ll
-  FROM prompts_ p JOIN (
-    SELECT subset, id, unnest(generate_series(1, len({present()}))) AS pos_
-    FROM exam_items WHERE split = 'test') o USING (subset, id)
-),
-best_ AS (
-  SELECT p.subset, p.gold_answer, o.choice || ')' AS full_response FROM prompts_ p LEFT JOIN (
-    SELECT *, row_number() OVER (PARTITION BY subset, id ORDER BY ll DESC, choice) AS r_ FROM opts_) o
-  ON o.subset = p.subset AND o.id = p.id AND o.r_ = 1
-)""",
+contexts_ AS (SELECT *, prompt || {lit(C.DIRECT_PREFILL)} AS context FROM prompts_){_best_option("contexts_", "context")}""",
         _report_sql("best_", "direct"),
     )
+    words = f"regexp_extract_all(context, {lit(C.WORDS)})"
+    cut = f"array_to_string(list_slice({{w}}, greatest(len({{w}}) - {C.CONTEXT_LENGTH} + n_conti, 0) + 1, len({{w}})), '')"
+    n_conti = f"len(regexp_extract_all(context || {{x}}, {lit(C.WORDS)})) - len({words})"
+    # a letter behind a blank is a token of its own, behind anything else a part of the last
+    q["evaluate_loglik_truncated"] = _with(
+        ITEMS_CTE
+        + f""",
+whole_ AS (
+  SELECT subset, id, answer AS gold_answer, {_k0_bare(False)} || {lit(C.DIRECT_PREFILL)} AS context
+  FROM exam_items WHERE split = 'test'),
+contexts_ AS (
+  SELECT subset, id, gold_answer, {cut.format(w="w_")} AS cut_
+  FROM (SELECT *, {words} AS w_, {n_conti.format(x="'A'")} AS n_conti FROM whole_)){_best_option("contexts_", "cut_")}""",
+        "SELECT subset, id, full_response FROM best_",
+    )
+    q["cut_contexts"] = _with(
+        ITEMS_CTE,
+        f"SELECT subset, id, choice, {cut.format(w='w_')} AS kept_text, "
+        f"CAST(least(len(w_), {C.CONTEXT_LENGTH} - n_conti) AS INTEGER) AS n_kept, CAST(n_conti AS INTEGER) AS n_conti, "
+        f"{cut.format(w='w_')} AS text_by_spans FROM (SELECT *, {words} AS w_, {n_conti.format(x='choice')} AS n_conti "
+        f"FROM ({q['loglik_requests'][len('WITH ' + ITEMS_CTE.strip()):]}))",
+    )
+    q["continuation_loglik"] = f"""
+WITH rows_ AS (
+  SELECT vec_id // {C.SEQUENCE} AS s_, vec_id % {C.SEQUENCE} AS pos, label, CAST(embedding AS DOUBLE[]) AS logits FROM embeddings),
+long_ AS (SELECT *, least(1 + s_ % 3, count(*) OVER (PARTITION BY s_) - 1) AS n, count(*) OVER (PARTITION BY s_) AS len_ FROM rows_),
+aligned_ AS (
+  SELECT t.s_, t.n, l.logits[t.label + 1] - list_max(l.logits) - ln(list_reduce(list_transform(
+    l.logits, lambda x_: exp(x_ - list_max(l.logits))), lambda a_, b_: a_ + b_)) AS lp
+  FROM long_ t JOIN rows_ l ON l.s_ = t.s_ AND l.pos = t.pos - 1 WHERE t.pos >= t.len_ - t.n)
+SELECT 'embeddings' AS subset, CAST(s_ AS VARCHAR) AS id, n, round(sum(lp), 6) AS loglik FROM aligned_ GROUP BY s_, n
+"""
+    q["zip_outputs"] = """
+SELECT d.doc_id, o.n FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents) d
+JOIN (SELECT length(text) AS n, row_number() OVER (ORDER BY length(text), doc_id) AS r FROM documents) o USING (r)
+"""
+    q["legacy_log_rescore"] = _with(
+        LOG_CTE,
+        _report_sql("(SELECT subset, full_response, gold_answer FROM whole_log)", "direct"),
+    )
+    one = _report_sql("(SELECT subset, full_response, gold_answer FROM exam_responses)", "direct")
+    q["stream_dedupe"] = _with(
+        RESPONSES_CTE, f"SELECT run_id, r_.* FROM (VALUES ('r1'), ('r2')) v_(run_id), ({one}) r_"
+    )
     q["stream_report"] = _with(
         LOG_CTE,
         _report_sql("(SELECT subset, full_response, gold_answer FROM whole_log)", "direct"),

@@ -9,7 +9,8 @@ publishes only the output of committed task attempts.
 
 from __future__ import annotations
 
-from urllib.parse import unquote
+import uuid
+from urllib.parse import quote, unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -172,6 +173,69 @@ def read_named_logs(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(*LOG_FIELDS, F.lit(None).cast("string").alias("run_id"), subset.alias("subset"))
 
 
+def write_named_log(df: DataFrame, path: str, subset: str) -> None:
+    """The lines of one subset as the file ``<subset>_out.jsonl`` in ``path``, for readers
+    of that layout. It is one file, so one task writes it."""
+    scratch = f"{path.rstrip('/')}/_named-{uuid.uuid4().hex[:8]}"
+    df.select(*LOG_FIELDS).coalesce(1).write.option("ignoreNullFields", "false").json(scratch)
+    fs, Path = _fs(df.sparkSession, path)
+    part = fs.globStatus(Path(f"{scratch}/part-*"))[0].getPath()
+    target = Path(f"{path.rstrip('/')}/{quote(subset, safe='')}_out.jsonl")
+    if fs.exists(target):
+        fs.delete(target, False)
+    fs.rename(part, target)
+    fs.delete(Path(scratch), True)
+
+
+def read_mixed_logs(spark: SparkSession, path: str, subsets: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(log, torn): one log from both layouts under ``path``, the partitioned one and
+    ``<subset>_out.jsonl`` files beside it, told apart by where a line's file lies.
+
+    A writer that died leaves the start of a line at the end of its file. Such a line,
+    the only one of its file that is no JSON, goes to ``torn(file, line)`` and its item is
+    answered again; any other line that is no JSON fails the read.
+    """
+    fs, Path = _fs(spark, path)
+    root = path.rstrip("/")
+    parts = []
+    fields = [f for f in LOG_SCHEMA.fields if f.name not in ("subset", "run_id")]
+    bad = T.StructField("_bad", T.StringType())
+    layouts = [
+        (f"{root}/subset=*", False),
+        (f"{root}/*_out.jsonl", True),
+    ]
+    schema = T.StructType([*fields, bad])
+    for where, flat in layouts:
+        if not fs.globStatus(Path(where)):
+            continue
+        # lines as text: a query on the unreadable lines alone is not allowed on JSON files
+        lines = (spark.read if flat else spark.read.option("basePath", root)).schema(
+            "value string" if flat else "value string, run_id string, subset string").text(where)
+        row = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+        rows = lines.where(F.trim("value") != "").select(
+            row.alias("r"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("_name"),
+            *([] if flat else ["run_id", "subset"])).select("r.*", "_file", "_name", *([] if flat else ["run_id", "subset"]))
+        if flat:
+            name = F.regexp_replace("_name", r"_out\.jsonl$", "")
+            rows = rows.withColumn("subset", F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))))
+            rows = rows.withColumn("run_id", F.lit(None).cast("string"))
+        parts.append(rows.select(*[f.name for f in LOG_SCHEMA], "_file", "_bad"))
+    if not parts:
+        return empty_log(spark), spark.createDataFrame([], "file string, line string")
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    if subsets is not None:
+        rows = rows.where(F.col("subset").isin(subsets))
+    # lines that are no JSON, a handful; counted by file
+    broken = rows.where(F.col("_bad").isNotNull()).groupBy("_file").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_bad").alias("line"))
+    start = F.col("line").startswith("{") & ~F.col("line").endswith("}")
+    torn = broken.select(
+        F.when((F.col("n") == 1) & start, F.col("_file")).otherwise(
+            F.raise_error(F.concat(F.lit("a line is no JSON in "), "_file"))).alias("file"), "line")
+    torn.write.format("noop").mode("overwrite").save()
+    return rows.where(F.col("_bad").isNull()).drop("_bad", "_file"), torn
+
+
 def logged_ids(log: DataFrame) -> DataFrame:
     """The distinct ``(subset, id)`` pairs already answered."""
     return log.select("subset", "id").distinct()

@@ -11,14 +11,19 @@ folder, so a restarted query resumes exactly where it stopped.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.scoring import score
+from ..operators.scoring import report, score
 from ..session import parallelism
 from ..sources.runlog import LOG_SCHEMA
 
 
+HORIZON = "1 hour"
+KEYS = ["subset", "run_id", "id"]
+
+
 def scored_stream(
     spark: SparkSession,
     log_path: str,
@@ -26,6 +31,7 @@ def scored_stream(
     dedupe: bool = False,
     max_files_per_trigger: int | None = None,
     fmt: str = "json",
+    horizon: str = HORIZON,
 ) -> DataFrame:
     reader = spark.readStream.schema(LOG_SCHEMA)
     if max_files_per_trigger:
@@ -35,9 +41,11 @@ def scored_stream(
     else:
         rows = reader.format(fmt).load(log_path)
     if dedupe:
-        # keeps the first line seen per item; unlike the batch report,
-        # where a repeated line counts again
-        rows = rows.dropDuplicates(["subset", "id"])
+        # the first line seen of an item and run; unlike the batch report, where a
+        # repeated line counts again. A key leaves the state once files are newer than its
+        # file by the horizon, so the state holds the lines of that time alone
+        rows = rows.withColumn("_landed", F.col("_metadata.file_modification_time")).withWatermark(
+            "_landed", horizon).dropDuplicatesWithinWatermark(KEYS)
     return score(rows, mode)
 
 
@@ -49,6 +57,44 @@ def running_report(scored: DataFrame) -> DataFrame:
     )
 
 
+def first_lines(spark: SparkSession, seen_path: str):
+    """``foreachBatch`` function that adds a batch's scored lines to the Parquet table at
+    ``seen_path`` but for those it holds: repeats that come after the stream's state has
+    let go of their key are found by this anti-join. A batch that is run again replaces
+    what it wrote before."""
+    def add(batch: DataFrame, epoch: int) -> None:
+        folder = f"{seen_path.rstrip('/')}/epoch={epoch}"
+        try:
+            seen = batch.sparkSession.read.parquet(seen_path).where(F.col("epoch") != epoch).select(*KEYS)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            seen = None
+        # null ids and runs are keys like others
+        key = F.to_json(F.struct(*KEYS), {"ignoreNullFields": "false"})
+        fresh = batch.select(*KEYS, "prediction", "correct").withColumn("_key", key)
+        if seen is not None:
+            fresh = fresh.join(seen.select(key.alias("_key")), "_key", "left_anti")
+        fresh.drop("_key").write.mode("overwrite").parquet(folder)
+
+    return add
+
+
+def deduped_report(
+    spark: SparkSession, log_path: str, seen_path: str, checkpoint: str, mode: str | bool = "direct",
+    horizon: str = HORIZON, max_files_per_trigger: int | None = None, fmt: str = "json",
+) -> DataFrame:
+    """``run_id, subset, n, n_correct, avg_score`` of the first line of each item and run,
+    after all files present now."""
+    scored = scored_stream(spark, log_path, mode, True, max_files_per_trigger, fmt, horizon)
+    query = (scored.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+             .foreachBatch(first_lines(spark, seen_path)).trigger(availableNow=True).start())
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    return report(spark.read.parquet(seen_path), by=("run_id", "subset"))
+
+
 def score_stream(
     spark: SparkSession,
     log_path: str,

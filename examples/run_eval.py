@@ -2,8 +2,8 @@
 
     python examples/run_eval.py [sf_dir] [--cot] [--k N] [--subsets a,b]
 
-Items come from the test tables (exam views of `documents`); the responder is
-the deterministic stub, standing in for a model client. Run it twice with the
+Items come from the test tables (exam views of `documents`); the responder replays
+the recorded turns of `conversations` in place of a model client. Run it twice with the
 same log folder to see resume: the second run calls nothing and reports from
 the log.
 """
@@ -17,10 +17,10 @@ from pprint import pprint
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from examflow.operators.respond import LetterResponder  # noqa: E402
+from examflow.operators.replay import Replay  # noqa: E402
+from examflow.plans.catalog import recorded_call_items  # noqa: E402
 from examflow.plans.evaluate import evaluate  # noqa: E402
 from examflow.session import get_session, scratch_path  # noqa: E402
-from examflow.sources import testdata as td  # noqa: E402
 
 
 def main() -> None:
@@ -34,16 +34,17 @@ def main() -> None:
 
     spark = get_session()
     log = args.log or scratch_path(spark, "example-log")
-    items = td.exam_item_sets(spark, args.sf_dir)
+    items = recorded_call_items(spark, args.sf_dir)
     run = evaluate(
         spark,
         items,
-        LetterResponder,
+        Replay,
         log,
         mode="cot" if args.cot else "direct",
         k=args.k,
         subsets=args.subsets,
         backend="vllm",
+        aside=("calls",),
     )
     print("log:", log)
     pprint(run.as_dict())

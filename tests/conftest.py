@@ -5,6 +5,13 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+import stand_ins  # noqa: E402
+from pyspark import cloudpickle  # noqa: E402
+
+# the workers get the stand-ins with the tasks
+cloudpickle.register_pickle_by_value(stand_ins)
 
 SF_SMALL = "/root/testdata/sf0.001"
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from examflow.functions.tokens import char_len, token_len_udf, whitespace_len
 from examflow.operators import loglik as LL
-from examflow.operators.respond import LetterResponder, _in_request_order
+from examflow.operators.respond import _in_request_order
+from stand_ins import LetterResponder
 from examflow.plans.evaluate import evaluate
 from examflow.sources import testdata as td
 from examflow.sources.runlog import read_log
@@ -24,7 +25,7 @@ def test_resume_is_idempotent(spark, sf_small, scratch):
     n_logged = read_log(spark, path).count()
     assert n_logged == sets.test.count()
     second = evaluate(spark, sets, LetterResponder, path, k=2, run_id="b")
-    assert spark.read.parquet(second.staged_path).count() == 0  # nothing left to answer
+    assert second.staged.count() == 0  # nothing left to answer
     assert _report(second.report) == rep1
     assert read_log(spark, path).count() == n_logged
 
@@ -123,14 +124,14 @@ def test_chat_api_backends_receive_messages(spark, sf_small, scratch):
 
     sets = td.exam_item_sets(spark, sf_small)
     res = evaluate(spark, sets, EchoRoles, scratch("run"), k=0, backend="anthropic", subsets="es")
-    assert spark.read.parquet(res.staged_path).where("error IS NOT NULL").count() == 0
+    assert res.staged.where("error IS NOT NULL").count() == 0
     assert _report(res.report)["es"][0] == sets.test.where("subset = 'es'").count()
 
 
 def test_probability_backend_with_chat_template(spark, sf_small, scratch):
     from examflow.functions.templates import DEFAULT_CHAT_TEMPLATE
     from examflow.operators.prompts import build_prompts
-    from examflow.operators.respond import ModLoglikModel
+    from stand_ins import ModLoglikModel
 
     sets = td.exam_item_sets(spark, sf_small)
     path = scratch("run")
@@ -158,13 +159,13 @@ def test_isolated_runs_share_a_folder(spark, sf_small, scratch):
     a = evaluate(spark, sets, LetterResponder, path, k=0, subsets="es", run_id="k0", isolate_runs=True)
     b = evaluate(spark, sets, LetterResponder, path, k=2, subsets="es", run_id="k2", isolate_runs=True)
     # the second setting answered everything again and reports only itself
-    assert spark.read.parquet(b.staged_path).count() == n
+    assert b.staged.count() == n
     assert _report(a.report)["es"][0] == n and _report(b.report)["es"][0] == n
     assert read_log(spark, path).count() == 2 * n
 
 
 def test_probability_item_without_options_is_logged_unanswered(spark, scratch):
-    from examflow.operators.respond import ModLoglikModel
+    from stand_ins import ModLoglikModel
 
     schema = (
         "subset string, split string, seq long, id string, question string, A string, B string, "
@@ -210,7 +211,7 @@ def test_resume_with_parquet_log(spark, sf_small, scratch):
     path = scratch("prun")
     first = evaluate(spark, sets, LetterResponder, path, k=1, subsets="de", log_format="parquet")
     second = evaluate(spark, sets, LetterResponder, path, k=1, subsets="de", log_format="parquet")
-    assert spark.read.parquet(second.staged_path).count() == 0
+    assert second.staged.count() == 0
     assert first.as_dict() == second.as_dict()
     assert read_log(spark, path, fmt="parquet").count() == sets.test.where("subset = 'de'").count()
 

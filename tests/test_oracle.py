@@ -7,7 +7,9 @@ from examflow.plans.catalog import QUERIES
 from examflow.plans.oracle import ORACLE_SQL
 from tools.check_oracle import canon, duck
 
-NAMES = sorted(QUERIES)
+# a vocabulary has no SQL; held against the tokenizers library in test_tokens
+NO_SQL = {"prompt_budget_tokens"}
+NAMES = sorted(set(QUERIES) - NO_SQL)
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +18,7 @@ def con(sf_small):
 
 
 def test_every_query_has_oracle():
-    assert set(ORACLE_SQL) == set(QUERIES)
+    assert set(ORACLE_SQL) == set(QUERIES) - NO_SQL
     assert set(QUERIES) <= set(E.queries())
 
 

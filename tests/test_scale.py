@@ -37,7 +37,7 @@ def test_salted_fallback_equals_broadcast_under_hot_key(spark):
     wide = attach_small(big, small, ["subset"], "left", salt_by=F.col("id"))
     side = measure_small(small, max_rows=0)
     assert not side.broadcastable and side.rows == 51
-    salted = attach_small(big, side, ["subset"], "left", salt_by=F.col("id"), n_salts=16)
+    salted = attach_small(big, side, ["subset"], "left", salt_by=F.col("id"), rows_per_task=1000)
     p = _plan(salted)
     assert "BroadcastHashJoin" not in p or "__salt" in p
     key = lambda r: (r.subset, r.id, r.v)
