@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,41 +69,3 @@ def dense_rank(df: DataFrame, group: list[str], key: Column, order: list, out: s
         .withColumn(out, (F.col("_before") + F.col("_place")).cast("long"))
         .drop("_bucket", "_before", "_place")
     )
-
-
-RANGES = 65_536  # at most so many ranges, split ones aside
-
-
-def ranges(df: DataFrame, key: Column, tie: Column, rows: int) -> DataFrame:
-    """Add ``_k`` (``key``, a long without nulls), ``_r`` and ``_s``: ascending ranges of
-    the key with some ``rows`` rows each; a key that fills ranges of its own has one for
-    itself, split by ``tie`` (a hash) into parts ``_s``."""
-    df = df.withColumn("_k", key)
-    n = min(df.count() // rows + 1, RANGES)
-    points = df.agg(F.percentile_approx("_k", [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] if n > 1 else None
-    seen = Counter(points or [])
-    cuts = sorted(set(seen) | {v + 1 for v, m in seen.items() if m > 1 and v < 2**63 - 1})
-    if not cuts:
-        return df.withColumn("_r", F.lit(0).cast("long")).withColumn("_s", F.lit(0))
-    table = F.lit(cuts).cast("array<long>")
-    parts = F.lit([1] + [seen[v] + 1 if seen[v] > 1 else 1 for v in cuts])
-    halves = [2**k for k in range(len(cuts).bit_length() - 1, -1, -1)]
-    # number of cuts at or under the key, by halving
-    place = F.aggregate(F.lit(halves).cast("array<long>"), F.lit(0).cast("long"), lambda lo, h: F.when(
-        (lo + h <= len(cuts)) & (F.get(table, (lo + h - 1).cast("int")) <= F.col("_k")), lo + h).otherwise(lo))
-    df = df.withColumn("_r", place)
-    return df.withColumn("_s", F.pmod(tie, F.get(parts, F.col("_r").cast("int"))).cast("int"))
-
-
-def number_line(df: DataFrame, key: str, tie: list[Column], weight: Column, out: str, rows: int = 4096) -> DataFrame:
-    """Add ``out``: the sum of ``weight`` over all rows before, by (``key``, ``tie``),
-    null keys first, without one task for all rows. ``tie[0]`` is a hash."""
-    dealt = ranges(df.withColumn("_w", weight), F.coalesce(F.col(key), F.lit(-(2**63))), tie[0], rows)
-    before = Window.orderBy("_r", "_s").rowsBetween(Window.unboundedPreceding, -1)
-    # a row a range: at most three times RANGES
-    sums = dealt.groupBy("_r", "_s").agg(F.sum("_w").alias("_sum")).withColumn(
-        "_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy("_r", "_s").orderBy("_k", *tie).rowsBetween(Window.unboundedPreceding, -1)
-    here = dealt.withColumn("_here", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
-    return here.join(F.broadcast(sums), ["_r", "_s"]).withColumn(out, F.col("_before") + F.col("_here")).drop(
-        "_r", "_s", "_k", "_w", "_before", "_here")

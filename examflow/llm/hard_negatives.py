@@ -32,7 +32,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import python_ready, ranges, written
+from examflow.operators.rowindex import ranges
+
+from .frames import python_ready, written
 
 BLOCK = 256
 RANGE_ROWS = 8192
@@ -130,7 +132,7 @@ class Blocks:
         rows = written(rows, "rows")
         self.width = rows.agg(F.max(F.size("v"))).first()[0] or 0
         keyed = self._keyed(rows) if self.width else rows.withColumn("key", F.lit(0).cast("long"))
-        dealt = ranges(keyed, F.col("key"), F.xxhash64("uid"), range_rows)
+        dealt = ranges(keyed, F.col("key"), F.col("uid"), range_rows)
         order = Window.partitionBy("_r", "_s").orderBy("_k", "vec_id", "uid")
         dealt = dealt.withColumn("block", F.floor((F.row_number().over(order) - 1) / block).cast("int"))
         self.rows = written(dealt.select(F.struct("_r", "_s").alias("range"), "block", "vec_id", "uid", "label", "v")

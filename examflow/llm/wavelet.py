@@ -1,28 +1,31 @@
 """Token ids of a corpus in shard files: a wavelet matrix per shard.
 
 Documents are encoded, each with an end id, and laid one after another in ascending
-doc_id order. The sequence is cut into shards of ``shard_tokens`` ids, whatever the
-documents' borders. A shard file (Parquet, one row, zstd) holds its number and first
-place, the planes of a wavelet matrix (one bit of each id a plane, most significant
-first; each plane sorts the ids stably by its bit), their numbers of zeros, a directory
-of the ones before every 512 bits, and its documents' pieces. From one file ``Wavelet`` gives
+doc_id order. Rows are dealt to ascending ranges of doc_id; the task that has a range
+streams its documents in order and cuts their ids into shards of at most
+``shard_tokens``, whatever the documents' borders. A shard file (Parquet, one row, zstd)
+holds its range and number, the planes of a wavelet matrix (one bit of each id a plane,
+most significant first; each plane sorts the ids stably by its bit), their numbers of
+zeros, a directory of the ones before every 512 bits, and its documents' pieces. From one
+file ``Wavelet`` gives
 
 * ``access``: the ids at any places,
 * ``rank``: how often an id occurs before a place, and ``count``,
 * ``select``: the place of the k-th occurrence, and so all ``occurrences``,
 * ``ids``: the whole sequence, all planes undone.
 
-``token_at``, ``count_tokens`` and ``occurrences`` ask the files of a whole corpus.
-
-Places: rows are dealt to ranges of doc_id; the sums of the ranges, a bounded table, give
-each range its first place, and only the rows of one range are sorted together. A doc_id
-that fills ranges of its own is split by the rows' place in the written files.
+``token_at``, ``count_tokens`` and ``occurrences`` ask the files of a whole corpus. Where
+a shard lies in the corpus follows from the numbers of ids of those before it: the sums
+of the ranges, a bounded table, and a running sum inside each range.
 
 * Null text: empty, only the end id. Null doc_ids come first. Rows with equal doc_id
-  follow one another in any order; repeated rows are documents of their own. An empty
-  table gives no files and no rows. Extra columns are not read.
+  follow one another by their place in the table; a doc_id that fills ranges of its own is
+  split along these places. Repeated rows are documents of their own. An empty table
+  gives no rows. Extra columns are not read.
 * Very long texts span several shards; their crc is combined from those of the pieces.
 * Special tokens' strings in a text are special tokens, as in the tokenizers library.
+* The table has to be one that Spark reads from files, whose rows keep their places when
+  a task is run again.
 """
 
 from __future__ import annotations
@@ -30,23 +33,28 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from examflow.operators.rowindex import ranges
 from examflow.session import scratch_path
 
-from .frames import number_line, python_ready, written
+from .frames import python_ready
 
 END_ID = 2
 SHARD_TOKENS = 1 << 22
+RANGE_ROWS = 8192
 DIRECTORY_BITS = 512
 CACHE = 300_000  # runs whose ids a worker keeps
 QUESTIONS = 65_536  # places asked of one shard at a time
-_PLAIN = re.compile(r"([A-Za-z]+)([.,;:!?]*)")
+# letters and the ASCII signs behind them; an apostrophe may open a token with letters
+_PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@[-`{-~]*)")
 _NO_BREAKS = re.compile("[\x1c-\x1f]")  # white space for str.split, not for the tokenizer
 _BREAKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _loaded: dict[str, tuple] = {}
@@ -55,19 +63,37 @@ _loaded: dict[str, tuple] = {}
 # --- encoding -----------------------------------------------------------------------
 
 
+def _byte_letters() -> dict[str, int]:
+    """The letters of byte-level vocabularies: printable bytes are their own, the others
+    follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+# words of a-z and \xe0-\xff: C3 and a byte from 80 on; bytes that such a word never has
+# stand for its last byte at the end of a word
+_LAST = [bytes([b]) for b in range(256)]
+for _k, _b in enumerate([*range(ord("a"), ord("z") + 1), *range(0x80, 0xC0)]):
+    _LAST[_b] = bytes([_k + 1 if _k < 90 - 64 else [*range(0xC4, 0x100), 0xC0, 0xC1, 0xC2, 0][_k - 26]])
+
+
 def _plain_words(vocabulary: dict[str, int]):
-    """A byte-pair encoder for words of a-z alone, or None. An end-of-word letter is
-    written as its capital, so that each initial symbol is one byte."""
+    """A byte-pair encoder for words of Latin-1 letters in lower case, or None. The byte
+    at the end of a word has a sign of its own, so that each initial symbol is one byte."""
     import tiktoken
 
-    ranks = {}
+    letters, ranks = _byte_letters(), {}
+    allowed = {*range(ord("a"), ord("z") + 1), *range(0x80, 0xC0), 0xC3}
     for token, rank in vocabulary.items():
-        m = re.fullmatch(r"([a-z]*)([a-z])(</w>)?", token)
-        if m:
-            ranks[(m[1] + (m[2].upper() if m[3] else m[2])).encode()] = rank
-    if len([x for x in ranks if len(x) == 1]) < 52:
+        ends = token.endswith("</w>") and len(token) > 4
+        data = bytes(letters.get(c, 0) for c in (token[:-4] if ends else token))
+        if data and allowed.issuperset(data) and not (ends and data[-1] == 0xC3):
+            ranks[data[:-1] + _LAST[data[-1]] if ends else data] = rank
+    singles = {x for x in ranks if len(x) == 1}
+    if not singles >= {bytes([b]) for b in allowed} | {_LAST[b] for b in allowed - {0xC3}}:
         return None
-    return tiktoken.Encoding("words", pat_str=r"[A-Za-z]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+    return tiktoken.Encoding("words", pat_str=r"[a-z]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
 
 
 def load_tokenizer(path: str) -> tuple:
@@ -90,9 +116,10 @@ def load_tokenizer(path: str) -> tuple:
 
 
 def encode_texts(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
-    """The ids of each text and the end id, little-endian, 2 or 4 bytes an id."""
+    """The ids of each text and the end id, 2 or 4 bytes an id, little-endian (as the
+    machines are)."""
     tok, plain, cache, width = load_tokenizer(path)
-    kind = f"<u{width}"
+    code = "H" if width == 2 else "I"
     # no token spans white space, so runs between it are encoded by themselves
     split = [[] if not t else _BREAKS.split(t) if _NO_BREAKS.search(t) else t.split() for t in texts]
     if len(cache) > CACHE:
@@ -104,16 +131,16 @@ def encode_texts(texts: list[str | None], path: str, end_id: int = END_ID) -> li
         if m is None:
             slow.append(w)
         else:
-            a, tail = m[1].lower(), m[2]
-            a = np.asarray(plain.encode_single_piece((a[:-1] + a[-1].upper()).encode()), kind).tobytes()
+            letters, tail = m[1].lower().encode(), m[2]
+            ids = array(code, plain.encode_single_piece(letters[:-1] + _LAST[letters[-1]])).tobytes()
             if tail:
                 if tail not in tails:
-                    tails[tail] = np.asarray(tok.encode(tail, add_special_tokens=False).ids, kind).tobytes()
-                a += tails[tail]
-            cache[w] = a
+                    tails[tail] = array(code, tok.encode(tail, add_special_tokens=False).ids).tobytes()
+                ids += tails[tail]
+            cache[w] = ids
     for w, e in zip(slow, tok.encode_batch(slow, add_special_tokens=False) if slow else [], strict=True):
-        cache[w] = np.asarray(e.ids, kind).tobytes()
-    end = np.asarray([end_id], kind).tobytes()
+        cache[w] = array(code, e.ids).tobytes()
+    end = array(code, [end_id]).tobytes()
     out = [b"".join(map(cache.__getitem__, runs)) + end for runs in split]
     for w in slow:
         if len(w) > 64:  # long runs don't come back
@@ -122,20 +149,19 @@ def encode_texts(texts: list[str | None], path: str, end_id: int = END_ID) -> li
 
 
 def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids (binary), n."""
+    """``docs(..., text)`` -> the columns before ``text``, which is the last, and ids."""
     python_ready(docs.sparkSession)
+    kept = docs.columns[:-1]
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("ids", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                ids = encode_texts(part.column(1).to_pylist(), path, end_id)
-                width = load_tokenizer(path)[3]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // width for x in ids], pa.int64())],
-                    names=["doc_id", "ids", "n"])
+                ids = encode_texts(part.column(len(kept)).to_pylist(), path, end_id)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], names=[*kept, "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, n long")
+    return docs.mapInArrow(run, schema)
 
 
 # --- the matrix -----------------------------------------------------------------------
@@ -247,48 +273,77 @@ class Wavelet:
 
 # --- shard files ------------------------------------------------------------------------
 
-_DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()),
-                            ("at", pa.int64()), ("length", pa.int64())]))
+_PIECE = pa.struct([("doc_id", pa.int64()), ("uid", pa.int64()), ("n_tokens", pa.int64()), ("before", pa.int64()),
+                    ("at", pa.int64()), ("length", pa.int64())])
 _FILE = pa.schema([
-    ("shard", pa.int64()), ("first", pa.int64()), ("tokens", pa.int64()), ("zeros", pa.list_(pa.int64())),
-    ("planes", pa.list_(pa.binary())), ("ones", pa.list_(pa.list_(pa.int64()))), ("docs", _DOCS)])
-_FILE_DDL = ("shard long, first long, tokens long, zeros array<long>, planes array<binary>, ones array<array<long>>, "
-             "docs array<struct<doc_id: long, start: long, n_tokens: long, at: long, length: long>>")
+    ("r", pa.int64()), ("s", pa.int32()), ("number", pa.int32()), ("tokens", pa.int64()), ("zeros", pa.list_(pa.int64())),
+    ("planes", pa.list_(pa.binary())), ("ones", pa.list_(pa.binary())), ("docs", pa.list_(_PIECE))])
+_FILE_DDL = ("r long, s int, number int, tokens long, zeros array<long>, planes array<binary>, ones array<binary>, "
+             "docs array<struct<doc_id: long, uid: long, n_tokens: long, before: long, at: long, length: long>>")
+_MATRIX = ["tokens", "zeros", "planes", "ones"]
+KEY = ["r", "s", "number"]
+
+
+class _Shard:
+    """Ids and pieces of a shard that is being filled."""
+
+    def __init__(self, r: int, s: int, number: int, width: int, bits: int, size: int):
+        self.key, self.width, self.bits, self.room = (r, s, number), width, bits, size
+        self.ids: list = []
+        self.docs: list[tuple] = []
+        self.tokens = 0
+
+    def add(self, doc_id, uid: int, ids: memoryview, before: int) -> int:
+        """Take what fits of a document from ``before`` on; how many ids that is."""
+        n = len(ids) // self.width
+        take = min(n - before, self.room)
+        self.ids.append(ids[before * self.width : (before + take) * self.width])
+        self.docs.append((doc_id, uid, n, before, self.tokens, take))
+        self.tokens += take
+        self.room -= take
+        return take
+
+    def row(self) -> pa.RecordBatch:
+        w = Wavelet.of(np.frombuffer(b"".join(self.ids), f"<u{self.width}"), self.bits)
+        docs = pa.StructArray.from_arrays(
+            [pa.array(c, pa.int64()) for c in zip(*self.docs, strict=True)], fields=list(_PIECE))
+        return pa.RecordBatch.from_arrays([
+            *(pa.array([x], f.type) for x, f in zip(self.key, _FILE, strict=False)), pa.array([w.n], pa.int64()),
+            pa.array([w.zeros], _FILE.field("zeros").type), pa.array([[p.tobytes() for p in w.planes]], _FILE.field("planes").type),
+            pa.array([[o.astype("<u4").tobytes() for o in w.ones]], _FILE.field("ones").type),
+            pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)], schema=_FILE)
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID,
-              shard_tokens: int = SHARD_TOKENS) -> None:
+              shard_tokens: int = SHARD_TOKENS, range_rows: int = RANGE_ROWS) -> None:
     """``docs(doc_id, text)`` -> shard files under ``path``."""
-    ids = written(encoded(docs, tokenizer_path, end_id), "ids")
-    rows = ids.select("doc_id", "ids", "n", F.col("_metadata.file_name").alias("_f"),
-                      F.col("_metadata.row_index").alias("_row"))
-    tie = [F.xxhash64("_f", "_row"), F.col("_f"), F.col("_row")]
-    placed = number_line(rows, "doc_id", tie, F.col("n"), "start").drop("_f", "_row")
-    _, _, _, width = load_tokenizer(tokenizer_path)
-    bits = max(load_tokenizer(tokenizer_path)[0].get_vocab_size(with_added_tokens=True) - 1, end_id).bit_length()
-    exact = lambda c: F.expr(f"{c} div {shard_tokens}L")
-    pieces = placed.withColumn("last", F.col("start") + F.col("n") - 1).withColumn(
-        "shard", F.explode(F.sequence(exact("start"), exact("last"))))
-    lo = F.greatest(F.col("start"), F.col("shard") * shard_tokens)
-    hi = F.least(F.col("last") + 1, (F.col("shard") + 1) * shard_tokens)
-    cut = F.when((lo == F.col("start")) & (hi == F.col("last") + 1), F.col("ids")).otherwise(F.substring(
-        F.col("ids"), ((lo - F.col("start")) * width + 1).cast("int"), ((hi - lo) * width).cast("int")))
-    pieces = pieces.select("shard", "doc_id", "start", F.col("n").alias("n_tokens"),
-                           (lo - F.col("shard") * shard_tokens).alias("at"), (hi - lo).alias("length"), cut.alias("ids"))
-
-    def build(table: pa.Table) -> pa.Table:
-        table = table.sort_by("at")
-        whole = np.frombuffer(b"".join(table["ids"].to_pylist()), f"<u{width}")
-        w = Wavelet.of(whole, bits)
-        number = table["shard"][0].as_py()
-        entries = table.select(["doc_id", "start", "n_tokens", "at", "length"]).to_pylist()
-        return pa.table([
-            pa.array([number], pa.int64()), pa.array([number * shard_tokens], pa.int64()), pa.array([w.n], pa.int64()),
-            pa.array([w.zeros], _FILE.field("zeros").type), pa.array([[p.tobytes() for p in w.planes]], _FILE.field("planes").type),
-            pa.array([[o.tolist() for o in w.ones]], _FILE.field("ones").type), pa.array([entries], _DOCS)], schema=_FILE)
-
-    # one shard, a group of bounded size, is one file
-    (pieces.groupBy("shard").applyInArrow(build, _FILE_DDL)
+    tok, _, _, width = load_tokenizer(tokenizer_path)
+    bits = max(tok.get_vocab_size(with_added_tokens=True) - 1, end_id).bit_length()
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("uid"))
+    dealt = ranges(rows, F.coalesce("doc_id", F.lit(-(2**63))), F.col("uid"), range_rows)
+    ids = encoded(dealt.select("_r", "_s", "_k", "uid", "doc_id", "text"), tokenizer_path, end_id)
+
+    def build(batches):
+        shard = None
+        for batch in batches:
+            cols = batch.select(["_r", "_s", "doc_id", "uid"]).to_pydict()
+            data = batch.column(batch.schema.names.index("ids"))
+            for k, (r, s, doc_id, uid) in enumerate(zip(*cols.values(), strict=True)):
+                if shard is None or shard.key[:2] != (r, s):
+                    if shard is not None:
+                        yield shard.row()
+                    shard = _Shard(r, s, 0, width, bits, shard_tokens)
+                own, before = memoryview(data[k].as_buffer()), 0
+                while before < len(own) // width:
+                    if not shard.room:
+                        yield shard.row()
+                        shard = _Shard(r, s, shard.key[2] + 1, width, bits, shard_tokens)
+                    before += shard.add(doc_id, uid, own, before)
+        if shard is not None:
+            yield shard.row()
+
+    ordered = ids.repartition("_r", "_s").sortWithinPartitions("_r", "_s", "_k", "uid")
+    (ordered.select("_r", "_s", "doc_id", "uid", "ids").mapInArrow(build, _FILE_DDL)
      .write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(path))
 
 
@@ -297,14 +352,22 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_FILE_DDL).parquet(path)
 
 
-def _matrix(batch: pa.RecordBatch, row: int) -> Wavelet:
-    names = batch.schema.names
-    col = lambda name: batch.column(names.index(name))[row]
-    return Wavelet(col("tokens").as_py(), [np.frombuffer(x.as_buffer(), np.uint8) for x in col("planes").values],
-                   col("zeros").as_py(), [np.asarray(x.values) for x in col("ones").values])
+def shard_places(spark: SparkSession, path: str) -> DataFrame:
+    """r, s, number, tokens, first: where each shard begins in the corpus."""
+    shards = read_shards(spark, path).select(*KEY, "tokens")
+    before = Window.orderBy("r", "s").rowsBetween(Window.unboundedPreceding, -1)
+    # a row a range: a bounded table
+    sums = shards.groupBy("r", "s").agg(F.sum("tokens").alias("_sum")).withColumn(
+        "_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    inside = Window.partitionBy("r", "s").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    return shards.withColumn("_here", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(
+        F.broadcast(sums), ["r", "s"]).select(*KEY, "tokens", (F.col("_before") + F.col("_here")).alias("first"))
 
 
-_MATRIX = ["shard", "first", "tokens", "zeros", "planes", "ones"]
+def _matrix(batch: pa.RecordBatch, row: int) -> Wavelet:
+    col = lambda name: batch.column(batch.schema.names.index(name))[row]
+    return Wavelet(col("tokens").as_py(), [np.frombuffer(x.as_buffer(), np.uint8) for x in col("planes").values],
+                   col("zeros").as_py(), [np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in col("ones").values])
 
 
 def crc32_join(first: int, second: int, length: int) -> int:
@@ -330,20 +393,22 @@ def crc32_join(first: int, second: int, length: int) -> int:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (of 32-bit ids) of all documents in the files."""
     python_ready(spark)
-    names = ["doc_id", "start", "n_tokens", "place", "length", "crc"]
+    names = [*KEY, *_PIECE.names, "crc"]
 
     def decode(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                col = lambda name: batch.column(batch.schema.names.index(name))[row]  # noqa: B023, E731
                 ids = memoryview(_matrix(batch, row).ids().astype("<u4").view(np.uint8))
-                doc_id, start, n, at, length = (col("docs").values.field(k) for k in range(5))
-                crc = [zlib.crc32(ids[4 * a : 4 * (a + x)]) for a, x in zip(at.to_pylist(), length.to_pylist(), strict=True)]
-                place = pa.array(at.to_numpy() + col("first").as_py())
-                yield pa.RecordBatch.from_arrays([doc_id, start, n, place, length, pa.array(crc, pa.int64())], names=names)
+                docs = batch.column(batch.schema.names.index("docs"))[row].values
+                cols = [docs.field(k) for k in range(len(_PIECE))]
+                crc = [zlib.crc32(ids[4 * a : 4 * (a + n)]) for a, n in zip(*(c.to_pylist() for c in cols[4:]), strict=True)]
+                key = [pa.repeat(batch.column(batch.schema.names.index(k))[row], len(docs)) for k in KEY]
+                yield pa.RecordBatch.from_arrays([*key, *cols, pa.array(crc, pa.int64())], names=names)
 
     pieces = read_shards(spark, path).mapInArrow(
-        decode, "doc_id long, start long, n_tokens long, place long, length long, crc long")
+        decode, "r long, s int, number int, " + ", ".join(f"{c} long" for c in names[3:]))
+    pieces = pieces.join(shard_places(spark, path).select(*KEY, "first"), KEY).withColumn(
+        "start", F.col("first") + F.col("at") - F.col("before"))
 
     @F.udf("long")
     def joined(parts) -> int:
@@ -353,8 +418,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         return crc
 
     # the pieces of a document that spans shards meet without their ids
-    cut = pieces.filter("length < n_tokens").groupBy("doc_id", "start", "n_tokens").agg(
-        F.sort_array(F.collect_list(F.struct("place", "length", "crc"))).alias("parts"))
+    cut = pieces.filter("length < n_tokens").groupBy("r", "s", "uid", "doc_id", "start", "n_tokens").agg(
+        F.sort_array(F.collect_list(F.struct("before", "length", "crc"))).alias("parts"))
     whole = pieces.filter("length = n_tokens").select("doc_id", "start", "n_tokens", F.col("crc").alias("ids_crc32"))
     return whole.unionByName(cut.select("doc_id", "start", "n_tokens", joined("parts").alias("ids_crc32")))
 
@@ -362,27 +427,31 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def token_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
     """``places(place)`` -> place, token, for each distinct place inside the corpus."""
     python_ready(spark)
-    shards = read_shards(spark, path).select(*_MATRIX)
-    size = shards.agg(F.max("tokens")).first()[0] or 1  # every shard but the last is full
-    asked = places.filter("place >= 0").select("place").distinct()
+    shards = read_shards(spark, path)
+    # strips of places that no shard is longer than: a shard lies in two at most
+    strip = shards.agg(F.max("tokens")).first()[0] or 1
+    where = shard_places(spark, path)
+    where = where.withColumn("strip", F.explode(F.array_distinct(F.array(
+        F.expr(f"first div {strip}L"), F.expr(f"(first + tokens - 1) div {strip}L")))))
+    asked = places.filter("place >= 0").select("place").distinct().withColumn("strip", F.expr(f"place div {strip}L"))
+    asked = asked.join(where, "strip").filter("place >= first AND place < first + tokens")
     # at most QUESTIONS places a group, whatever a shard is asked for
-    asked = asked.groupBy(F.expr(f"place div {size}L").alias("shard"), F.expr(f"place div {QUESTIONS}L").alias("_part")).agg(
+    asked = asked.groupBy(*KEY, "first", F.expr(f"place div {QUESTIONS}L").alias("_part")).agg(
         F.collect_list("place").alias("places"))
 
     def answer(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                w, names = _matrix(batch, row), batch.schema.names
-                at = np.asarray(batch.column(names.index("places"))[row].values)
-                at = at[at < batch.column(names.index("first"))[row].as_py() + w.n]
-                token = w.access(at - batch.column(names.index("first"))[row].as_py())
+                at = np.asarray(batch.column(batch.schema.names.index("places"))[row].values)
+                token = _matrix(batch, row).access(at - batch.column(batch.schema.names.index("first"))[row].as_py())
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(token, pa.int64())], names=["place", "token"])
 
-    return shards.join(asked, "shard").mapInArrow(answer, "place long, token long")
+    return shards.select(*KEY, *_MATRIX).join(asked, KEY).select("first", "places", *_MATRIX).mapInArrow(
+        answer, "place long, token long")
 
 
 def _each_token(spark: SparkSession, path: str, tokens: DataFrame, ddl: str, answer) -> DataFrame:
-    """``answer(matrix, first, token)`` for every shard and distinct token. The tokens are
+    """``answer(matrix, shard, token)`` for every shard and distinct token. The tokens are
     at most as many as the vocabulary has."""
     python_ready(spark)
     bits = F.max(F.size("planes"))
@@ -394,17 +463,17 @@ def _each_token(spark: SparkSession, path: str, tokens: DataFrame, ddl: str, ans
         for batch in batches:
             for row in range(batch.num_rows):
                 w = _matrix(batch, row)
-                first = batch.column(batch.schema.names.index("first"))[row].as_py()
+                key = [batch.column(k)[row].as_py() for k in range(len(KEY))]
                 for token in asked:
-                    yield from answer(w, first, token)
+                    yield from answer(w, key, token)
 
-    return read_shards(spark, path).select(*_MATRIX).mapInArrow(run, ddl)
+    return read_shards(spark, path).select(*KEY, *_MATRIX).mapInArrow(run, ddl)
 
 
 def count_tokens(spark: SparkSession, path: str, tokens: DataFrame) -> DataFrame:
     """``tokens(token)`` -> token, n: occurrences in the corpus of each distinct token
     of the vocabulary's range."""
-    def answer(w: Wavelet, first: int, token: int):
+    def answer(w: Wavelet, _key: list, token: int):
         yield pa.RecordBatch.from_pydict({"token": pa.array([token], pa.int64()), "n": pa.array([w.count(token)], pa.int64())})
 
     each = _each_token(spark, path, tokens, "token long, n long", answer)
@@ -413,12 +482,14 @@ def count_tokens(spark: SparkSession, path: str, tokens: DataFrame) -> DataFrame
 
 def occurrences(spark: SparkSession, path: str, tokens: DataFrame) -> DataFrame:
     """``tokens(token)`` -> token, place: every place of each distinct token."""
-    def answer(w: Wavelet, first: int, token: int):
-        for places in w.occurrences(token):
-            yield pa.RecordBatch.from_pydict({"token": pa.array(np.full(len(places), token), pa.int64()),
-                                              "place": pa.array(places + first, pa.int64())})
-
-    return _each_token(spark, path, tokens, "token long, place long", answer)
+    def answer(w: Wavelet, key: list, token: int):
+        for at in w.occurrences(token):
+            shard = [pa.array([x] * len(at), f.type) for x, f in zip(key, _FILE, strict=False)]
+            yield pa.RecordBatch.from_arrays([*shard, pa.array([token] * len(at), pa.int64()), pa.array(at, pa.int64())],
+                                             names=[*KEY, "token", "at"])
+
+    found = _each_token(spark, path, tokens, "r long, s int, number int, token long, at long", answer)
+    return found.join(shard_places(spark, path), KEY).select("token", (F.col("first") + F.col("at")).alias("place"))
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID,
