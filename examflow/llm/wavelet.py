@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 from examflow.operators.rowindex import ranges
 from examflow.session import scratch_path
 
-from .frames import python_ready
+from .frames import python_ready, written
 
 END_ID = 2
 SHARD_TOKENS = 1 << 22
@@ -53,8 +53,6 @@ RANGE_ROWS = 8192
 DIRECTORY_BITS = 512
 CACHE = 300_000  # runs whose ids a worker keeps
 QUESTIONS = 65_536  # places asked of one shard at a time
-# letters and the ASCII signs behind them; an apostrophe may open a token with letters
-_PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@[-`{-~]*)")
 _NO_BREAKS = re.compile("[\x1c-\x1f]")  # white space for str.split, not for the tokenizer
 _BREAKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _loaded: dict[str, tuple] = {}
@@ -71,29 +69,87 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-# words of a-z and \xe0-\xff: C3 and a byte from 80 on; bytes that such a word never has
-# stand for its last byte at the end of a word
-_LAST = [bytes([b]) for b in range(256)]
-for _k, _b in enumerate([*range(ord("a"), ord("z") + 1), *range(0x80, 0xC0)]):
-    _LAST[_b] = bytes([_k + 1 if _k < 90 - 64 else [*range(0xC4, 0x100), 0xC0, 0xC1, 0xC2, 0][_k - 26]])
-
-
-def _plain_words(vocabulary: dict[str, int]):
-    """A byte-pair encoder for words of Latin-1 letters in lower case, or None. The byte
-    at the end of a word has a sign of its own, so that each initial symbol is one byte."""
-    import tiktoken
-
-    letters, ranks = _byte_letters(), {}
-    allowed = {*range(ord("a"), ord("z") + 1), *range(0x80, 0xC0), 0xC3}
-    for token, rank in vocabulary.items():
-        ends = token.endswith("</w>") and len(token) > 4
-        data = bytes(letters.get(c, 0) for c in (token[:-4] if ends else token))
-        if data and allowed.issuperset(data) and not (ends and data[-1] == 0xC3):
-            ranks[data[:-1] + _LAST[data[-1]] if ends else data] = rank
-    singles = {x for x in ranks if len(x) == 1}
-    if not singles >= {bytes([b]) for b in allowed} | {_LAST[b] for b in allowed - {0xC3}}:
-        return None
-    return tiktoken.Encoding("words", pat_str=r"[a-z]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+# Words of Latin-1 letters in lower case have the bytes a-z, C3 and, behind it, 9F and
+# A0-BF. Each byte, and each last byte of a word but C3, has an ASCII sign of its own.
+_INSIDE, _ENDING = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
+_SIGNS = iter([x for x in range(1, 128) if x != ord(" ")])
+for _b in [*range(ord("a"), ord("z") + 1), 0x9F, *range(0xA0, 0xC0)]:
+    _INSIDE[_b], _ENDING[_b] = next(_SIGNS), next(_SIGNS)
+_INSIDE[0xC3] = next(_SIGNS)
+_LETTER = _INSIDE > 0
+# ASCII signs behind a word; an apostrophe may open a token with letters
+_TAIL = np.zeros(256, bool)
+_TAIL[[x for x in range(33, 127) if not chr(x).isalnum() and chr(x) != "'"]] = True
+_NEWLINE = np.zeros(256, bool)
+_NEWLINE[10] = True
+
+
+class PlainWords:
+    """Byte-pair encoding of many words at once: of Latin-1 letters, with ASCII signs
+    behind them. A word's last byte has a sign of its own, as the vocabulary has tokens of
+    its own for the ends of words, so the words are one text whose tokens tell where each
+    word ends."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        import tiktoken
+
+        letters, ranks = _byte_letters(), {}
+        for token, rank in vocabulary.items():
+            ends = token.endswith("</w>") and len(token) > 4
+            data = np.asarray([letters.get(c, 0) for c in (token[:-4] if ends else token)], np.uint8)
+            if _LETTER[data].all() and not (ends and data[-1] == 0xC3):
+                signs = _INSIDE[data]
+                if ends:
+                    signs[-1] = _ENDING[data[-1]]
+                ranks[signs.tobytes()] = rank
+        # every sign is a token, so that all words can be written
+        self.usable = sum(len(x) == 1 for x in ranks) == np.count_nonzero(_INSIDE) + np.count_nonzero(_ENDING)
+        if self.usable:
+            self.core = tiktoken.Encoding("words", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[r for x, r in ranks.items() if x[-1] in set(_ENDING.tolist()) - {0}]] = True
+
+    def encode(self, words: list[str], code: str) -> tuple[list[int], list[bytes], list[bytes]]:
+        """(places in ``words``, ids, signs behind the letters) of the plain ones."""
+        lowered = "\n".join(words).lower()
+        data = np.frombuffer(lowered.encode("utf-8", "surrogatepass") + b"\n", np.uint8)
+        at_end = np.flatnonzero(_NEWLINE[data])
+        if len(at_end) != len(words):  # lower case made no line ends; the words had some
+            return [], [], []
+        start = np.append(0, at_end[:-1] + 1)
+        letter, tail = _LETTER[data], _TAIL[data]
+        # C3 B7 is a sign of its own
+        division = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] == 0xB7))
+        other = ~(letter | tail)
+        other[at_end] = False
+        other[division] = True
+        # 9F and A0-BF are letters behind C3 only, and C3 is one before them only
+        follows = (data >= 0x80) & (data < 0xC3)
+        lead = data == 0xC3
+        other[1:] |= follows[1:] != lead[:-1]
+        other[0] |= follows[0]
+        back = np.append(False, tail[:-1] & letter[1:])  # a letter behind a sign
+        bad = np.add.reduceat((other | back).astype(np.int64), start)
+        plain = np.flatnonzero((bad == 0) & letter[start] & (at_end > start))
+        if not len(plain):
+            return [], [], []
+        n_tail = np.add.reduceat(tail.astype(np.int64), start)
+        keep = np.repeat(bad == 0, at_end + 1 - start) & letter
+        last = at_end[plain] - n_tail[plain] - 1
+        signs = _INSIDE[data]
+        signs[last] = _ENDING[data[last]]
+        gap = np.zeros(len(data), bool)
+        gap[at_end[plain]] = True
+        signs[gap] = ord(" ")
+        keep &= np.repeat(letter[start], at_end + 1 - start)
+        text = signs[keep | gap].tobytes().decode("ascii")
+        ids = np.asarray(self.core.encode_ordinary(text), code)
+        cut = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+        raw, cuts = ids.tobytes(), [0, *cut.tolist()]
+        pieces = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        whole = data.tobytes()
+        tails = [whole[a:b] if b > a else b"" for a, b in zip((last + 1).tolist(), at_end[plain].tolist(), strict=True)]
+        return plain.tolist(), pieces, tails
 
 
 def load_tokenizer(path: str) -> tuple:
@@ -109,9 +165,9 @@ def load_tokenizer(path: str) -> tuple:
         vocabulary = model["vocab"] if model.get("end_of_word_suffix") == "</w>" else {}
         # ids of merged tokens ascend with their merges, so an id is a rank
         merged = [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model.get("merges", [])]
-        ranked = bool(vocabulary) and None not in merged and merged == sorted(merged)
+        plain = PlainWords(vocabulary) if vocabulary and None not in merged and merged == sorted(merged) else None
         width = 2 if tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        _loaded[path] = (tok, _plain_words(vocabulary) if ranked else None, {}, width)
+        _loaded[path] = (tok, plain if plain and plain.usable else None, {}, width)
     return _loaded[path]
 
 
@@ -124,20 +180,12 @@ def encode_texts(texts: list[str | None], path: str, end_id: int = END_ID) -> li
     split = [[] if not t else _BREAKS.split(t) if _NO_BREAKS.search(t) else t.split() for t in texts]
     if len(cache) > CACHE:
         cache.clear()
-    new = list(set().union(*split) - cache.keys())
-    tails, slow = {}, []
-    for w in new:
-        m = _PLAIN.fullmatch(w) if plain is not None else None
-        if m is None:
-            slow.append(w)
-        else:
-            letters, tail = m[1].lower().encode(), m[2]
-            ids = array(code, plain.encode_single_piece(letters[:-1] + _LAST[letters[-1]])).tobytes()
-            if tail:
-                if tail not in tails:
-                    tails[tail] = array(code, tok.encode(tail, add_special_tokens=False).ids).tobytes()
-                ids += tails[tail]
-            cache[w] = ids
+    new = [w for w in set().union(*split) if w not in cache]
+    places, pieces, behind = plain.encode(new, code) if plain is not None and new else ([], [], [])
+    tails = {t: array(code, tok.encode(t.decode(), add_special_tokens=False).ids).tobytes() for t in set(behind)}
+    for k, ids, t in zip(places, pieces, behind, strict=True):
+        cache[new[k]] = ids + tails[t]
+    slow = [w for w in new if w not in cache]
     for w, e in zip(slow, tok.encode_batch(slow, add_special_tokens=False) if slow else [], strict=True):
         cache[w] = array(code, e.ids).tobytes()
     end = array(code, [end_id]).tobytes()
@@ -182,8 +230,7 @@ class Wavelet:
         now = ids
         step = DIRECTORY_BITS // 8
         for level in range(bits):
-            bit = (now >> now.dtype.type(bits - 1 - level)) & now.dtype.type(1)
-            up = bit.astype(bool)
+            up = (now & now.dtype.type(1 << (bits - 1 - level))).astype(bool)
             packed = np.packbits(up)
             packed = np.append(packed, np.zeros(-len(packed) % step, np.uint8))
             planes.append(packed)
@@ -407,7 +454,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     pieces = read_shards(spark, path).mapInArrow(
         decode, "r long, s int, number int, " + ", ".join(f"{c} long" for c in names[3:]))
-    pieces = pieces.join(shard_places(spark, path).select(*KEY, "first"), KEY).withColumn(
+    # narrow rows, read twice
+    pieces = written(pieces, "pieces").join(shard_places(spark, path).select(*KEY, "first"), KEY).withColumn(
         "start", F.col("first") + F.col("at") - F.col("before"))
 
     @F.udf("long")
