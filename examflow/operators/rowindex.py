@@ -24,6 +24,11 @@ def ranges(df: DataFrame, key: Column, tie: Column, rows: int = RANGE_ROWS) -> D
     """Add ``_k`` (``key``) and ``_t`` (``tie``), longs without nulls, and ``_r``, ``_s``:
     (_r, _s) ascends with (_k, _t), and has some ``rows`` rows where the ties of a hot key
     are spread evenly (row numbers, ids, hashes)."""
+    return _dealt(df, key, tie, rows)[0]
+
+
+def _dealt(df: DataFrame, key: Column, tie: Column, rows: int) -> tuple[DataFrame, bool]:
+    """The dealt rows, and whether there is more than one range."""
     df = df.withColumn("_k", key).withColumn("_t", tie)
     n = min(df.count() // rows + 1, RANGES)
     points = df.agg(F.percentile_approx("_k", [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] if n > 1 else None
@@ -31,7 +36,7 @@ def ranges(df: DataFrame, key: Column, tie: Column, rows: int = RANGE_ROWS) -> D
     hot = sorted(v for v, m in seen.items() if m > 1)
     cuts = sorted(set(seen) | {v + 1 for v in hot if v < 2**63 - 1})
     if not cuts:
-        return df.withColumn("_r", F.lit(0).cast("long")).withColumn("_s", F.lit(0))
+        return df.withColumn("_r", F.lit(0).cast("long")).withColumn("_s", F.lit(0)), False
     longs = lambda x: F.lit(x).cast("array<long>")
     halves = [2**k for k in range(len(cuts).bit_length() - 1, -1, -1)]
     # number of cuts at or under the key, by halving
@@ -39,7 +44,7 @@ def ranges(df: DataFrame, key: Column, tie: Column, rows: int = RANGE_ROWS) -> D
         (lo + h <= len(cuts)) & (F.get(longs(cuts), (lo + h - 1).cast("int")) <= F.col("_k")), lo + h).otherwise(lo))
     df = df.withColumn("_r", place)
     if not hot:
-        return df.withColumn("_s", F.lit(0))
+        return df.withColumn("_s", F.lit(0)), True
     # a hot key's ties are cut evenly between the least and the largest: a row a hot key
     ends = {r["_k"]: r for r in df.filter(F.col("_k").isin(hot)).groupBy("_k").agg(
         F.min("_t").alias("lo"), F.max("_t").alias("hi")).collect()}
@@ -49,20 +54,22 @@ def ranges(df: DataFrame, key: Column, tie: Column, rows: int = RANGE_ROWS) -> D
     highs = F.get(longs([0] + [ends[v]["hi"] if v in ends else 0 for v in cuts]), at)
     wide = lambda c: c.cast("double")
     part = F.floor((wide(F.col("_t")) - wide(lows)) * parts / (wide(highs) - wide(lows) + 1))
-    return df.withColumn("_s", F.when(parts > 1, F.greatest(F.least(part, parts - 1), F.lit(0))).otherwise(0).cast("int"))
+    return df.withColumn("_s", F.when(parts > 1, F.greatest(F.least(part, parts - 1), F.lit(0))).otherwise(0).cast("int")), True
 
 
 def number_line(df: DataFrame, key: str, tie: Column, weight: Column, out: str, rows: int = RANGE_ROWS,
                 then: tuple[str, ...] = ()) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over all rows before, by (``key``, ``tie``,
     ``then``), null keys first."""
-    dealt = ranges(df.withColumn("_w", weight), F.coalesce(F.col(key), F.lit(-(2**63))), tie, rows)
+    dealt, several = _dealt(df.withColumn("_w", weight), F.coalesce(F.col(key), F.lit(-(2**63))), tie, rows)
     before = Window.orderBy("_r", "_s").rowsBetween(Window.unboundedPreceding, -1)
     # a row a range: at most three times RANGES
     sums = dealt.groupBy("_r", "_s").agg(F.sum("_w").alias("_sum")).withColumn(
         "_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
     inside = Window.partitionBy("_r", "_s").orderBy("_k", "_t", *then).rowsBetween(Window.unboundedPreceding, -1)
     here = dealt.withColumn("_here", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+    if not several:
+        return here.withColumn(out, F.col("_here")).drop("_r", "_s", "_k", "_t", "_w", "_here")
     return here.join(F.broadcast(sums), ["_r", "_s"]).withColumn(out, F.col("_before") + F.col("_here")).drop(
         "_r", "_s", "_k", "_t", "_w", "_before", "_here")
 

@@ -10,7 +10,7 @@ publishes only the output of committed task attempts.
 from __future__ import annotations
 
 import uuid
-from urllib.parse import quote, unquote
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -180,7 +180,7 @@ def write_named_log(df: DataFrame, path: str, subset: str) -> None:
     df.select(*LOG_FIELDS).coalesce(1).write.option("ignoreNullFields", "false").json(scratch)
     fs, Path = _fs(df.sparkSession, path)
     part = fs.globStatus(Path(f"{scratch}/part-*"))[0].getPath()
-    target = Path(f"{path.rstrip('/')}/{quote(subset, safe='')}_out.jsonl")
+    target = Path(f"{path.rstrip('/')}/{subset}_out.jsonl")
     if fs.exists(target):
         fs.delete(target, False)
     fs.rename(part, target)

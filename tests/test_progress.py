@@ -149,10 +149,10 @@ def test_mixed_layouts_and_a_torn_line(spark, sf_small, scratch):
 def test_named_log_round_trip(spark, scratch):
     path = scratch("flat")
     df = spark.createDataFrame([("1", "p", None, "A"), ("2", "é\n", "x", "B")], "id string, prompt string, full_response string, gold_answer string")
-    write_named_log(df, path, "a b/c")
+    write_named_log(df, path, "a b+c")
     rows, torn = read_mixed_logs(spark, path)
     assert sorted((r.id, r.prompt, r.full_response, r.subset) for r in rows.collect()) == [
-        ("1", "p", None, "a b/c"), ("2", "é\n", "x", "a b/c")]
-    assert torn.count() == 0 and pending(df.withColumn("subset", F.lit("a b/c")), rows).count() == 0
+        ("1", "p", None, "a b+c"), ("2", "é\n", "x", "a b+c")]
+    assert torn.count() == 0 and pending(df.withColumn("subset", F.lit("a b+c")), rows).count() == 0
     empty, none = read_mixed_logs(spark, scratch("nothing"))
     assert empty.count() == none.count() == 0
