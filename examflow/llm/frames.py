@@ -37,6 +37,14 @@ def written_by(df: DataFrame, key: str, name: str, buckets: int) -> DataFrame:
     return out
 
 
+def byte_letters() -> dict[str, int]:
+    """The letters of byte-level vocabularies: printable bytes are their own, the others
+    follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
 def python_ready(spark: SparkSession) -> None:
     """Make the package importable in Python workers."""
     ship_package(spark)

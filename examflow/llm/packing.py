@@ -17,7 +17,8 @@ of its length, found without one task per length.
 * A null text is an empty one: it has the end id only. Repeated rows are documents
   of their own. Ties (equal lengths) go by doc_id, start, crc. An empty table gives
   no rows. Extra columns are dropped.
-* Very long texts are encoded by runs between blanks, never cut elsewhere.
+* Strings of added tokens (``<|endoftext|>``) are these tokens, as in the library.
+* Very long texts are encoded by parts between blanks, never cut elsewhere.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import Counter
 from itertools import groupby
 
@@ -33,52 +35,75 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import dense_rank, partitions, python_ready, written
+from .frames import byte_letters, dense_rank, partitions, python_ready, written
 
 CAPACITY = 1024
 END_ID = 0
-CACHE = 400_000  # encodings kept by a worker
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
                      ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 _WITH_IDS = _PIECES.append(pa.field("ids", pa.binary()))
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _loaded: dict[str, tuple] = {}
 # A blank after a non-blank opens a new pre-token in byte-level BPE, whatever
-# follows, so the runs between such blanks are encoded independently.
-_RUN = re.compile(r"(?<=\S) ")
-
-
-def token_bytes(texts: list[str | None], tokenizer_path: str) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit integers."""
+# follows, so the parts of a long text between such blanks are encoded by themselves.
+_CUT = re.compile(r"\S ")
+PART = 1 << 20
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_WIDE = re.compile(r"\s{20000}")  # more white space than the splitting pattern can take
+
+
+def _rank_encoder(tok):
+    """The vocabulary of a byte-level BPE tokenizer as ranks, or None if it is not one
+    whose merges ascend with their ids (then an id is the rank of its merge)."""
+    import json
+
+    import tiktoken
+
+    spec = json.loads(tok.to_str())
+    model, pre = spec["model"], spec["pre_tokenizer"] or {}
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    if model["type"] != "BPE" or spec["normalizer"] or any(pre.get(k) != v for k, v in plain.items()):
+        return None
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return None
+    vocab, letters = model["vocab"], byte_letters()
+    merged = [vocab.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model["merges"]]
+    special = {t["content"] for t in spec["added_tokens"]}
+    ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in special}
+    if None in merged or merged != sorted(merged) or len([x for x in ranks if len(x) == 1]) < 256:
+        return None
+    return tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})._core_bpe
+
+
+def _load(tokenizer_path: str) -> tuple:
     if tokenizer_path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(tokenizer_path)
-        tok.encode_special_tokens = True  # their strings are ordinary text
-        _loaded[tokenizer_path] = (tok, {})
-    tok, cache = _loaded[tokenizer_path]
-    # runs after the first keep their blank in front
-    split = []
-    for t in texts:
-        first, *rest = _RUN.split(t) if t else [""]
-        split.append([first, *[" " + w for w in rest]] if t else [])
-    new = list(set().union(*split) - cache.keys()) if split else []
-    fresh = {
-        w: np.asarray(e.ids, "<u4").tobytes()
-        for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True)
-    }
-    if len(cache) + len(fresh) > CACHE:
-        known = {w: cache[w] for runs in split for w in runs if w in cache}
-        cache.clear()
-        fresh |= known
-    get = {**cache, **fresh} if len(fresh) > len(cache) else None
-    if get is None:
-        cache.update(fresh)
-        get = cache
-    out = [b"".join(map(get.__getitem__, runs)) for runs in split]
-    if get is not cache:
-        cache.update({w: b for w, b in fresh.items() if len(w) <= 64})
+        added = [t.content for t in tok.get_added_tokens_decoder().values()]
+        _loaded[tokenizer_path] = (tok, _rank_encoder(tok), added)
+    return _loaded[tokenizer_path]
+
+
+def token_bytes(texts: list[str | None], tokenizer_path: str) -> list[bytes]:
+    """The ids of each text as unsigned 32-bit integers, little-endian (as the machines
+    are). The strings of added tokens are those tokens, as in the library."""
+    tok, ranks, added = _load(tokenizer_path)
+
+    def ids(text: str) -> list[int]:
+        if ranks is None or any(a in text for a in added) or _WIDE.search(text):
+            return tok.encode(text, add_special_tokens=False).ids
+        return ranks.encode_ordinary(text)
+
+    out = []
+    for text in texts:
+        done, at = [], 0
+        while text and len(text) - at > PART and (cut := _CUT.search(text, at + PART)):
+            done.append(array("I", ids(text[at : cut.start() + 1])).tobytes())
+            at = cut.start() + 1
+        done.append(array("I", ids(text[at:])).tobytes() if text else b"")
+        out.append(b"".join(done))
     return out
 
 

@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 from examflow.operators.rowindex import ranges
 from examflow.session import scratch_path
 
-from .frames import python_ready, written
+from .frames import byte_letters, python_ready, written
 
 END_ID = 2
 SHARD_TOKENS = 1 << 22
@@ -61,14 +61,6 @@ _loaded: dict[str, tuple] = {}
 # --- encoding -----------------------------------------------------------------------
 
 
-def _byte_letters() -> dict[str, int]:
-    """The letters of byte-level vocabularies: printable bytes are their own, the others
-    follow from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
-
-
 # Words of Latin-1 letters in lower case have the bytes a-z, C3 and, behind it, 9F and
 # A0-BF. Each byte, and each last byte of a word but C3, has an ASCII sign of its own.
 _INSIDE, _ENDING = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
@@ -93,7 +85,7 @@ class PlainWords:
     def __init__(self, vocabulary: dict[str, int]):
         import tiktoken
 
-        letters, ranks = _byte_letters(), {}
+        letters, ranks = byte_letters(), {}
         for token, rank in vocabulary.items():
             ends = token.endswith("</w>") and len(token) > 4
             data = np.asarray([letters.get(c, 0) for c in (token[:-4] if ends else token)], np.uint8)
