@@ -23,8 +23,10 @@ at s = 0.8, 2e-8 at 0.85 for 5 x 30. The signature tests err below 1e-7.
 * A word is ``[^\\x20\\x09-\\x0D]+``, lower-cased A-Z. With fewer than ``width`` words
   the whole sequence is the one shingle. Null, empty and blank texts have no set,
   are linked with nothing and are kept.
-* Rows that share a doc_id count as one document; all are in its component. Rows
-  without a doc_id take no part: no component, kept.
+* Rows that share a doc_id count as one document: those that have words are in one
+  component, and so is what any of them is linked with. Rows without a doc_id take no
+  part: no component, kept. ``keep_one`` judges rows, not documents.
+* Very long texts: a signature is one pass over their shingles, 1,024 at a time.
 * An empty table gives no rows; extra columns are dropped.
 """
 
@@ -32,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import python_ready, written
@@ -241,19 +243,36 @@ def near_duplicates(docs: DataFrame, num: int = 100, den: int = 80, width: int =
         if final:
             break
 
+    # the classes of one document, where rows share a doc_id
+    several = signed.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(
+        *[F.min(c).alias(f"lo_{c}") for c in ("n", "k1", "k2")], *[F.max(c).alias(f"hi_{c}") for c in ("n", "k1", "k2")]
+    ).filter("lo_n <> hi_n or lo_k1 <> hi_k1 or lo_k2 <> hi_k2").select("doc_id")
+    if not several.isEmpty():
+        one = signed.join(several, "doc_id").filter("n > 0").select("doc_id", "n", "k1", "k2").distinct()
+        joined = one.join(classes.select("n", "k1", "k2", "rep"), ["n", "k1", "k2"]).select(
+            F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(joined))
+
     top = classes.select("n", "k1", "k2", "rep").join(found, F.col("rep") == F.col("node"), "left").select(
         "n", "k1", "k2", F.coalesce("component", "rep").alias("c"))
     own = signed.join(top, ["n", "k1", "k2"], "left").withColumn("c", F.coalesce("c", "doc_id"))
-    # a repeated doc_id with several texts is one node
     return own.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("c"))
                       .alias("component_id"), F.coalesce(F.col("doc_id") == F.col("c"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, num: int = 100, den: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group, all columns."""
-    drop = near_duplicates(docs, num, den).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(drop, docs["doc_id"] == drop["_gone"], "left_anti")
-    # repeated rows of one id are copies too
-    order = Window.partitionBy("doc_id").orderBy("text")
-    first = left.filter("doc_id is not null").withColumn("_copy", F.row_number().over(order))
-    return first.filter("_copy = 1").drop("_copy").unionByName(left.filter("doc_id is null"))
+    """The rows of ``docs`` that stay: one of each group of near copies, all columns.
+
+    Rows are judged, not doc_ids: rows that share one but not their text stay, and of
+    equal rows one does. It is the row of the smallest doc_id; where doc_ids repeat, the
+    first by place in the table. Rows without words or doc_id stay.
+    """
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    if ids.isEmpty():
+        gone = near_duplicates(docs, num, den).filter("not kept").select(F.col("doc_id").alias("_gone"))
+        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    # every row gets a number of its own, written down so that it stays the same
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    gone = near_duplicates(rows.filter("doc_id is not null").select(F.col("_row").alias("doc_id"), "text"), num, den
+                           ).filter("not kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
