@@ -48,8 +48,9 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-# A trained classifier, automata and bin packing have no SQL form; the tests hold
-# every stage against brute force instead.
+# A trained classifier, automata and bin packing have no SQL form. The tests hold the
+# operators behind near_dedup, substring_dedup and packing against brute force, toxicity
+# against held-out labels, and the stages against those operators.
 ORACLE_SQL = None
 
 
