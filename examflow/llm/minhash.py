@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from examflow.operators.rowindex import row_numbers
+
 from .frames import python_ready, written
 from .words import blocks, mix, powers, rolling
 
@@ -264,15 +266,18 @@ def keep_one(docs: DataFrame, num: int = 100, den: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of near copies, all columns.
 
     Rows are judged, not doc_ids: rows that share one but not their text stay, and of
-    equal rows one does. It is the row of the smallest doc_id; where doc_ids repeat, the
+    equal rows one does: the row of the smallest doc_id, and of rows that share it the
     first by place in the table. Rows without words or doc_id stay.
     """
     ids = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     if ids.isEmpty():
         gone = near_duplicates(docs, num, den).filter("not kept").select(F.col("doc_id").alias("_gone"))
         return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    # every row gets a number of its own, written down so that it stays the same
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    # every row gets a number of its own, ascending with doc_id, written down so that it
+    # stays the same; ids alone are sorted
+    placed = written(docs.withColumn("_place", F.monotonically_increasing_id()), "rows")
+    numbers = row_numbers(placed.select("doc_id", "_place"), ("doc_id", "_place"), "_row")
+    rows = written(placed.join(numbers.select("_place", "_row"), "_place").drop("_place"), "rows")
     gone = near_duplicates(rows.filter("doc_id is not null").select(F.col("_row").alias("doc_id"), "text"), num, den
                            ).filter("not kept").select(F.col("doc_id").alias("_row"))
     return rows.join(gone, "_row", "left_anti").select(*docs.columns)
