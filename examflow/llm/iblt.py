@@ -7,8 +7,8 @@ of ``s`` cells; each digest is added to one cell of each table, and a cell holds
 versions cancels what they share. Peeling takes digests from cells that hold just
 one (its check hash fits) out of their other cells, until nothing is left: then the
 differing digests of both sides are known. If digests remain, the comparison is
-tried again with a larger sketch: first 3 * 4 cells; then 3 * 8 in each of so many
-sub-sketches that some 8 digests meet in one; then 3 * 32 and 3 * 128 for those of
+tried again with a larger sketch: first 3 * 4 cells; then 3 * 4 in each of so many
+sub-sketches that some 4 digests meet in one; then 3 * 16 and 3 * 64 for those of
 them that still fail; digests that share all cells even there are compared as such.
 
 Everything is a DataFrame expression on one row; no Python runs on executors.
@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 
 from .frames import partitions
 
-LONG_LINE = 0  # lines of more code points are cut after sentence ends: all that are not blank
-SMALL, SUB, RETRIES = 4, 8, (32, 128)  # cells of one table
-SHARE = 8  # digests that meet in a sub-sketch, on average
+SMALL, SUB, RETRIES = 4, 4, (16, 64)  # cells of one table
+SHARE = 4  # digests that meet in a sub-sketch, on average
 ROUNDS = 10
 RANGES = 65_536  # at most so many ranges of doc_id
 _ID = "_id"
@@ -49,9 +48,21 @@ def digests(text: Column) -> Column:
 
 
 def _entry(key: Column, count: Column, s: int) -> Column:
-    # its cell in each of the three tables, which lie one after another
-    places = F.array(*[(F.pmod(F.xxhash64(key, F.lit(j)), F.lit(s)) + j * s).cast("int") for j in range(3)])
-    return F.struct(count.alias("n"), key.alias("k"), F.xxhash64(key, F.lit("check")).alias("c"), places.alias("p"))
+    # its cell in each of the three tables, which lie one after another: as bits of a
+    # long where they fit
+    places = [(F.pmod(F.xxhash64(key, F.lit(j)), F.lit(s)) + j * s).cast("int") for j in range(3)]
+    if 3 * s < 64:
+        bits = [F.call_function("shiftleft", F.lit(1).cast("long"), p) for p in places]
+        where = bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+    else:
+        where = F.array(*places)
+    return F.struct(count.alias("n"), key.alias("k"), F.xxhash64(key, F.lit("check")).alias("c"), where.alias("p"))
+
+
+def _lies_in(entry: Column, cell: Column, s: int) -> Column:
+    if 3 * s < 64:
+        return F.getbit(entry["p"], cell) == F.lit(1).cast("byte")
+    return F.array_contains(entry["p"], cell)
 
 
 def _plus(a: Column, b: Column, sign: int) -> Column:
@@ -64,7 +75,7 @@ def sketch(keys: Column, s: int) -> Column:
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
     entries = F.transform(keys, lambda k: _entry(k, F.lit(1), s))
     return _let(entries, lambda e: F.transform(F.lit(list(range(3 * s))), lambda t: F.aggregate(
-        F.filter(e, lambda x: F.array_contains(x["p"], t)), zero, lambda a, x: _plus(a, x, 1))))
+        F.filter(e, lambda x: _lies_in(x, t, s)), zero, lambda a, x: _plus(a, x, 1))))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -84,7 +95,7 @@ def peel(cells: Column, s: int) -> Column:
         def take(found: Column) -> Column:
             rest = _let(F.transform(found, lambda i: _entry(i["k"], i["n"], s)), lambda e: F.transform(
                 state["cells"], lambda c, at: F.aggregate(
-                    F.filter(e, lambda x: F.array_contains(x["p"], at)), c, lambda a, x: _plus(a, x, -1))))
+                    F.filter(e, lambda x: _lies_in(x, at, s)), c, lambda a, x: _plus(a, x, -1))))
             return F.struct(rest.alias("cells"), F.concat(state["found"], found).alias("found"),
                             F.lit(True).alias("live"))
 
@@ -108,9 +119,10 @@ def differing(a: Column, b: Column, small: Column) -> Column:
     gap = F.abs(F.size(a) - F.size(b))
     attempt = lambda x, y, s: _recovered(subtract(sketch(x, s), sketch(y, s)), s)
 
-    def cut(x: Column, y: Column, share: int, salt: str, then) -> Column:
-        """Sum of ``then`` over parts that hold some ``share`` digests each."""
-        part = lambda z, n, t: F.filter(z, lambda k: F.pmod(F.xxhash64(k, F.lit(salt)), n) == t)
+    def cut(x: Column, y: Column, share: int, shift: int, then) -> Column:
+        """Sum of ``then`` over parts that hold some ``share`` digests each, by the
+        digests' own bits from ``shift`` on."""
+        part = lambda z, n, t: F.filter(z, lambda k: F.pmod(F.shiftright(k, shift), n) == t)
         every = lambda n: F.aggregate(
             F.sequence(F.lit(0).cast("long"), n - 1), F.lit(0),
             lambda total, t: total + _let(part(x, n, t), lambda v: _let(part(y, n, t), lambda w: then(v, w))))
@@ -122,7 +134,7 @@ def differing(a: Column, b: Column, small: Column) -> Column:
                           F.size(F.array_except(x, y)) + F.size(F.array_except(y, x)))
 
     # in two steps, so that a long text is not searched once for each sub-sketch
-    spread = cut(a, b, 16 * SHARE, "group", lambda x, y: cut(x, y, SHARE, "part", sub))
+    spread = cut(a, b, 16 * SHARE, 0, lambda x, y: cut(x, y, SHARE, 32, sub))
     return F.coalesce(F.when(gap <= 3 * SMALL, _recovered(small, SMALL)), spread)
 
 
@@ -184,16 +196,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     edited_fingerprint, near_edited, near_next."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("d", digests(F.col("text")))
-    rows = with_next(base, ["text", "d"])
+    rows = with_next(base.withColumn("sd", sketch(F.col("d"), SMALL)), ["text", "d", "sd"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.select(
-        "doc_id", "d", F.col("next_d").alias("x"), n.cast("long").alias("n_chars"),
+        "doc_id", "d", "sd", F.col("next_d").alias("x"), F.col("next_sd").alias("sx"), n.cast("long").alias("n_chars"),
         F.concat(F.substring(F.col("text"), F.lit(1), n - half),
                  F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"))
-    rows = rows.select("doc_id", "n_chars", "d", "x", digests(F.col("edited")).alias("e"),
+    rows = rows.select("doc_id", "n_chars", "d", "x", "sd", "sx", digests(F.col("edited")).alias("e"),
                        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
-    rows = rows.select("*", *[sketch(F.col(c), SMALL).alias(f"s{c}") for c in "dex"])
+    rows = rows.withColumn("se", sketch(F.col("e"), SMALL))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256",
         as_text(F.col("d"), F.col("sd")).alias("fingerprint"),

@@ -48,7 +48,7 @@ def shingles(text):
 def paragraphs(text):
     out = set()
     for line in (text or "").split("\n"):
-        out |= set(re.split(r"(?<=[.!?]) ", line) if len(line) > iblt.LONG_LINE else [line])
+        out |= set(re.split(r"(?<=[.!?]) ", line))
     return out - {""}
 
 
