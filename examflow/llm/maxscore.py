@@ -14,12 +14,15 @@ group of bounded size; the tops of the shards are merged by a window limit.
   or infinite components take no part, nor do rows without an id. A shorter vector
   counts as padded with 0. Repeated rows are candidates of their own; equal repeated
   query rows are one query, and a query's own id is never its candidate.
-* Ties go to the smaller vec_id. Scores beyond 64 bits are held at its ends.
+* Ties go to the smaller vec_id. Scores beyond 64 bits are held at its ends, and so
+  are scaled components beyond the range of doubles.
 * Empty table: no rows. Extra columns are dropped.
 """
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +33,7 @@ from .frames import python_ready
 QUERY_BLOCK = 1024
 SHARD = 8192
 _TOP = (1 << 63) - 1
+_MOST = sys.float_info.max
 
 
 def top_of_shard(ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarray, k: int,
@@ -104,7 +108,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     python_ready(spark)
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     # floor of a double stays a double here, so that huge values don't overflow
-    whole = lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x * scale).cast("double")).otherwise(x * scale)
+    held = lambda x: F.greatest(F.least(x, F.lit(_MOST)), F.lit(-_MOST))
+    whole = lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x * scale).cast("double")).otherwise(held(x * scale))
     vecs = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).filter(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", finite)
     ).withColumn("v", F.transform("v", whole))
@@ -121,7 +126,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
         if len(a) and len(b):
             width = max(map(len, [*a["v"], *b["v"]]))
             c, qs = _matrix(list(b["v"]), width), _matrix(list(a["v"]), width)
-            high = np.abs(c).max(initial=0) * np.abs(qs).max(initial=0) * max(width, 1)
+            high = float(np.abs(c).max(initial=0)) * float(np.abs(qs).max(initial=0)) * max(width, 1)
             if high < 2**23:
                 c, qs = c.astype(np.float32), qs.astype(np.float32)
             elif high >= 2**52:  # exact in Python integers

@@ -73,11 +73,13 @@ _BASE32 = " || ".join(
 OP7 = f"""
 WITH digests AS (
   SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
-firsts AS (SELECT h, n, min(page_id) AS f FROM digests GROUP BY h, n)
-SELECT page_id, d.n AS payload_bytes, {_BASE32.replace("(h,", "(d.h,")} AS payload_digest,
-  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> f THEN f END AS refers_to
-FROM digests d JOIN firsts USING (h, n)
+ranked AS (
+  SELECT page_id, n, h, min(page_id) OVER (PARTITION BY h, n) AS f,
+    row_number() OVER (PARTITION BY h, n ORDER BY page_id NULLS LAST) AS k FROM digests)
+SELECT page_id, n AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN k > 1 THEN f END AS refers_to
+FROM ranked
 """
 
 OP9 = """

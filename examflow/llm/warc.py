@@ -4,7 +4,8 @@ Writing: every page is one record; of pages with the same payload the one with t
 smallest page_id is a ``response`` and the others are ``revisit`` records that
 name it. A payload longer than ``segment_bytes`` is cut (between code points) into
 WARC segments: the first is the record, the next are ``continuation`` records. One
-output row is one segment, so no task builds a whole oversized record.
+output row is one segment, cut from the payload's Arrow buffer as it is written; the
+page's own cell is whole, as Parquet holds it, but no record is built beside it.
 Files are gzip text written by Spark with ``\\n`` between rows, hence byte for
 byte WARC (a record ends with CRLF CRLF; its last LF is the row separator).
 
@@ -14,8 +15,9 @@ bytes, running SHA-1 and length of the payload so far). The last chunk of a reco
 carries the digest of the whole payload. Memory: one segment and one chunk.
 
 * A null html is an empty payload. A null page_id is written as ``null``; among
-  equal payloads it is never the one referred to if another has an id. Repeated
-  rows with the same id and payload: all but one are revisits of that id.
+  equal payloads it is never the one referred to if another has an id, and if none
+  has, one row is the response and the others revisit ``null``. Repeated rows with
+  the same id and payload: all but one are revisits of that id.
 * Payloads under ``min_revisit_bytes`` are all responses.
 * Empty table: an archive without records. Extra columns are ignored.
 """
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from examflow.session import scratch_path
 
-from .frames import python_ready
+from .frames import python_ready, written
 
 SEGMENT_BYTES = 1 << 20
 CHUNK_BYTES = 1 << 18
@@ -47,23 +49,24 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _segments(data: bytes, limit: int) -> Iterator[bytes]:
+def _segments(data: memoryview, limit: int) -> Iterator[bytes]:
     at = 0
     while at < len(data) or at == 0:
         end = min(at + limit, len(data))
         while end < len(data) and data[end] & 0xC0 == 0x80:
             end -= 1
-        yield data[at:end]
+        yield bytes(data[at:end])
         at = end
         if at >= len(data):
             return
 
 
-def record_rows(page_id: str, url: str, payload: bytes, digest: str, length: int, revisit: bool,
+def record_rows(page_id: str, url: str, payload: memoryview, digest: str, length: int, revisit: bool,
                 refers_to: str, segment_bytes: int) -> Iterator[str]:
     """The text of each segment of one record, without its last LF."""
-    parts = [b""] if revisit else list(_segments(payload, segment_bytes))
-    for k, part in enumerate(parts, 1):
+    segmented, written_bytes = not revisit and len(payload) > segment_bytes, 0
+    for k, part in enumerate([b""] if revisit else _segments(payload, segment_bytes), 1):
+        written_bytes += len(part)
         head = [
             "WARC/1.1",
             f"WARC-Type: {'revisit' if revisit else 'continuation' if k > 1 else 'response'}",
@@ -76,11 +79,11 @@ def record_rows(page_id: str, url: str, payload: bytes, digest: str, length: int
         if revisit:
             head += [f"WARC-Refers-To: <urn:page:{refers_to}>",
                      "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-        if len(parts) > 1:
+        if segmented:
             head += [f"WARC-Segment-Number: {k}"]
             if k > 1:
                 head += [f"WARC-Segment-Origin-ID: <urn:page:{page_id}>"]
-            if k == len(parts):
+            if written_bytes == len(payload):
                 head += [f"WARC-Segment-Total-Length: {length}"]
         head += ["Content-Type: text/html", f"Content-Length: {len(part)}", "", ""]
         yield "\r\n".join(head) + part.decode("utf-8", "surrogatepass") + "\r\n\r"
@@ -95,28 +98,41 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0,
         "page_id", "url", F.coalesce("html", F.lit("")).alias("html"),
         F.sha1(payload).alias("sha"), F.octet_length(payload).cast("long").alias("n"),
     )
-    # narrow: equal payloads meet as (digest, length) only, summed before the shuffle
-    firsts = rows.groupBy("sha", "n").agg(
-        F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")
+    # narrow: equal payloads meet as (digest, length, id) only, summed before the shuffle
+    narrow = written(rows.groupBy("sha", "n", "page_id").agg(F.count(F.lit(1)).alias("rows")), "digests")
+    firsts = narrow.groupBy("sha", "n").agg(
+        F.min("page_id").alias("first_id"), F.sum("rows").alias("copies"),
+        F.coalesce(F.min_by("rows", "page_id"), F.sum("rows")).alias("of_first"),  # no id: all are first
     ).filter((F.col("copies") > 1) & (F.col("n") >= min_revisit_bytes))
-    # a page that revisits another carries no payload, so its html stays behind
+    first = F.col("page_id").eqNullSafe(F.col("first_id")) | F.col("copies").isNull()
     decided = (
-        rows.join(firsts, ["sha", "n"], "left")
-        .withColumn("revisit", F.col("first_id").isNotNull()
-                    & ~F.col("page_id").eqNullSafe(F.col("first_id")))
+        rows.join(firsts, ["sha", "n"], "left").withColumn("revisit", ~first)
         .withColumn("html", F.when(F.col("revisit"), F.lit("")).otherwise(F.col("html")))
-        .select("page_id", "url", "html", "sha", "n", "revisit", "first_id")
     )
+    columns = ["page_id", "url", "html", "sha", "n", "revisit", "first_id"]
+    tied = firsts.filter("of_first > 1")
+    if tied.isEmpty():
+        decided = decided.select(columns)
+    else:
+        # several rows are first: written once, so that their numbers stay, and the
+        # smallest number is the response
+        alike = F.coalesce(~F.col("revisit") & (F.col("of_first") > 1), F.lit(False))
+        ties = written(decided.filter(alike).withColumn("place", F.monotonically_increasing_id()), "ties")
+        one = ties.groupBy("sha", "n").agg(F.min("place").alias("place")).select("place", F.lit(True).alias("one"))
+        chosen = ties.drop("revisit").join(one, "place", "left").withColumn("revisit", F.col("one").isNull())
+        chosen = chosen.withColumn("html", F.when(F.col("revisit"), F.lit("")).otherwise(F.col("html")))
+        decided = decided.filter(~alike).select(columns).unionByName(chosen.select(columns))
 
     def encode(batches):
         rows, size = [], 0
         for batch in batches:
-            for r in (one for k in range(batch.num_rows) for one in batch.slice(k, 1).to_pylist()):
+            payloads = batch.column(2).cast(pa.binary())
+            for k, r in enumerate(batch.drop_columns(["html"]).to_pylist()):
                 digest = base64.b32encode(bytes.fromhex(r["sha"])).decode()
                 url = "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in r["url"] or "")
-                page = "null" if r["page_id"] is None else str(r["page_id"])
-                for row in record_rows(page, url, r["html"].encode("utf-8"), digest, r["n"],
-                                       r["revisit"], str(r["first_id"]), segment_bytes):
+                name = lambda i: "null" if i is None else str(i)
+                for row in record_rows(name(r["page_id"]), url, memoryview(payloads[k].as_buffer()), digest, r["n"],
+                                       r["revisit"], name(r["first_id"]), segment_bytes):
                     rows.append(row)
                     size += len(row)
                     if size >= segment_bytes:

@@ -5,6 +5,7 @@ import base64
 import collections
 import hashlib
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -315,20 +316,24 @@ def test_automaton_matches_brute_force():
 def test_warc_round_trip(spark, scratch):
     big = "line é\r\nWARC/1.1\r\n\r\nx" * 20_000
     rows = [(1, "http://a", "<p>x</p>"), (2, "http://b\r\nX: y", "<p>x</p>"), (3, None, None), (4, "u", ""),
-            (5, "u", big), (6, "u", "\r\n\r\nWARC/1.0\r\n\n"), (7, "u", big), (7, "u", big)]
+            (5, "u", big), (6, "u", "\r\n\r\nWARC/1.0\r\n\n"), (7, "u", big), (7, "u", big),
+            # the first row twice, without another, with one, and rows without an id
+            (8, "u", "two"), (8, "v", "two"), (1, "http://a", "<p>x</p>"), (None, "u", "no id"), (None, "v", "no id"),
+            (None, None, "two")]
     pages = spark.createDataFrame([(*r, "d") for r in rows], "page_id long, url string, html string, sha string")
     for least in (0, 100):
         path = scratch("warc")
         warc.write_warc(pages, path, least, segment_bytes=4096)
         chunks = warc.read_warc(spark, path, chunk_bytes=1000)
         assert chunks.agg(F.max("chunk_bytes")).first()[0] < 4200
-        first = {}
-        for i, _, h in rows:
+        first, seen = {}, set()
+        for i, _, h in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
             first.setdefault((h or "").encode(), i)
         expect = collections.Counter()
-        for i, _, h in rows:
+        for i, _, h in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
             b = (h or "").encode()
-            again = len(b) >= least and first[b] != i
+            again = len(b) >= least and b in seen
+            seen.add(b)
             expect[i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", first[b] if again else None] += 1
         assert collections.Counter(tuple(r) for r in warc.page_records(chunks).collect()) == expect
     assert warc.archive_pages(pages.limit(0)).count() == 0
@@ -356,6 +361,11 @@ def test_maxscore(spark):
     rows = [(i, rng.normal(size=16).tolist()) for i in range(400)]
     rows += [(400, None), (401, [None] * 16), (402, [float("nan")] * 16), (403, [float("inf")] * 16), (404, []),
              (405, [1.0, 2.0]), (None, [1.0] * 16), (420, [0.0] * 16), (440, rows[0][1]), (460, [1e30] * 16)]
+    edge = sys.float_info.max
+    ends = spark.createDataFrame([(20, [edge, -edge]), (21, [edge / 2, -1e307]), (22, [-edge, 1.0]), (23, [0.0, 0.0])],
+                                 "vec_id long, embedding array<double>")
+    got = maxscore.top_k(ends, F.col("vec_id") % 20 == 0, k=3).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(21, 2**63 - 1), (23, 0), (22, -(2**63))]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int")
     good = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows
             if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
