@@ -1,6 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a line or, in a line of any length, a part that ends at a sentence end.
+A paragraph is a line or, in a line of any length, a part that ends at a sentence end or
+after a word (what lies between blanks) whose hash has six zero bits, one word in 64: so
+runs without sentence ends are cut by their content too, and an edit moves only the cuts
+beside it.
 A text is the set of its paragraphs' 64-bit digests. A sketch has three tables
 of ``s`` cells; each digest is added to one cell of each table, and a cell holds
 (count, xor of digests, xor of check hashes). Subtracting the sketches of two
@@ -18,7 +21,8 @@ Everything is a DataFrame expression on one row; no Python runs on executors.
 * The next document is the next row by (doc_id, text), null ids first, and the first
   row after the last. One row is its own next. Repeated rows each get a result. An
   empty table gives no rows; extra columns are dropped.
-* A line without sentence ends is one paragraph, however long.
+* A run without blanks is one word and is never cut, however long; neither is a line of
+  few different words none of which is chosen.
 * Very long texts: work grows with the paragraphs, times their groups of some 128.
 """
 
@@ -32,6 +36,7 @@ from .frames import partitions
 SMALL, SUB, RETRIES = 4, 4, (16, 64)  # cells of one table
 SHARE = 4  # digests that meet in a sub-sketch, on average
 ROUNDS = 10
+GROUP = 64  # words of a group, on average
 RANGES = 65_536  # at most so many ranges of doc_id
 _ID = "_id"
 
@@ -43,7 +48,9 @@ def _let(value: Column, f) -> Column:
 
 def digests(text: Column) -> Column:
     """Distinct paragraph digests of a text, as array<long>."""
-    paragraphs = F.split(text, r"\n|(?<=[.!?]) ")
+    ends = lambda w: F.xxhash64(w, F.lit("end")).bitwiseAND(F.lit(GROUP - 1)) == 0
+    marked = F.transform(F.split(text, " "), lambda w: F.when(ends(w), F.concat(w, F.lit("\n"))).otherwise(w))
+    paragraphs = F.split(F.array_join(marked, " "), r"\n ?|(?<=[.!?]) ")
     return F.array_distinct(F.transform(F.filter(paragraphs, lambda x: x != ""), lambda x: F.xxhash64(x)))
 
 
@@ -65,52 +72,62 @@ def _lies_in(entry: Column, cell: Column, s: int) -> Column:
     return F.array_contains(entry["p"], cell)
 
 
-def _plus(a: Column, b: Column, sign: int) -> Column:
-    count = a["n"] + b["n"] if sign > 0 else a["n"] - b["n"]
-    return F.struct(count.alias("n"), a["k"].bitwiseXOR(b["k"]).alias("k"), a["c"].bitwiseXOR(b["c"]).alias("c"))
+def _cell(count: Column, keys: Column, checks: Column) -> Column:
+    return F.struct(count.alias("n"), keys.alias("k"), checks.alias("c"))
+
+
+def _xor(start: Column, entries: Column, field: str) -> Column:
+    return F.aggregate(entries, start, lambda a, x: a.bitwiseXOR(x[field]))
 
 
 def sketch(keys: Column, s: int) -> Column:
     """The 3 * s cells of a set of digests: array<struct<n, k, c>>."""
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
+    zero = F.lit(0).cast("long")
     entries = F.transform(keys, lambda k: _entry(k, F.lit(1), s))
-    return _let(entries, lambda e: F.transform(F.lit(list(range(3 * s))), lambda t: F.aggregate(
-        F.filter(e, lambda x: _lies_in(x, t, s)), zero, lambda a, x: _plus(a, x, 1))))
+    return _let(entries, lambda e: F.transform(F.lit(list(range(3 * s))), lambda t: _let(
+        F.filter(e, lambda x: _lies_in(x, t, s)), lambda f: _cell(F.size(f), _xor(zero, f, "k"), _xor(zero, f, "c")))))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: _plus(x, y, -1))
+    return F.zip_with(a, b, lambda x, y: _cell(
+        x["n"] - y["n"], x["k"].bitwiseXOR(y["k"]), x["c"].bitwiseXOR(y["c"])))
 
 
 def peel(cells: Column, s: int) -> Column:
     """struct<cells, found>: ``found`` the recovered (n, k): n = 1 only in the first
-    version, -1 only in the second. Complete if all cells are zero."""
-    none = F.filter(F.transform(cells, lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"))), lambda c: F.lit(False))
+    version, -1 only in the second. Complete if ``cells`` is empty; else null ``found``
+    or cells that are left."""
+    none = F.array().cast("array<struct<n: int, k: bigint>>")
+    over = F.array().cast("array<struct<n: int, k: bigint, c: bigint>>")
 
     def one_round(state: Column, _: Column) -> Column:
         single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (
             F.xxhash64(c["k"], F.lit("check")) == c["c"]))
         items = F.array_distinct(F.transform(single, lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"))))
 
+        def without(c: Column, f: Column) -> Column:
+            return F.when(F.size(f) == 0, c).otherwise(_cell(
+                F.aggregate(f, c["n"], lambda a, x: a - x["n"]), _xor(c["k"], f, "k"), _xor(c["c"], f, "c")))
+
         def take(found: Column) -> Column:
             rest = _let(F.transform(found, lambda i: _entry(i["k"], i["n"], s)), lambda e: F.transform(
-                state["cells"], lambda c, at: F.aggregate(
-                    F.filter(e, lambda x: _lies_in(x, at, s)), c, lambda a, x: _plus(a, x, -1))))
-            return F.struct(rest.alias("cells"), F.concat(state["found"], found).alias("found"),
-                            F.lit(True).alias("live"))
+                state["cells"], lambda c, at: _let(
+                    F.filter(e, lambda x: _lies_in(x, at, s)), lambda f: without(c, f))))
+            return F.struct(rest.alias("cells"), F.concat(state["found"], found).alias("found"))
 
-        stop = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("live"))
-        return F.when(~state["live"], state).otherwise(
+        empty = F.forall(state["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0))
+        stop = F.struct(over.alias("cells"), F.when(empty, state["found"]).alias("found"))
+        return F.when(F.size(state["cells"]) == 0, state).otherwise(
             _let(items, lambda found: F.when(F.size(found) == 0, stop).otherwise(take(found))))
 
-    start = F.struct(cells.alias("cells"), none.alias("found"), F.lit(True).alias("live"))
+    start = F.struct(cells.alias("cells"), none.alias("found"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one_round)
 
 
 def _recovered(cells: Column, s: int) -> Column:
     """Number of differing digests, null if peeling stops short."""
     return _let(peel(cells, s), lambda r: F.when(
-        F.forall(r["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0)), F.size(r["found"])))
+        (F.size(r["cells"]) == 0) & r["found"].isNotNull(), F.size(r["found"])))
 
 
 def differing(a: Column, b: Column, small: Column) -> Column:
@@ -123,11 +140,9 @@ def differing(a: Column, b: Column, small: Column) -> Column:
         """Sum of ``then`` over parts that hold some ``share`` digests each, by the
         digests' own bits from ``shift`` on."""
         part = lambda z, n, t: F.filter(z, lambda k: F.pmod(F.shiftright(k, shift), n) == t)
-        every = lambda n: F.aggregate(
+        return _let(((F.size(x) + F.size(y)) / share).cast("long") + 1, lambda n: F.aggregate(
             F.sequence(F.lit(0).cast("long"), n - 1), F.lit(0),
-            lambda total, t: total + _let(part(x, n, t), lambda v: _let(part(y, n, t), lambda w: then(v, w))))
-        return _let(((F.size(x) + F.size(y)) / share).cast("long") + 1,
-                    lambda n: F.when(n == 1, then(x, y)).otherwise(every(n)))
+            lambda total, t: total + _let(part(x, n, t), lambda v: _let(part(y, n, t), lambda w: then(v, w)))))
 
     def sub(x: Column, y: Column) -> Column:
         return F.coalesce(*[attempt(x, y, s) for s in (SUB, *RETRIES)],

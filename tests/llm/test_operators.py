@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from examflow.llm import (
@@ -47,10 +48,12 @@ def shingles(text):
 
 
 def paragraphs(text):
-    out = set()
-    for line in (text or "").split("\n"):
-        out |= set(re.split(r"(?<=[.!?]) ", line))
-    return out - {""}
+    """Lines, cut after sentence ends and after words whose hash has six zero bits."""
+    def ends(w):
+        return xxhash.xxh64_intdigest(b"end", xxhash.xxh64_intdigest(w.encode(), 42)) % 64 == 0
+
+    marked = " ".join(w + "\n" if ends(w) else w for w in (text or "").split(" "))
+    return set(re.split(r"\n ?|(?<=[.!?]) ", marked)) - {""}
 
 
 def test_fingerprints(docs, none):
@@ -75,9 +78,19 @@ def test_line_cuts_do_not_depend_on_length(spark):
     rows = [(n, " ".join(parts[:n])) for n in (2, 10, 53, 54, 55, 56, 120)]  # 2,000 code points lie at 54
     got = {r.n: set(r.d) for r in spark.createDataFrame(rows, "n int, text string").select(
         "n", iblt.digests(F.col("text")).alias("d")).collect()}
-    assert all(len(d) == n and d <= got[120] for n, d in got.items())
+    assert all(len(d) == len(paragraphs(t)) and d <= got[120] for (n, t), d in zip(rows, (got[n] for n, _ in rows)))
     near = {r.doc_id: r.near_next for r in iblt.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert near[53] == pytest.approx(53 / 54) and near[56] == pytest.approx(56 / 120)
+    sizes = {n: len(paragraphs(t)) for n, t in rows}
+    assert near[53] == pytest.approx(sizes[53] / sizes[54]) and near[56] == pytest.approx(sizes[56] / sizes[120])
+
+
+def test_runs_without_sentence_ends_are_cut(spark):
+    """A line of 60,000 words is nearly that line with one word more, anywhere."""
+    line = [f"w{i * i % 40009}" for i in range(60_000)]
+    more = line[:30_000] + ["another"] + line[30_000:]
+    rows = spark.createDataFrame([(1, " ".join(line)), (2, " ".join(more)), (3, "end")], "doc_id long, text string")
+    got = {r.doc_id: r for r in iblt.fingerprints(rows).collect()}
+    assert 0.99 < got[1].near_next < 1 and got[1].near_edited > 0.3 and got[2].near_next == 0
 
 
 def test_peeling_many_differences(spark):
