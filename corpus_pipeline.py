@@ -48,9 +48,10 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-# A trained classifier, automata and bin packing have no SQL form. The tests hold the
-# operators behind near_dedup, substring_dedup and packing against brute force, toxicity
-# against held-out labels, and the stages against those operators.
+# A trained classifier, automata and bin packing have no SQL form. tests/llm/test_rows.py
+# holds near_dedup, substring_dedup and packing, row by row, against plain Python on whole
+# tables, and severities against plain Python for a given model; what the model learns is
+# held against labels it has not seen.
 ORACLE_SQL = None
 
 
