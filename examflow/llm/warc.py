@@ -19,6 +19,9 @@ carries the digest of the whole payload. Memory: one segment and one chunk.
   has, one row is the response and the others revisit ``null``. Repeated rows with
   the same id and payload: all but one are revisits of that id.
 * Payloads under ``min_revisit_bytes`` are all responses.
+* Many equal payloads: a payload with over 1/2,048 of all rows (so at most 2,048 of
+  them), and over ``rows_per_task``, is dealt to as many tasks as it weighs, by page_id
+  and url, when its pages meet their first one.
 * Empty table: an archive without records. Extra columns are ignored.
 """
 
@@ -38,6 +41,8 @@ from .frames import python_ready, written
 
 SEGMENT_BYTES = 1 << 20
 CHUNK_BYTES = 1 << 18
+MOST_HOT = 2048  # payloads that are split
+ROWS_PER_TASK = 4096
 CHUNKS = (
     "record_id string, warc_type string, uri string, refers_to string, header_digest string, "
     "header_length long, chunk_no long, chunk_bytes long, bytes_so_far long, "
@@ -90,7 +95,7 @@ def record_rows(page_id: str, url: str, payload: memoryview, digest: str, length
 
 
 def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0,
-               segment_bytes: int = SEGMENT_BYTES) -> None:
+               segment_bytes: int = SEGMENT_BYTES, rows_per_task: int = ROWS_PER_TASK) -> None:
     """``pages(page_id, url, html)`` -> .warc.gz text files under ``path``."""
     python_ready(pages.sparkSession)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
@@ -105,8 +110,17 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0,
         F.coalesce(F.min_by("rows", "page_id"), F.sum("rows")).alias("of_first"),  # no id: all are first
     ).filter((F.col("copies") > 1) & (F.col("n") >= min_revisit_bytes))
     first = F.col("page_id").eqNullSafe(F.col("first_id")) | F.col("copies").isNull()
+    # the html goes along here, so the pages of a hot payload are salted
+    share = max(rows_per_task, (narrow.agg(F.sum("rows")).first()[0] or 0) // MOST_HOT)
+    hot = F.broadcast(firsts.filter(F.col("copies") > share).select(
+        "sha", "n", F.ceil(F.col("copies") / share).cast("long").alias("ways")))
+    ways = F.coalesce("ways", F.lit(1).cast("long"))
+    salted = rows.join(hot, ["sha", "n"], "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), ways))
+    named = firsts.join(hot, ["sha", "n"], "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0).cast("long"), ways - 1)))
     decided = (
-        rows.join(firsts, ["sha", "n"], "left").withColumn("revisit", ~first)
+        salted.drop("ways").join(named.drop("ways"), ["sha", "n", "salt"], "left").drop("salt")
+        .withColumn("revisit", ~first)
         .withColumn("html", F.when(F.col("revisit"), F.lit("")).otherwise(F.col("html")))
     )
     columns = ["page_id", "url", "html", "sha", "n", "revisit", "first_id"]

@@ -1,5 +1,6 @@
 """Row by row: severities, shards and the pipeline's stages against plain Python."""
 
+import base64
 import collections
 import hashlib
 import math
@@ -12,7 +13,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from examflow.llm import sharding, toxicity
+from examflow.llm import sharding, toxicity, warc
 from examflow.llm.frames import written
 from examflow.llm.queries import public_tokenizer
 from examflow.llm.words import blocks
@@ -151,3 +152,19 @@ def test_pipeline_stages_of_each_row(spark, sf_small):
             end += length
         assert end <= 1024
     assert sorted(used) == list(range(len(used)))
+
+
+def test_archive_of_a_hot_payload(spark, scratch):
+    """The pages of a hot payload are split among tasks and still have one response."""
+    pages = [(i, f"http://x/{i % 7}", "<p>same</p>" if i % 3 else f"<p>{i // 6}</p>") for i in range(3, 240)]
+    path = scratch("warc")
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    warc.write_warc(table, path, rows_per_task=10)
+    first = {}
+    for i, _, html in pages:
+        first.setdefault(html, i)
+    want = {(i, "response" if first[h] == i else "revisit", None if first[h] == i else first[h],
+             base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), len(h)) for i, _, h in pages}
+    rows = warc.page_records(warc.read_warc(spark, path)).collect()
+    assert len(rows) == len(pages)
+    assert {(r.page_id, r.record_type, r.refers_to, r.payload_digest, r.payload_bytes) for r in rows} == want
