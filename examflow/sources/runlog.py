@@ -19,6 +19,9 @@ from pyspark.sql import types as T
 
 from ..functions.text import replace_model_slash
 
+TARGET_BYTES = 128 * 1024 * 1024  # of text in a log file
+NAMED_BYTES = 128 * 1024 * 1024  # of a log that one task puts in one file
+
 # key order of a log line
 LOG_FIELDS = ["id", "prompt", "full_response", "gold_answer"]
 LOG_SCHEMA = T.StructType(
@@ -34,7 +37,8 @@ LOG_SCHEMA = T.StructType(
 
 
 def empty_log(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], LOG_SCHEMA)
+    # known to be empty before it runs: nothing is shuffled to meet it
+    return spark.createDataFrame([], LOG_SCHEMA).where(F.lit(False))
 
 
 def read_log(
@@ -75,21 +79,25 @@ def _writer(df: DataFrame, mode: str, fmt: str):
     return w.format(fmt)
 
 
-def sized_by_subset(df: DataFrame, target_rows: int, key: str = "id") -> DataFrame:
-    """Lay rows out so a partitioned write makes files of about ``target_rows``.
+def sized_by_subset(df: DataFrame, target_rows: int, key: str = "id", target_bytes: int = TARGET_BYTES) -> DataFrame:
+    """Lay rows out so a partitioned write makes files of about ``target_rows``, or of
+    about ``target_bytes`` of text if that is less: a task sorts what it writes.
 
     A plain partitioned write from N tasks that each hold every subset makes
-    N x subsets small files. Here each subset gets ``ceil(rows / target)``
-    hash buckets (counted on the subset column alone, one small row per
-    subset to the driver) and rows are shuffled on ``(subset, bucket)``:
+    N x subsets small files. Here each subset gets as many hash buckets as its
+    rows or bytes ask for (one small row per subset to the driver) and rows are
+    shuffled on ``(subset, bucket)``:
     about one file per bucket, and a large subset is still spread over many
     tasks. ``df`` should be materialised (a staged table), as it is read
     twice.
     """
-    counts = {r["subset"]: r["n"] for r in df.groupBy("subset").agg(F.count(F.lit(1)).alias("n")).collect()}
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in texts), F.lit(0).cast("long"))
+    counts = df.groupBy("subset").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).collect()
     if not counts:
         return df
-    buckets = {s: max(1, -(-n // target_rows)) for s, n in counts.items() if s is not None}
+    buckets = {r["subset"]: max(1, -(-r["n"] // target_rows), -(-r["bytes"] // target_bytes))
+               for r in counts if r["subset"] is not None}
     per_subset = F.create_map(*[x for s, b in buckets.items() for x in (F.lit(s), F.lit(b))])
     bucket = F.pmod(F.xxhash64(F.col(key)), F.coalesce(per_subset[F.col("subset")], F.lit(1)))
     return df.repartition(max(1, sum(buckets.values())), F.col("subset"), bucket)
@@ -163,33 +171,50 @@ def list_subsets(spark: SparkSession, path: str) -> list[str]:
     return sorted({name for name, _, _ in _partitions(spark, path)})
 
 
+def _named_subset() -> Column:
+    """The subset that a ``<subset>_out.jsonl`` file or folder is named after."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)_out\.jsonl(/[^/]*)?$", 1)
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def read_named_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Logs kept as one ``<subset>_out.jsonl`` file per subset, in the same schema."""
+    """Logs kept as one ``<subset>_out.jsonl`` per subset, a file or a folder of files, in
+    the same schema."""
     fields = T.StructType([f for f in LOG_SCHEMA.fields if f.name not in ("subset", "run_id")])
-    lines = spark.read.schema(fields).option("mode", "FAILFAST").option(
-        "pathGlobFilter", "*_out.jsonl").json(path)
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"_out\.jsonl$", "")
-    subset = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
-    return lines.select(*LOG_FIELDS, F.lit(None).cast("string").alias("run_id"), subset.alias("subset"))
+    fs, Path = _fs(spark, path)
+    named = f"{path.rstrip('/')}/*_out.jsonl"
+    reader = spark.read.schema(fields).option("mode", "FAILFAST")
+    lines = reader.json(named) if fs.globStatus(Path(named)) else reader.option("pathGlobFilter", "*_out.jsonl").json(path)
+    return lines.select(*LOG_FIELDS, F.lit(None).cast("string").alias("run_id"), _named_subset().alias("subset"))
 
 
-def write_named_log(df: DataFrame, path: str, subset: str) -> None:
-    """The lines of one subset as the file ``<subset>_out.jsonl`` in ``path``, for readers
-    of that layout. It is one file, so one task writes it."""
+def write_named_log(df: DataFrame, path: str, subset: str, one_file_bytes: int = NAMED_BYTES) -> None:
+    """The lines of one subset as ``<subset>_out.jsonl`` in ``path``, for readers of that
+    layout: one file or, past ``one_file_bytes``, a folder of that name whose files hold
+    the lines in order. Every task writes its own lines; one task puts a small log together."""
+    spark = df.sparkSession
+    fs, Path = _fs(spark, path)
     scratch = f"{path.rstrip('/')}/_named-{uuid.uuid4().hex[:8]}"
-    df.select(*LOG_FIELDS).coalesce(1).write.option("ignoreNullFields", "false").json(scratch)
-    fs, Path = _fs(df.sparkSession, path)
-    part = fs.globStatus(Path(f"{scratch}/part-*"))[0].getPath()
+    parts, whole = f"{scratch}/parts", f"{scratch}/whole"
+    df.select(*LOG_FIELDS).write.option("ignoreNullFields", "false").json(parts)
     target = Path(f"{path.rstrip('/')}/{subset}_out.jsonl")
     if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(part, target)
+        fs.delete(target, True)
+    if fs.getContentSummary(Path(parts)).getLength() > one_file_bytes:
+        fs.rename(Path(parts), target)
+    else:
+        lines = spark.read.schema("value string").text(parts).select(
+            "value", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_line"))
+        lines.coalesce(1).sortWithinPartitions("_file", "_start", "_line").select("value").write.text(whole)
+        fs.rename(fs.globStatus(Path(f"{whole}/part-*"))[0].getPath(), target)
     fs.delete(Path(scratch), True)
 
 
 def read_mixed_logs(spark: SparkSession, path: str, subsets: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(log, torn): one log from both layouts under ``path``, the partitioned one and
-    ``<subset>_out.jsonl`` files beside it, told apart by where a line's file lies.
+    ``<subset>_out.jsonl`` files (or folders of files) beside it, told apart by where a
+    line's file lies.
 
     A writer that died leaves the start of a line at the end of its file. Such a line,
     the only one of its file that is no JSON, goes to ``torn(file, line)`` and its item is
@@ -213,12 +238,9 @@ def read_mixed_logs(spark: SparkSession, path: str, subsets: list[str] | None =
             "value string" if flat else "value string, run_id string, subset string").text(where)
         row = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
         rows = lines.where(F.trim("value") != "").select(
-            row.alias("r"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("_name"),
-            *([] if flat else ["run_id", "subset"])).select("r.*", "_file", "_name", *([] if flat else ["run_id", "subset"]))
-        if flat:
-            name = F.regexp_replace("_name", r"_out\.jsonl$", "")
-            rows = rows.withColumn("subset", F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))))
-            rows = rows.withColumn("run_id", F.lit(None).cast("string"))
+            row.alias("r"), F.col("_metadata.file_path").alias("_file"),
+            *([F.lit(None).cast("string").alias("run_id"), _named_subset().alias("subset")] if flat else ["run_id", "subset"])
+        ).select("r.*", "_file", "run_id", "subset")
         parts.append(rows.select(*[f.name for f in LOG_SCHEMA], "_file", "_bad"))
     if not parts:
         return empty_log(spark), spark.createDataFrame([], "file string, line string")

@@ -177,3 +177,13 @@ def test_one_file_per_subset_logs(spark, scratch):
             f.write(json.dumps(line) + "\n")
     rows = read_named_logs(spark, path).collect()
     assert {(r.subset, r.id, r.full_response) for r in rows} == {("AST_chinese", "1", "A)"), ("driving rule", "1", "A)")}
+
+
+def test_files_are_sized_by_bytes_too(spark):
+    from examflow.sources.runlog import sized_by_subset
+
+    df = spark.range(400).select(F.lit("s").alias("subset"), F.col("id").cast("string").alias("id"),
+                                 F.repeat(F.lit("x"), 1000).alias("prompt"))
+    layout = sized_by_subset(df, 200_000, target_bytes=40_000)
+    per_task = layout.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in per_task) == 400 and max(r["count"] for r in per_task) <= 250
