@@ -78,3 +78,43 @@ def test_context_length_needs_a_tokenizer(spark, sf_small, scratch):
 
     with pytest.raises(ValueError, match="context_length"):
         evaluate(spark, td.exam_item_sets(spark, sf_small), ReplayScores, scratch("run"), backend="hf", context_length=5)
+
+
+def test_counts_encode_few_texts_at_once():
+    """A batch of many texts is encoded in parts, and long texts are not kept."""
+    class Encoding:
+        def __init__(self, text):
+            self.ids = text.split()
+
+    class Parts:
+        most = 0
+
+        def encode_batch(self, texts, add_special_tokens):
+            self.most = max(self.most, sum(map(len, texts)))
+            return [Encoding(t) for t in texts]
+
+    tokenizer, parts = FileTokenizer("no file"), Parts()
+    FileTokenizer._loaded["no file"] = (parts, {})
+    texts = [f"{i} " + "a " * 50_000 for i in range(100)]
+    assert tokenizer.counts(texts) == [50_001] * 100 and parts.most <= FileTokenizer.AT_ONCE + 200_000
+    assert tokenizer.counts([*texts[:2], "b"]) == [50_001, 50_001, 1]
+    assert sum(map(len, FileTokenizer._loaded.pop("no file")[1])) <= FileTokenizer.KEPT_CHARS
+
+
+def test_a_context_is_taken_apart_once():
+    class Counted(PatternTokenizer):
+        seen = 0
+
+        def bounds(self, text):
+            Counted.seen += 1
+            return super().bounds(text)
+
+    from examflow.functions.tokens import cuts_left
+
+    for text in ("", "a b c d", " x", "w" * 5):
+        for pattern in (" ?[^ ]+| ", "[a-z]+", "( ?)[^ ]+", "q*"):
+            t = Counted(pattern)
+            assert list(zip(*(c.tolist() for c in t.bounds(text)), strict=True)) == t.spans(text)
+            Counted.seen = 0
+            cuts = cuts_left(text, ["A", " B"], 3, t)
+            assert Counted.seen == 1 and cuts == [cut_left(text, c, 3, t) for c in ("A", " B")]
