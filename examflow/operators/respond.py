@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package
+from ..session import ship_package, small_batches
 
 RESPONSE_SCHEMA = T.StructType(
     [
@@ -133,6 +133,7 @@ def respond(
     each further one. A ``PermissionError`` is final at once.
     """
     ship_package(df.sparkSession)
+    small_batches(df.sparkSession)
     payload = df.select(*keys, F.col(input_col).alias("__input"), *aside, *carry)
     out_schema = T.StructType(RESPONSE_SCHEMA.fields + [df.schema[c] for c in carry])
     if partitions:
@@ -215,6 +216,7 @@ def score_options(
     so an engine can share the context's work between them.
     """
     ship_package(requests.sparkSession)
+    small_batches(requests.sparkSession)
     payload = requests.select("subset", "id", "choice", "context", "continuation")
     if partitions:
         payload = payload.repartition(partitions, "subset", "id")
@@ -257,9 +259,10 @@ def score_items(
     earlier letter, NaN counts as the highest. An item without options has no response.
     With ``aside`` columns the model gets them as a third list, a dict an option.
     """
-    from ..functions.tokens import cut_left
+    from ..functions.tokens import cuts_left
 
     ship_package(items.sparkSession)
+    small_batches(items.sparkSession)
     payload = items.select("subset", "id", "context", "n_options", *aside, *carry)
     out_schema = T.StructType(RESPONSE_SCHEMA.fields + [items.schema[c] for c in carry])
 
@@ -268,11 +271,11 @@ def score_items(
         for pdf in batches:
             owner, contexts, letters = [], [], []
             for k, (context, n) in enumerate(zip(pdf["context"], pdf["n_options"], strict=True)):
-                for option in range(n):
-                    letter = chr(65 + option)
-                    owner.append(k)
-                    letters.append(letter)
-                    contexts.append(context if max_length is None else cut_left(context, letter, max_length, tokenizer)[0])
+                own = [chr(65 + option) for option in range(n)]
+                owner += [k] * n
+                letters += own
+                contexts += [context] * n if max_length is None else [
+                    cut[0] for cut in cuts_left(context, own, max_length, tokenizer)]
             args = [contexts, letters]
             if aside:
                 rows = pdf[list(aside)].to_dict("records")

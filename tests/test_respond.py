@@ -130,3 +130,16 @@ def test_refused_key_is_not_retried(spark):
 
     df = spark.createDataFrame([("s", "1", "p")], "subset string, id string, prompt string")
     assert respond(df, Refuses, max_tries=50).first().attempts == 1
+
+
+def test_batches_of_long_prompts_are_small(spark):
+    class Sizes:
+        def __init__(self, **_):
+            pass
+
+        def batch(self, prompts):
+            return [str(sum(map(len, prompts)))] * len(prompts)
+
+    rows = spark.range(0, 10_000, 1, 1).select(F.lit("s").alias("subset"), F.col("id").cast("string").alias("id"),
+                                               F.repeat(F.lit("x"), 2000).alias("prompt"))
+    assert max(int(r.full_response) for r in respond(rows, Sizes).collect()) < 10_000_000
