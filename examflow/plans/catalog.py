@@ -463,7 +463,7 @@ def evaluate_resume(spark, sf):
 
     sets = recorded_call_items(spark, sf)
     path = scratch_path(spark, "run")
-    append_log(td.log_rows_of(sets.all), path, run_id="past")
+    append_log(td.log_rows_of(_items(spark, sf)), path, run_id="past")  # no recorded calls
     result = evaluate(
         spark,
         sets,

@@ -206,9 +206,6 @@ def evaluate(
 
     if context_length is not None and (backend != "hf" or tokenizer is None):
         raise ValueError("context_length needs the probability backend and a tokenizer")
-    if partitions is None:
-        # calls are the slow part: spread them over every core by item key
-        partitions = parallelism(spark)
     if backend == "vllm" and stop is None:
         stop = [QUESTION_TAG]
 
@@ -222,7 +219,9 @@ def evaluate(
         open_items = pending(open_items, answered)
     bucket = F.pmod(F.xxhash64("subset", "id"), F.lit(commits)).cast("int")
     work_path = scratch_path(spark, "open-items")
-    open_items.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(work_path)
+    # an open question shows no explanation
+    open_items = open_items.drop("split", "explanation")
+    open_items.withColumn("bucket", bucket).write.partitionBy("bucket").option("compression", "zstd").parquet(work_path)
     work_schema = T.StructType([*open_items.schema.fields, T.StructField("bucket", T.IntegerType())])
     work = spark.read.schema(work_schema).parquet(work_path)
     # a row a subset and bucket
@@ -245,8 +244,13 @@ def evaluate(
             items, dev, k, max_length, wrapper, style, cot, topic, token_len, keep=keep
         ).drop("budget_left")
 
-    def responses_of(items):
-        todo = prompts_of(items.repartition(partitions, "subset", "id"))
+    def responses_of(number):
+        items = spark.read.schema(open_items.schema).parquet(f"{work_path}/bucket={number}")
+        # calls are the slow part: spread them over every core by item key. The many
+        # files of a large bucket are spread already, in bounded splits
+        if partitions is not None or len(items.inputFiles()) < parallelism(spark):
+            items = items.repartition(partitions or parallelism(spark), "subset", "id")
+        todo = prompts_of(items)
         carry = ("seq", "prompt", "gold_answer")
         if backend == "hf":
             # probability path: every option present is scored by the model and
@@ -272,7 +276,7 @@ def evaluate(
     for done, number in enumerate(sorted({r["bucket"] for r in asked})):
         if most_commits is not None and done >= most_commits:
             raise RunPaused(f"{done} buckets are answered; the next run goes on from there")
-        progress.commit(responses_of(work.where(F.col("bucket") == number).drop("bucket")), number)
+        progress.commit(responses_of(number), number)
     fresh = progress.rows()
 
     # every open item must have come back, answered or failed; the log is unchanged yet

@@ -61,7 +61,8 @@ class Progress:
     def commit(self, rows: DataFrame, number: int) -> None:
         """Write a bucket's responses; they count from here on."""
         folder = f"{self.path}/bucket-{number:05d}-{uuid.uuid4().hex[:8]}"
-        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]).write.parquet(folder)
+        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]).write.option(
+            "compression", "zstd").parquet(folder)
         self._touch(f"{folder}/{MARK}")
         self.own.append(folder)
 

@@ -156,3 +156,37 @@ def test_named_log_round_trip(spark, scratch):
     assert torn.count() == 0 and pending(df.withColumn("subset", F.lit("a b+c")), rows).count() == 0
     empty, none = read_mixed_logs(spark, scratch("nothing"))
     assert empty.count() == none.count() == 0
+
+
+def test_large_named_log_is_a_folder_of_files(spark, scratch):
+    """No task writes a large log alone; both readers take the folder as the one log."""
+    from examflow.sources.runlog import read_named_logs
+
+    path = scratch("flat")
+    df = spark.range(0, 400, 1, 4).select(
+        F.col("id").cast("string").alias("id"), F.lit("p").alias("prompt"), F.lit("A)\n").alias("full_response"), F.lit("A").alias("gold_answer"))
+    write_named_log(df, path, "a b+c", one_file_bytes=1000)
+    parts = [f for f in os.listdir(os.path.join(path.removeprefix("file:"), "a b+c_out.jsonl")) if f.startswith("part-")]
+    assert len(parts) == 4
+    for rows in (read_mixed_logs(spark, path)[0], read_named_logs(spark, path)):
+        assert {(r.subset, int(r.id), r.full_response) for r in rows.collect()} == {("a b+c", i, "A)\n") for i in range(400)}
+    # a small one replaces it: one file, lines in order
+    write_named_log(df, path, "a b+c")
+    with open(os.path.join(path.removeprefix("file:"), "a b+c_out.jsonl"), encoding="utf-8") as f:
+        assert [json.loads(line)["id"] for line in f] == [str(i) for i in range(400)]
+    write_named_log(df.limit(0), path, "none")
+    assert read_named_logs(spark, path).where("subset = 'none'").count() == 0
+
+
+def test_large_bucket_is_asked_where_it_lies(spark, sf_small, scratch):
+    """Open items that fill files enough are not shuffled again; work has no explanations."""
+    import glob
+
+    sets = td.exam_item_sets(spark, sf_small)
+    written = lambda: set(glob.glob(os.path.join(os.path.dirname(scratch("x")).removeprefix("file:"), "examflow-open-items-*")))
+    before = written()
+    spread = td.ExamItems(sets.all.repartition(8), sets.dev)
+    res = evaluate(spark, spread, LetterResponder, scratch("run"), k=0, run_id="a")
+    assert res.staged.count() == sets.test.count()
+    new, = written() - before
+    assert not {"explanation", "split"} & set(spark.read.parquet(new).columns)
