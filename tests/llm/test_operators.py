@@ -412,3 +412,48 @@ def test_piece_bpe(docs, none):
         s = "".join(rng.choice(letters, rng.integers(0, 40)))
         assert model.encode(s).tolist() == sp.encode(s)
         assert model.decode(model.encode(s)).decode() == sp.decode(sp.encode(s))
+
+
+@pytest.mark.parametrize("factor", [1, 10**15])
+def test_maxscore_of_a_block_of_queries(monkeypatch, factor):
+    """One call answers many queries: parts of a shard, probes in slices, ties, own ids."""
+    monkeypatch.setattr(maxscore, "PAIRS", 37)
+    rng = np.random.default_rng(4)
+    vectors = np.floor(rng.normal(size=(300, 12)) * 20)
+    vectors[rng.random((300, 12)) < 0.3] = 0
+    vectors[200:] = vectors[:100]
+    ids = rng.integers(0, 250, 300)
+    pick = rng.choice(300, 40)
+    if factor > 1:
+        vectors = np.vectorize(lambda x: int(x) * factor, otypes=[object])(vectors)
+    queries = vectors[pick].copy()
+    queries[0] = 0
+    rows, got, score = maxscore.top_of_shard(ids, vectors, ids[pick], queries, 7, 3, 16)
+    expect = []
+    for row, q in enumerate(queries):
+        scored = sorted((-sum(int(x) * int(y) for x, y in zip(q, v)), int(i)) for i, v in zip(ids, vectors) if i != ids[pick][row])
+        expect += [(row, i, -s) for s, i in scored[:7]]
+    assert [(int(r), int(i), int(s)) for r, i, s in zip(rows, got, score)] == expect
+
+
+def test_maxscore_copies_queries_not_candidates(spark):
+    """A block holds as many queries as a shard has candidates, so candidates are dealt once
+    until the queries alone fill a shard; huge rows are answered beside the others."""
+    assert maxscore.QUERY_BLOCK >= maxscore.SHARD
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-9, 9, 8)]) for i in range(1500)]
+    rows[40] = (40, [1e20] * 8)
+    rows[41] = (41, [-1e20, 1.0, 1.0])
+    got = collections.defaultdict(list)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for r in maxscore.top_k(df, F.col("vec_id") % 20 == 0, k=3, scale=1.0).orderBy("rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    whole = {i: [int(x) for x in v] + [0] * (8 - len(v)) for i, v in rows}
+    top = 2**63 - 1
+    assert len(got) == 75
+    for q in got:
+        scored = sorted((-min(max(sum(a * b for a, b in zip(whole[q], v)), -top - 1), top), i) for i, v in whole.items() if i != q)
+        if q != 40:
+            assert got[q] == [(i, -s) for s, i in scored[:3]]
+        else:
+            assert [s for _, s in got[q]] == [-s for s, _ in scored[:3]]
