@@ -31,13 +31,12 @@ of the ranges, a bounded table, and a running sum inside each range.
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from array import array
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,9 +51,9 @@ SHARD_TOKENS = 1 << 22
 RANGE_ROWS = 8192
 DIRECTORY_BITS = 512
 CACHE = 300_000  # runs whose ids a worker keeps
+CACHE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20  # text encoded at a time, but whole documents
 QUESTIONS = 65_536  # places asked of one shard at a time
-_NO_BREAKS = re.compile("[\x1c-\x1f]")  # white space for str.split, not for the tokenizer
-_BREAKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _loaded: dict[str, tuple] = {}
 
 
@@ -72,8 +71,32 @@ _LETTER = _INSIDE > 0
 # ASCII signs behind a word; an apostrophe may open a token with letters
 _TAIL = np.zeros(256, bool)
 _TAIL[[x for x in range(33, 127) if not chr(x).isalnum() and chr(x) != "'"]] = True
-_NEWLINE = np.zeros(256, bool)
-_NEWLINE[10] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+# white space of one byte ends a run, as a line end
+_ENDED = np.arange(256, dtype=np.uint8)
+_ENDED[[9, 11, 12, 13, 32]] = 10
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The pieces of ``flat``, one after another."""
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _bytes_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(data, offsets from 0 on) of a string or binary array without nulls."""
+    if not len(values):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    values = values.cast(pa.large_binary())
+    at = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    data = values.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8))[at[0] : at[-1]], at - at[0]
+
+
+def _array_of(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [
+        None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 class PlainWords:
@@ -101,51 +124,74 @@ class PlainWords:
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[r for x, r in ranks.items() if x[-1] in set(_ENDING.tolist()) - {0}]] = True
 
-    def encode(self, words: list[str], code: str) -> tuple[list[int], list[bytes], list[bytes]]:
-        """(places in ``words``, ids, signs behind the letters) of the plain ones."""
-        lowered = "\n".join(words).lower()
-        data = np.frombuffer(lowered.encode("utf-8", "surrogatepass") + b"\n", np.uint8)
-        at_end = np.flatnonzero(_NEWLINE[data])
-        if len(at_end) != len(words):  # lower case made no line ends; the words had some
-            return [], [], []
-        start = np.append(0, at_end[:-1] + 1)
+    def encode(self, data: np.ndarray, offsets: np.ndarray, tail_ids, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, numbers of ids, ids) of the plain words among ``data[offsets[i]:
+        offsets[i + 1]]``, each with a line end; ``tail_ids`` gives the ids of the signs
+        behind the letters."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
+        start, at_end = offsets[:-1], offsets[1:] - 1
+        if not len(start):
+            return none
+        # lower case of A-Z and, behind C3, of 80-9E without the sign 97
+        lead = data == 0xC3
+        lowered = _LOWER[data]
+        capital = lead[:-1] & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        lowered[1:][capital] += 32
+        data = lowered
         letter, tail = _LETTER[data], _TAIL[data]
         # C3 B7 is a sign of its own
-        division = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] == 0xB7))
+        division = np.flatnonzero(lead[:-1] & (data[1:] == 0xB7))
         other = ~(letter | tail)
         other[at_end] = False
         other[division] = True
         # 9F and A0-BF are letters behind C3 only, and C3 is one before them only
         follows = (data >= 0x80) & (data < 0xC3)
-        lead = data == 0xC3
         other[1:] |= follows[1:] != lead[:-1]
         other[0] |= follows[0]
         back = np.append(False, tail[:-1] & letter[1:])  # a letter behind a sign
-        bad = np.add.reduceat((other | back).astype(np.int64), start)
-        plain = np.flatnonzero((bad == 0) & letter[start] & (at_end > start))
+        good = ~np.logical_or.reduceat(other | back, start) & letter[start] & (at_end > start)
+        plain = np.flatnonzero(good)
         if not len(plain):
-            return [], [], []
-        n_tail = np.add.reduceat(tail.astype(np.int64), start)
-        keep = np.repeat(bad == 0, at_end + 1 - start) & letter
-        last = at_end[plain] - n_tail[plain] - 1
+            return none
+        n_tail = np.add.reduceat(tail, start, dtype=np.int64)[plain]
+        here = np.repeat(good, at_end + 1 - start)
+        last = at_end[plain] - n_tail - 1
         signs = _INSIDE[data]
         signs[last] = _ENDING[data[last]]
-        gap = np.zeros(len(data), bool)
-        gap[at_end[plain]] = True
-        signs[gap] = ord(" ")
-        keep &= np.repeat(letter[start], at_end + 1 - start)
-        text = signs[keep | gap].tobytes().decode("ascii")
-        ids = np.asarray(self.core.encode_ordinary(text), code)
-        cut = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
-        raw, cuts = ids.tobytes(), [0, *cut.tolist()]
-        pieces = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        whole = data.tobytes()
-        tails = [whole[a:b] if b > a else b"" for a, b in zip((last + 1).tolist(), at_end[plain].tolist(), strict=True)]
-        return plain.tolist(), pieces, tails
+        signs[at_end] = ord(" ")
+        tails = _array_of(data[here & tail], np.append(0, np.cumsum(n_tail))).dictionary_encode()
+        letter[at_end] = True
+        ids = np.asarray(self.core.encode_ordinary(signs[here & letter].tobytes().decode("ascii")), kind)
+        cut = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+        behind = [tail_ids(t.decode()) if t else [] for t in tails.dictionary.to_pylist()]
+        n_behind = np.asarray([len(t) for t in behind], np.int64)
+        of = tails.indices.to_numpy()
+        # of each word its letters, then its signs
+        starts = np.stack([cut[:-1], (len(ids) + np.cumsum(n_behind) - n_behind)[of]], 1).ravel()
+        lengths = np.stack([np.diff(cut), n_behind[of]], 1).ravel()
+        flat = np.concatenate([ids, *(np.asarray(t, kind) for t in behind)])
+        return plain, lengths.reshape(-1, 2).sum(1), gather(flat, starts, lengths)
+
+
+class KnownRuns:
+    """The ids of runs that were encoded before: ``flat[starts[i]:starts[i] + lengths[i]]``
+    of the i-th of ``runs``."""
+
+    def __init__(self, kind):
+        self.runs, self.flat = pa.array([], pa.binary()), np.zeros(0, kind)
+        self.starts = self.lengths = np.zeros(0, np.int64)
+
+    def add(self, runs: pa.Array, lengths: np.ndarray, flat: np.ndarray) -> None:
+        self.runs = pa.concat_arrays([self.runs, runs])
+        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lengths) - lengths)
+        self.lengths, self.flat = np.append(self.lengths, lengths), np.append(self.flat, flat)
+
+    def full(self) -> bool:
+        return len(self.runs) > CACHE or self.runs.nbytes + self.flat.nbytes > CACHE_BYTES
 
 
 def load_tokenizer(path: str) -> tuple:
-    """(tokenizer, encoder of plain words or None, cache, bytes an id)."""
+    """(tokenizer, encoder of plain words or None, known runs in a list, bytes an id)."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
@@ -159,33 +205,50 @@ def load_tokenizer(path: str) -> tuple:
         merged = [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model.get("merges", [])]
         plain = PlainWords(vocabulary) if vocabulary and None not in merged and merged == sorted(merged) else None
         width = 2 if tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        _loaded[path] = (tok, plain if plain and plain.usable else None, {}, width)
+        _loaded[path] = (tok, plain if plain and plain.usable else None, [KnownRuns(f"<u{width}")], width)
     return _loaded[path]
 
 
-def encode_texts(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
-    """The ids of each text and the end id, 2 or 4 bytes an id, little-endian (as the
-    machines are)."""
+def encode_column(texts: pa.Array, path: str, end_id: int = END_ID) -> pa.Array:
+    """The ids of each text and the end id, 2 or 4 bytes an id, little-endian."""
     tok, plain, cache, width = load_tokenizer(path)
-    code = "H" if width == 2 else "I"
-    # no token spans white space, so runs between it are encoded by themselves
-    split = [[] if not t else _BREAKS.split(t) if _NO_BREAKS.search(t) else t.split() for t in texts]
-    if len(cache) > CACHE:
-        cache.clear()
-    new = [w for w in set().union(*split) if w not in cache]
-    places, pieces, behind = plain.encode(new, code) if plain is not None and new else ([], [], [])
-    tails = {t: array(code, tok.encode(t.decode(), add_special_tokens=False).ids).tobytes() for t in set(behind)}
-    for k, ids, t in zip(places, pieces, behind, strict=True):
-        cache[new[k]] = ids + tails[t]
-    slow = [w for w in new if w not in cache]
-    for w, e in zip(slow, tok.encode_batch(slow, add_special_tokens=False) if slow else [], strict=True):
-        cache[w] = array(code, e.ids).tobytes()
-    end = array(code, [end_id]).tobytes()
-    out = [b"".join(map(cache.__getitem__, runs)) + end for runs in split]
-    for w in slow:
-        if len(w) > 64:  # long runs don't come back
-            del cache[w]
-    return out
+    kind = f"<u{width}"
+    data, offsets = _bytes_of(texts.fill_null(""))
+    # no token spans white space, so runs between it are encoded by themselves; each run
+    # has the line end behind it, as every text gets one
+    data = _ENDED[np.insert(data, offsets[1:], 10)]
+    cuts = np.append(0, np.flatnonzero(data == 10) + 1)
+    found = _array_of(data, cuts).dictionary_encode()
+    if cache[0].full():
+        cache[0] = KnownRuns(kind)
+    known = cache[0]
+    place = pc.index_in(found.dictionary, value_set=known.runs)
+    new = found.dictionary.filter(place.is_null())
+    size, ids = np.zeros(len(new), np.int64), np.zeros(0, kind)
+    if len(new):
+        encode = lambda t: tok.encode(t, add_special_tokens=False).ids
+        plainly, n, ids = plain.encode(*_bytes_of(new), encode, kind) if plain is not None else (np.zeros(0, np.int64), size[:0], ids)
+        rest = np.delete(np.arange(len(new)), plainly)
+        slow = [x[:-1].decode() for x in new.take(pa.array(rest)).to_pylist()]
+        more = [e.ids for e in tok.encode_batch(slow, add_special_tokens=False)]
+        size[plainly], size[rest] = n, [len(x) for x in more]
+        # runs in the order of ``known``: the plain ones, then the others
+        order = np.append(plainly, rest)
+        known.add(new.take(pa.array(order)), size[order], np.concatenate([ids, *(np.asarray(x, kind) for x in more)]))
+        place = pc.index_in(found.dictionary, value_set=known.runs)
+    of = place.to_numpy()[found.indices.to_numpy()]
+    lengths = known.lengths[of]
+    ids = gather(known.flat, known.starts[of], lengths)
+    # the last run of each text ends where the next text begins
+    last = np.searchsorted(cuts, offsets[1:] + np.arange(1, len(texts) + 1))
+    ends = np.append(0, np.cumsum(lengths))[last]
+    ids = np.insert(ids, ends, end_id)
+    return _array_of(ids.view(np.uint8), np.append(0, ends + np.arange(1, len(texts) + 1)) * width)
+
+
+def encode_texts(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
+    """As ``encode_column``, of a list."""
+    return encode_column(pa.array(texts, pa.string()), path, end_id).to_pylist()
 
 
 def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
@@ -196,10 +259,15 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                ids = encode_texts(part.column(len(kept)).to_pylist(), path, end_id)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], names=[*kept, "ids"])
+            texts = batch.column(len(kept))
+            ends, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+            while at < len(texts):
+                # whole texts, at least one
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+                part = batch.slice(at, to - at)
+                ids = encode_column(part.column(len(kept)), path, end_id)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[*kept, "ids"])
+                at = to
 
     return docs.mapInArrow(run, schema)
 

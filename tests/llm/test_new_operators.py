@@ -166,6 +166,29 @@ def test_word_encoding_equals_the_library():
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == expect
 
 
+@pytest.mark.parametrize("limit", [10**6, 50])
+def test_columns_of_words_equal_the_library(monkeypatch, limit):
+    """Whole columns at once: nulls, slices, runs known from an earlier call, a full cache,
+    capitals whose lower case is a plain letter, white space of several bytes."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(wavelet, "CACHE", limit)
+    tok = Tokenizer.from_file(public_tokenizer(WORD_FILE))
+    rng = np.random.default_rng(7)
+    words = ["The", "the", "THE***", "İstanbul", "K", "Å", "ÀÉÞ×Þ", "÷", "Ÿ", "été,", "isn't", "'", "<|ENDOFTEXT|>", "a\xa0b",
+             "c\u3000d", "\x1c", "9th", "日本", "word" * 40, "***", "x.y", "Straße!", "ẞ", "Ã", "\x85", "é"]
+    texts = [None, "", " ", "\n\n", *(rng.choice([" ", "\t", "\r\n", "  "]).join(rng.choice(words, rng.integers(0, 9)))
+                                    for _ in range(600)), None]
+    expect = [tok.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    column = pa.array([*texts, "the end"], pa.string())
+    for at in range(0, len(texts), 70):
+        part = column.slice(at, min(70, len(texts) - at))
+        got = wavelet.encode_column(part, public_tokenizer(WORD_FILE)).to_pylist()
+        assert [np.frombuffer(g, "<u2").tolist() for g in got] == expect[at : at + 70]
+    assert wavelet.encode_texts([], public_tokenizer(WORD_FILE)) == []
+
+
 def vectors_with_odd_rows(n=400, width=6):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(8, width))
